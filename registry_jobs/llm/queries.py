@@ -9,6 +9,24 @@ from pyspark.sql import DataFrame, SparkSession
 from registry_jobs.llm.common import table
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from registry_jobs.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from registry_jobs.llm.media import media_digest
+
+    return media_digest(table(spark, sf_dir, "documents"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from registry_jobs.llm.bpe import encode_digest
+
+    return encode_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from registry_jobs.llm.mixing import mix_sources
 
