@@ -15,6 +15,13 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from registry_jobs.llm.toxicity import learn, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from registry_jobs.llm.media import media_digest
 
