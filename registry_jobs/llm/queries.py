@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from registry_jobs.llm.common import table
 
@@ -22,6 +23,19 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from registry_jobs.llm.pii import find_personal_data, learn
+
+    docs = table(spark, sf_dir, "documents")
+    return find_personal_data(docs, learn(docs))
+
+
+def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from registry_jobs.llm.url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op5_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from registry_jobs.llm.media import media_digest
 
@@ -40,6 +54,18 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from registry_jobs.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from registry_jobs.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from registry_jobs.llm.exact_dedup import exact_dedup
 
@@ -47,7 +73,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -53,7 +53,7 @@ def tokens(text: str) -> list[str]:
 
 @dataclass
 class Lexicon:
-    """Insult words and stems with weights in (0, 1]; a stem matches words that begin with it."""
+    """Insult words and stems with weights in (0, 1]; a stem matches longer words that begin with it."""
 
     words: dict[str, float] = field(default_factory=lambda: {w: 1.0 for w in INSULTS})
     stems: dict[str, float] = field(default_factory=dict)
@@ -67,7 +67,7 @@ class Lexicon:
     def weight(self, word: str) -> float:
         if word in self.words:
             return self.words[word]
-        return next((self.stems[word[:n]] for n in self.lengths if word[:n] in self.stems), 0.0)
+        return next((self.stems[word[:n]] for n in self.lengths if len(word) > n and word[:n] in self.stems), 0.0)
 
 
 class _Classes(dict):
@@ -156,13 +156,15 @@ def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, strength: float
     return w
 
 
-STEM_LENGTHS = range(4, 9)
+STEM_LENGTHS = range(3, 9)
+#: How many times as common in toxic rows a term must be, and the odds from which it has full weight.
+LEAST_ODDS, FULL_ODDS = 8.0, 200.0
 
 
 def terms(text: str) -> set[str]:
-    """Words of at least three letters (=word) and their beginnings (stem*)."""
+    """Words of at least three letters (=word) and their proper beginnings (stem*)."""
     ws = {w for w in tokens(text) if len(w) > 2}
-    return {"=" + w for w in ws} | {w[:n] + "*" for w in ws for n in STEM_LENGTHS if len(w) >= n}
+    return {"=" + w for w in ws} | {w[:n] + "*" for w in ws for n in STEM_LENGTHS if len(w) > n}
 
 
 def family(texts: pa.Array) -> pa.Array:
@@ -197,7 +199,7 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, most_terms: int
     counts = sample.mapInArrow(count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     seeds = ["=" + w for w in INSULTS]
     odds = (F.col("t") + 0.5) / ((F.col("c") + 0.5) * F.lit(rate))
-    counts = written(counts.where((F.col("t") >= least) & (odds >= 20) | F.col("term").isin(seeds)))
+    counts = written(counts.where((F.col("t") >= least) & (odds >= LEAST_ODDS) | F.col("term").isin(seeds)))
     used = {r["term"][1:]: (r["t"], r["c"]) for r in counts.where(F.col("term").isin(seeds)).collect()}
     words = {}
     for w in INSULTS:
@@ -205,7 +207,7 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, most_terms: int
         p = (t / rate + 2) / (t / rate + c + 2)
         if p > 0.5:
             words[w] = p
-    rows = counts.where((F.col("t") >= least) & (odds >= 20)).orderBy(F.desc("t"), "term").limit(most_terms).collect()
+    rows = counts.where((F.col("t") >= least) & (odds >= LEAST_ODDS)).orderBy(F.desc(F.col("t") * F.log(odds)), "term").limit(most_terms).collect()
     stats = {r["term"]: (r["t"], r["c"]) for r in rows}
     wanted = frozenset(stats) | {"=" + w for w in words}
 
@@ -215,22 +217,21 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, most_terms: int
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), family(batch.column(1))], names=["terms", "family"])
 
     left = [(set(r["terms"]), r["family"]) for r in sample.where("toxic = 1").mapInArrow(hits, "terms array<string>, family long").collect()]
-    left = [r for r in left if not any(t[0] == "=" and t[1:] in words for t in r[0])]
+    strength = {t: min(1.0, math.log((x + 0.5) / ((c + 0.5) * rate)) / math.log(FULL_ODDS)) for t, (x, c) in stats.items()}
+    left = [(r, kin, 0.0) for r, kin in left if not any(t[0] == "=" and t[1:] in words for t in r)]
     stems: dict[str, float] = {}
     while left:
-        gain = Counter(t for t, _ in {(t, kin) for r, kin in left for t in r})
+        gain = Counter(t for t, _ in {(t, kin) for r, kin, _ in left for t in r if t in strength})
         if not gain:
             break
-        term, n = max(gain.items(), key=lambda x: (x[1], len(x[0]), x[0]))
-        if n < least:
+        term = max(gain, key=lambda t: (gain[t] * strength[t], len(t), t))
+        if gain[term] < least:
             break
-        t, c = stats.get(term, (n, 0))
-        weight = (t / rate + 1) / (t / rate + c + 1)
-        if term[0] == "=":
-            words[term[1:]] = weight
-        else:
-            stems[term[:-1]] = weight
-        left = [r for r in left if term not in r[0]]
+        w = strength.pop(term)
+        for n in STEM_LENGTHS:  # shorter stems of this one say nothing more
+            strength.pop(term.strip("=*")[:n] + "*", None)
+        (words if term[0] == "=" else stems)[term[1:] if term[0] == "=" else term[:-1]] = w
+        left = [x for x in ((r, kin, got + w * (term in r)) for r, kin, got in left) if x[2] < 1]
     return Lexicon(words, stems)
 
 
