@@ -1 +1 @@
-
+"""Jobs, derived frames and registered queries."""

@@ -1 +1 @@
-
+"""Tables, submissions and exports."""

@@ -1 +1 @@
-
+"""File-arrival jobs."""
