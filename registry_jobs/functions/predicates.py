@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from registry_jobs.functions import patterns as P
 from registry_jobs.functions.text import clean_value, compact, js_trim, let
 
-NONE = F.lit("")
-
-
 def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
@@ -102,13 +99,13 @@ def safe_location(text: Column) -> Column:
             (x != "") & plausible_cleaned(x) & has_japanese(x) & ~ascii_noise(x, 0.18) & ~symbol_noise(x, 0.08)
             & ~has_noise_token(x) & ~has_contamination(x) & ~x.rlike(P.LOCATION_REJECT)
         )
-        return F.when(good, x).otherwise(NONE)
+        return F.when(good, x).otherwise("")
 
     return let(clean_value(text), of)
 
 
 def safe_number(text: Column) -> Column:
-    return let(clean_value(text), lambda x: F.when((x != "") & x.rlike(f"^(?:{P.LOT_NUMBER})\\z") & ~looks_like_garbage(x), x).otherwise(NONE))
+    return let(clean_value(text), lambda x: F.when((x != "") & x.rlike(f"^(?:{P.LOT_NUMBER})\\z") & ~looks_like_garbage(x), x).otherwise(""))
 
 
 def normalize_area(text: Column) -> Column:
@@ -120,7 +117,7 @@ def normalize_area(text: Column) -> Column:
 
 
 def safe_area(text: Column) -> Column:
-    return let(normalize_area(text), lambda x: F.when(x.rlike(r"^[0-9]{1,7}(?:\.[0-9]{1,2})?㎡\z"), x).otherwise(NONE))
+    return let(normalize_area(text), lambda x: F.when(x.rlike(r"^[0-9]{1,7}(?:\.[0-9]{1,2})?㎡\z"), x).otherwise(""))
 
 
 def strip_annotation(text: Column) -> Column:
@@ -137,7 +134,7 @@ def safe_owner(text: Column) -> Column:
             (x == "") | ~is_plausible(x) | is_header(x) | has_contamination(x) | looks_like_address(x) | ascii_noise(x, 0.12) | symbol_noise(x, 0.02)
             | has_noise_token(x) | x.contains("OCR候補") | x.rlike(P.OWNER_DATES) | x.rlike(P.OWNER_EVENTS) | (x.contains("会社") & ~looks_like_corp(x)) | (F.length(x) > 40)
         )
-        return F.when(~rejected & (looks_like_corp(x) | looks_like_person(x)), x).otherwise(NONE)
+        return F.when(~rejected & (looks_like_corp(x) | looks_like_person(x)), x).otherwise("")
 
     return let(strip_annotation(text), of)
 

@@ -10,6 +10,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
 
 from registry_jobs.functions import patterns as P
 
@@ -184,13 +185,16 @@ def _count_chain(text: str) -> tuple[str, dict[str, int]]:
     return text, {k: v for k, v in counts.items() if v}
 
 
-@F.pandas_udf("text string, counts map<string,int>")
-def vocabulary_chain(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Number repair, place repair and the vocabulary in order, with the number of matches of each label."""
+def _chain_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         yield pd.DataFrame([_count_chain(t or "") for t in texts], columns=["text", "counts"], index=texts.index)
 
 
+def vocabulary_chain(text: Column) -> Column:
+    """struct(text, counts): number repair, place repair and the vocabulary in order, with each label's matches."""
+    return F.pandas_udf(_chain_batches, "text string, counts map<string,int>", PandasUDFType.SCALAR_ITER)(text)
+
+
 def add_counts(a: Column, b: Column) -> Column:
     return F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
 

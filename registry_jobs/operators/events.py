@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from registry_jobs.functions import patterns as P
 from registry_jobs.functions.predicates import is_excluded_right, is_header, is_plausible, looks_like_corp, looks_like_person, safe_owner
 from registry_jobs.functions.text import clean_value, js_trim, let, unique_clean
-from registry_jobs.operators.sections import NO_LINES
-from registry_jobs.operators.title import EMPTY
+from registry_jobs.operators.sections import no_lines
+from registry_jobs.operators.title import empty
 
 HOLDER = f"^(所有者|権利者その他事項|権利者|共有者|氏名){P.WS}*[:：]?"
 
@@ -66,7 +66,7 @@ def merge_receipt_blocks(blocks: Column) -> Column:
 
 
 def first_line(lines: Column, pattern: str) -> Column:
-    return F.coalesce(F.get(F.filter(lines, lambda x: x.rlike(pattern)), F.lit(0)), EMPTY)
+    return F.coalesce(F.get(F.filter(lines, lambda x: x.rlike(pattern)), F.lit(0)), empty())
 
 
 def entry_cause(lines: Column) -> Column:
@@ -89,8 +89,8 @@ def owner_candidates(lines: Column) -> Column:
     def of(line: Column) -> Column:
         value = js_trim(F.regexp_replace(line, HOLDER, ""))
         named = F.when(
-            line.rlike("所有者|権利者|共有者|氏名"), let(value, lambda v: F.when(v != "", F.concat(F.array(v), F.transform(F.split(v, "[／/]", -1), clean_value))).otherwise(NO_LINES))
-        ).otherwise(NO_LINES)
+            line.rlike("所有者|権利者|共有者|氏名"), let(value, lambda v: F.when(v != "", F.concat(F.array(v), F.transform(F.split(v, "[／/]", -1), clean_value))).otherwise(no_lines()))
+        ).otherwise(no_lines())
         inline = F.regexp_extract_all(line, F.lit(f"(?:所有者|権利者|共有者){P.WS}*[:：]?{P.WS}*([^{P.WS_CHARS}]+)"), F.lit(1))
         return F.concat(named, inline)
 
@@ -120,12 +120,12 @@ def has_shared_marker(kind: Column, lines: Column) -> Column:
 
 def share_fraction(lines: Column) -> Column:
     found = F.transform(lines, lambda x: F.regexp_extract(x, f"持分{P.WS}*[0-9]+分の[0-9]+", 0))
-    return F.regexp_replace(F.coalesce(F.get(F.filter(found, lambda x: x != ""), F.lit(0)), EMPTY), P.WS, "")
+    return F.regexp_replace(F.coalesce(F.get(F.filter(found, lambda x: x != ""), F.lit(0)), empty()), P.WS, "")
 
 
 def share_candidates(lines: Column) -> Column:
     """Always empty on well-formed text, as the pattern it stands for matches none."""
-    return NO_LINES
+    return no_lines()
 
 
 def person_candidates(owners: Column) -> Column:

@@ -9,8 +9,8 @@ from registry_jobs.functions import patterns as P
 from registry_jobs.functions.predicates import is_excluded_right, is_header, is_history_noise, is_plausible, looks_like_garbage, safe_area, safe_location, safe_number, safe_owner
 from registry_jobs.functions.text import clean_value, js_trim, let, normalize_text, unique_clean
 from registry_jobs.operators.events import parse_entries
-from registry_jobs.operators.sections import NO_LINES, line_array, split_sections
-from registry_jobs.operators.title import EMPTY, extract_building_area, extract_land_area, extract_location, extract_lot_number
+from registry_jobs.operators.sections import no_lines, line_array, split_sections
+from registry_jobs.operators.title import empty, extract_building_area, extract_land_area, extract_location, extract_lot_number
 
 
 def valid_entries(entries: Column) -> Column:
@@ -62,7 +62,7 @@ def step_kind(e: Column, owners: Column) -> Column:
 def replay(entries: Column, builder: str = P.BUILDER) -> Column:
     """struct(owner, diagnostics): the current owner after the valid events in order, or the refusal to guess."""
     texts = lambda *xs: F.array(*xs).cast("array<string>")
-    start = F.struct(NO_LINES.alias("owners"), F.lit(False).alias("ambiguous"), F.lit(False).alias("seen"), F.lit(False).alias("after"), EMPTY.alias("latest"), NO_LINES.alias("notes"))
+    start = F.struct(no_lines().alias("owners"), F.lit(False).alias("ambiguous"), F.lit(False).alias("seen"), F.lit(False).alias("after"), empty().alias("latest"), no_lines().alias("notes"))
 
     def merge(acc: Column, e: Column) -> Column:
         def known(x: Column) -> Column:
@@ -75,7 +75,7 @@ def replay(entries: Column, builder: str = P.BUILDER) -> Column:
                 F.when(x["kind"] == "M", texts(F.concat(F.lit("Full event contains multiple owners/share text; kept readable owner list: "), joined(x["own"]))))
                 .when(x["kind"] == "R", texts(F.concat(F.lit("Full ownership event replaced owners: "), joined(x["own"]))))
                 .when(shares, texts(F.concat(F.lit("Partial/share event retained: "), F.when(x["summary"] != "", x["summary"]).otherwise(e["event_type"]))))
-                .otherwise(NO_LINES)
+                .otherwise(no_lines())
             )
             return F.struct(
                 F.when(replaces, x["own"]).when(shares, F.array_distinct(F.concat(acc["owners"], x["own"]))).otherwise(acc["owners"]).alias("owners"),
@@ -102,8 +102,8 @@ def replay(entries: Column, builder: str = P.BUILDER) -> Column:
         notes = F.concat(
             texts(F.concat(F.lit("Kouku event count: "), n.cast("string"))),
             r["notes"],
-            F.when(r["after"], texts(F.lit("Later partial/share transfer exists; Earnest One was not adopted as sole latest owner."))).otherwise(NO_LINES),
-            F.when(r["latest"] != "", texts(F.concat(F.lit("Latest event used for owner judgment: "), r["latest"]))).otherwise(NO_LINES),
+            F.when(r["after"], texts(F.lit("Later partial/share transfer exists; Earnest One was not adopted as sole latest owner."))).otherwise(no_lines()),
+            F.when(r["latest"] != "", texts(F.concat(F.lit("Latest event used for owner judgment: "), r["latest"]))).otherwise(no_lines()),
             texts(F.concat(F.lit("Assembled ownership state: "), F.when(r["owner"] != "", r["owner"]).otherwise("unconfirmed"))),
         )
         return F.struct(r["owner"].alias("owner"), unique_clean(notes).alias("diagnostics"))
@@ -112,7 +112,7 @@ def replay(entries: Column, builder: str = P.BUILDER) -> Column:
 
 
 def latest_owners(entries: Column) -> Column:
-    return F.coalesce(F.try_element_at(valid_entries(entries), F.lit(-1))["owners"], NO_LINES)
+    return F.coalesce(F.try_element_at(valid_entries(entries), F.lit(-1))["owners"], no_lines())
 
 
 def history_item(e: Column) -> Column:
@@ -129,7 +129,7 @@ def history_item(e: Column) -> Column:
             (e["share"] != "", e["share"]),
         )
     )
-    return let(merged, lambda m: F.when((m != "") & ~is_header(m) & ~is_excluded_right(m) & ~is_history_noise(m) & is_plausible(m), m).otherwise(EMPTY))
+    return let(merged, lambda m: F.when((m != "") & ~is_header(m) & ~is_excluded_right(m) & ~is_history_noise(m) & is_plausible(m), m).otherwise(""))
 
 
 def owner_history(entries: Column, all_lines: Column, cap: int = 30) -> Column:
@@ -188,7 +188,7 @@ def extract_normalized(df: DataFrame, text: str = "text") -> DataFrame:
     out = with_lines(df, text)
     all_lines, sections, entries = F.col("lines"), F.col("sections"), F.col("entries")
     out = out.withColumn("history", owner_history(entries, all_lines)).withColumn("state", replay(entries))
-    fallback = F.when(F.size(valid_entries(entries)) > 0, NO_LINES).otherwise(fallback_owners(all_lines, F.col("history")))
+    fallback = F.when(F.size(valid_entries(entries)) > 0, no_lines()).otherwise(fallback_owners(all_lines, F.col("history")))
     out = out.withColumn(
         "found",
         F.struct(

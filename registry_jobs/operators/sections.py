@@ -9,7 +9,8 @@ from registry_jobs.functions import patterns as P
 from registry_jobs.functions.predicates import is_noise_line
 from registry_jobs.functions.text import clean_value, let
 
-NO_LINES = F.array().cast("array<string>")
+def no_lines() -> Column:
+    return F.array().cast("array<string>")
 
 
 def line_array(text: Column) -> Column:
@@ -30,7 +31,7 @@ def first_line_index(lines: Column, pattern: str, missing: Column | int = -1) ->
 
 def cut(lines: Column, begin: Column, end: Column) -> Column:
     """Lines begin to end - 1, from 0."""
-    return F.when(end > begin, F.slice(lines, begin + 1, end - begin)).otherwise(NO_LINES)
+    return F.when(end > begin, F.slice(lines, begin + 1, end - begin)).otherwise(no_lines())
 
 
 def cut_excluded(lines: Column) -> Column:
@@ -76,13 +77,13 @@ def split_sections(lines: Column) -> Column:
             .when(k >= 0, cut(r, k, F.when(c > k, c).otherwise(n)))
             .otherwise(r)
         )
-        otsuku = F.when(both & (k < o), cut(r, o, F.when(c > o, c).otherwise(n))).when(both, cut(r, o, k)).otherwise(NO_LINES)
+        otsuku = F.when(both & (k < o), cut(r, o, F.when(c > o, c).otherwise(n))).when(both, cut(r, o, k)).otherwise(no_lines())
         return F.struct(
             s["title"].alias("title"),
             r.alias("rights"),
             cut_excluded(kouku).alias("kouku"),
             otsuku.alias("otsuku"),
-            F.when(c >= 0, cut(r, c, n)).otherwise(NO_LINES).alias("collateral"),
+            F.when(c >= 0, cut(r, c, n)).otherwise(no_lines()).alias("collateral"),
         )
 
     return let(let(let(let(lines, located), halves), parts), sections)

@@ -10,12 +10,13 @@ from registry_jobs.functions.predicates import is_plausible, safe_area, safe_loc
 from registry_jobs.functions.text import clean_value, let
 from registry_jobs.operators.sections import first_line_index
 
-EMPTY = F.lit("")
+def empty() -> Column:
+    return F.lit("")
 
 
 def first_of(values: Column) -> Column:
     """The first value that isn't empty, else empty."""
-    return F.coalesce(F.get(F.filter(values, lambda x: x != ""), F.lit(0)), EMPTY)
+    return F.coalesce(F.get(F.filter(values, lambda x: x != ""), F.lit(0)), empty())
 
 
 def value_after_label(line: Column, label: str) -> Column:
@@ -26,7 +27,7 @@ def value_after_label(line: Column, label: str) -> Column:
         ends = F.filter(F.array(*[F.instr(after, w) for w in stops]), lambda k: k > 0)
         return clean_value(F.when(F.size(ends) > 0, after.substr(F.lit(1), F.array_min(ends) - 1)).otherwise(after))
 
-    return let(line, lambda x: F.when(~x.contains(label), EMPTY).otherwise(let(x.substr(F.instr(x, label) + len(label), F.length(x)), ended)))
+    return let(line, lambda x: F.when(~x.contains(label), empty()).otherwise(let(x.substr(F.instr(x, label) + len(label), F.length(x)), ended)))
 
 
 def _following(lines: Column, at: Column, label: str, look_ahead: int) -> Column:
@@ -42,7 +43,7 @@ def label_value(lines: Column, label: str, look_ahead: int) -> Column:
     def at_line(s: Column) -> Column:
         same = value_after_label(F.get(s["l"], s["i"]), label)
         more = clean_value(F.array_join(F.filter(_following(s["l"], s["i"], label, look_ahead), is_plausible), " "))
-        return F.when(s["i"] < 0, EMPTY).otherwise(let(same, lambda v: F.when((v != "") & is_plausible(v), v).otherwise(more)))
+        return F.when(s["i"] < 0, empty()).otherwise(let(same, lambda v: F.when((v != "") & is_plausible(v), v).otherwise(more)))
 
     return let(F.struct(lines.alias("l"), first_line_index(lines, label).alias("i")), at_line)
 
@@ -52,10 +53,10 @@ def inline_row_value(lines: Column, label: str) -> Column:
 
     def cell_after(line: Column) -> Column:
         cells = F.filter(F.transform(F.split(line, P.WS + "+", -1), clean_value), lambda x: x != "")
-        return let(cells, lambda c: F.when(F.array_contains(c, label), F.coalesce(F.get(c, F.array_position(c, label).cast("int")), EMPTY)).otherwise(EMPTY))
+        return let(cells, lambda c: F.when(F.array_contains(c, label), F.coalesce(F.get(c, F.array_position(c, label).cast("int")), empty())).otherwise(""))
 
     def of(line: Column) -> Column:
-        plausible = lambda v: F.when((v != "") & is_plausible(v), v).otherwise(EMPTY)
+        plausible = lambda v: F.when((v != "") & is_plausible(v), v).otherwise("")
         return let(let(value_after_label(line, label), plausible), lambda v: F.when(v != "", v).otherwise(let(cell_after(line), plausible)))
 
     return first_of(F.transform(F.filter(lines, lambda x: x.contains(label)), of))
@@ -67,7 +68,7 @@ def area_by_label(lines: Column, label: str, look_ahead: int) -> Column:
     def at_line(s: Column) -> Column:
         same = safe_area(value_after_label(F.get(s["l"], s["i"]), label))
         more = first_of(F.transform(_following(s["l"], s["i"], label, look_ahead), safe_area))
-        return F.when(s["i"] < 0, EMPTY).otherwise(let(same, lambda v: F.when(v != "", v).otherwise(more)))
+        return F.when(s["i"] < 0, empty()).otherwise(let(same, lambda v: F.when(v != "", v).otherwise(more)))
 
     return let(F.struct(lines.alias("l"), first_line_index(lines, label).alias("i")), at_line)
 
@@ -75,7 +76,7 @@ def area_by_label(lines: Column, label: str, look_ahead: int) -> Column:
 def extract_location(title: Column) -> Column:
     named = F.array(safe_location(inline_row_value(title, "所在")), safe_location(label_value(title, "所在", 6)))
     lines = F.filter(title, lambda x: x.rlike("[都道府県].*?[市区町村]"))
-    return let(first_of(named), lambda v: F.when(v != "", v).otherwise(safe_location(F.coalesce(F.get(lines, F.lit(0)), EMPTY))))
+    return let(first_of(named), lambda v: F.when(v != "", v).otherwise(safe_location(F.coalesce(F.get(lines, F.lit(0)), empty()))))
 
 
 def extract_lot_number(title: Column) -> Column:
@@ -84,7 +85,7 @@ def extract_lot_number(title: Column) -> Column:
         F.transform(F.array(inline_row_value(title, "地番"), label_value(title, "地番", 5)), lambda x: F.regexp_extract(clean_value(x), f"({P.LOT_NUMBER})", 1)), lambda x: x != ""
     )
     joined = F.array_join(title, " ")
-    scan = F.when(joined.rlike(P.LAND_WORDS), F.regexp_extract(joined, f"({P.LOT_NUMBER_MARKED})", 1)).otherwise(EMPTY)
+    scan = F.when(joined.rlike(P.LAND_WORDS), F.regexp_extract(joined, f"({P.LOT_NUMBER_MARKED})", 1)).otherwise("")
     return let(found, lambda x: safe_number(F.when(F.size(x) > 0, F.get(x, F.lit(0))).otherwise(scan)))
 
 
