@@ -147,6 +147,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = found.groupBy("h", "n").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     later = found.join(written(firsts), ["h", "n"]).where(place > F.col("first"))
     marks = later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "n")).alias("runs"))  # within one document
-    marks = written(marks.select(F.col("doc_id").alias("mark_id"), F.col("text_key").alias("mark_key"), F.col("runs.pos").alias("starts"), F.col("runs.n").alias("sizes")))
+    marks = written(marks.select(F.col("doc_id").alias("mark_id"), F.col("text_key").alias("mark_key"), F.col("runs.pos").alias("starts"), F.col("runs.n").alias("sizes"))).hint("merge")
     out = base.join(marks, base["doc_id"].eqNullSafe(marks["mark_id"]) & (base["text_key"] == marks["mark_key"]), "left")
     return out.select("doc_id", "text", "starts", "sizes").mapInArrow(_cut, "doc_id long, text string, n_lines long, n_removed long, removed string")
