@@ -128,7 +128,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), id_col:
     groups = 1 << max(4, math.ceil(math.log2(rows / 20_000 + 1)))
     known = targets.select(F.col("source").alias("ts"), "source_size", "target")
     laid = laid_out(sizes, groups)
-    laid = laid.join(F.broadcast(known) if rows == 0 else known, laid["source"].eqNullSafe(known["ts"])).drop("ts")
+    laid = laid.join(known, laid["source"].eqNullSafe(known["ts"])).drop("ts")
     blocks = F.ceil(F.col("source_size") / F.lit(block))
     slots = schedule(targets, math.ceil(total / block))
     slots = slots.join(known, slots["source"].eqNullSafe(known["ts"])).where(F.col("rank") < blocks * MOST)
