@@ -80,7 +80,7 @@ def clean(x: str) -> str:
 
 def noise_cleaned(x: str) -> str:
     """Without the test for one character seven times over, which RE2 can't say; the frames hold no such line."""
-    return f"({x} = '' OR NOT {has(x, f'[{P.KANJI_KANA_CHARS}a-zA-Z0-9]')} OR {has(x, r'^[a-zA-Z0-9]{1,2}\\z')})"
+    return f"({x} = '' OR NOT {has(x, f'[{P.KANJI_KANA_CHARS}a-zA-Z0-9]')} OR {has(x, '^[a-zA-Z0-9]{1,2}\\z')})"
 
 
 def garbage(x: str) -> str:
