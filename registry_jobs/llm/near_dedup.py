@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from registry_jobs.llm.common import dropped, mix, shingles, text_or_empty, text_slices, written
@@ -27,9 +27,11 @@ from registry_jobs.llm.common import dropped, mix, shingles, text_or_empty, text
 _U = np.uint64
 WORDS = 5
 SIMILARITY = 0.8
-BANDS = 28
-ROWS = 6
-SMALL = 16  # a bucket with as many components, and fewer, is compared pair by pair
+SLOTS = 200
+BANDS = 56
+ROWS = 9
+LEAST_AGREEMENT = 0.64  # of slots; similarity 0.8 agrees in fewer with a probability below 1e-7
+SMALL = 16  # a bucket with as many members, and fewer, is compared pair by pair
 
 
 def weigh(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,31 +106,57 @@ def _earliest(rows: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_rows:
     return earliest.reshape(n_rows, slots), winner.reshape(n_rows, slots)
 
 
-def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
+def band_slots(slots: int, bands: int, rows: int) -> np.ndarray:
+    """(bands, rows) slots of each band: fixed choices, which may share slots with other bands."""
+    r = np.random.default_rng(20)
+    return np.stack([np.sort(r.choice(slots, rows, replace=False)) for _ in range(bands)])
+
+
+def band_keys(signature: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """(n, bands) keys: equal where all slots of the band agree."""
     with np.errstate(over="ignore"):
-        parts = signature.reshape(len(signature), bands, rows)
-        acc = np.zeros(parts.shape[:2], _U) + np.arange(1, bands + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)
-        for r in range(rows):
-            acc = mix(acc + parts[:, :, r])
+        acc = np.zeros((len(signature), len(chosen)), _U) + np.arange(1, len(chosen) + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)
+        for r in range(chosen.shape[1]):
+            acc = mix(acc + signature[:, chosen[:, r]])
     return acc
 
 
-def _sign(size: int, bands: int, rows: int):
+def _sign(size: int, slots: int, bands: int, rows: int):
+    chosen = band_slots(slots, bands, rows)
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offsets in text_slices(batch.column(2)):
                 n = len(offsets) - 1
                 got = weigh(*shingles(data, offsets, size))
-                keys = band_keys(bag_minhash(*got, n, bands * rows), bands, rows)
+                signature = bag_minhash(*got, n, slots)
                 has = np.bincount(got[0], minlength=n) > 0
                 ends = np.concatenate(([0], np.cumsum(has * bands)))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[has].reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(1).slice(first, n), lists], names=["doc_id", "key", "bands"])
+                keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(band_keys(signature[has], chosen).reshape(-1).view(np.int64)))
+                low = signature.astype(np.uint8)
+                sketch = pa.array([row.tobytes() for row in low], pa.binary())
+                weight = np.bincount(got[0], weights=got[2], minlength=n)
+                spread = np.bincount(got[0], minlength=n) / np.maximum(weight, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, n), batch.column(1).slice(first, n), keys, sketch, pa.array(weight.astype(np.int64)), pa.array(spread)],
+                    names=["doc_id", "key", "bands", "sketch", "weight", "spread"],
+                )
 
     return sign
 
 
+def _likely(least: float):
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in (batch.column(2), batch.column(3)))
+            kept = batch.filter(pa.array((x == y).mean(axis=1) >= least))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], names=["a", "b"])
+
+    return likely
+
+
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two (sorted hashes, counts)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -155,12 +183,60 @@ def _verify(size: int, similarity: float):
     return verify
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of keys whose texts (key, text) have the similarity, as a written table."""
-    x = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    y = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b")
-    return written(both.mapInArrow(_verify(size, similarity), "a binary, b binary"))
+def _bags(size: int):
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, offsets in text_slices(batch.column(1)):
+                rows, hashes, counts = weigh(*shingles(data, offsets, size))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first + rows)), pa.array(hashes.view(np.int64)), pa.array(counts, pa.int64())], names=["rid", "h", "w"])
+
+    return bags
+
+
+def prefix_pairs(placed: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) among placed (rid, root, weight), of different roots, that may have the similarity.
+
+    Shingles are ordered by how many of these texts hold them, rare ones first. A text's prefix are the
+    shingles from which on, in this order, at least `similarity` of its weight lies; two texts of the
+    similarity share the first of their common shingles, and both prefixes hold it. So no pair is lost,
+    and texts that only share what is common do not meet.
+    """
+    bag = written(texts.join(placed.select("rid"), "rid").select("rid", "text").mapInArrow(_bags(size), "rid long, h long, w long"))
+    often = bag.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    rest = Window.partitionBy("rid").orderBy("df", "h").rowsBetween(0, Window.unboundedFollowing)
+    ordered = bag.join(often, "h").withColumn("rest", F.sum("w").over(rest)).join(placed, "rid")
+    prefix = written(ordered.where((F.col("df") > 1) & (F.col("rest") >= F.col("weight") * F.lit(similarity - 1e-9))).select("h", "rid", "root", "weight", "rest"))
+    # members of a shingle's largest component meet the others, not each other
+    by_root = prefix.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
+    largest = by_root.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
+    others = prefix.join(largest, "h").where("root != largest")
+    x = others.select("h", F.col("rid").alias("a"), F.col("root").alias("ra"), F.col("weight").alias("wa"), F.col("rest").alias("sa"), "largest")
+    y = prefix.select("h", F.col("rid").alias("b"), F.col("root").alias("rb"), F.col("weight").alias("wb"), F.col("rest").alias("sb"))
+    # what lies from the shingle on must hold all that they need to share
+    enough = F.least("sa", "sb") >= (F.col("wa") + F.col("wb")) * F.lit(similarity / (1 + similarity) - 1e-9)
+    once = (F.col("rb") == F.col("largest")) | (F.col("a") < F.col("b"))
+    met = x.join(y, "h").where((F.col("ra") != F.col("rb")) & once & enough & alike(F.col("wa"), F.col("wb"), similarity))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def alike(a: Column, b: Column, similarity: float) -> Column:
+    """Weights that texts of the similarity may have."""
+    return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity - 1e-9)
+
+
+def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of rids whose texts have the similarity, as a written table.
+
+    Signatures, eight bits a slot, come first: only pairs that agree in enough slots meet their texts.
+    """
+    x = reps.select(F.col("rid").alias("a"), F.col("sketch").alias("sketch_a"))
+    y = reps.select(F.col("rid").alias("b"), F.col("sketch").alias("sketch_b"))
+    signed = pairs.join(x, "a").join(y, "b").select("a", "b", "sketch_a", "sketch_b")
+    likely = written(signed.mapInArrow(_likely(LEAST_AGREEMENT), "a long, b long"))
+    x = texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a"))
+    y = texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b"))
+    both = likely.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b")
+    return written(both.mapInArrow(_verify(size, similarity), "a long, b long").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -189,7 +265,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY, slots: int = SLOTS, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
     """One row per row of docs: doc_id, class_id, kept, links, key.
 
@@ -200,68 +276,58 @@ def near_duplicates(
     to equal texts only. Null ids come last; of rows repeated with id and text one is kept. An empty
     table gives an empty result; columns besides id and text are not read.
 
-    With 28 bands of 6 a pair of similarity 0.8 meets in some bucket with probability 0.9998. Pairs in a
-    bucket: first all with the bucket's smallest key; then, of the components these links make, in
-    buckets with several, pair by pair between components up to 16 members, beyond that all with a growing
-    number of leaders, until each bucket is one component or all its pairs between components are verified.
+    With 56 bands of 9 out of 200 slots a pair of similarity 0.8 meets in some bucket with probability
+    0.999, one of 0.85 with 0.99999. First, all members of a bucket are compared with one of them, that
+    with the fewest distinct shingles for its weight; then, in buckets that hold several components of
+    these links, pair by pair between components up to 16 members, beyond that by prefix_pairs(), which
+    loses none. Texts of other weights than the similarity allows are not compared.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("key", F.unhex(F.md5("text")))
-    signed = written(base.select("doc_id", "key", "text").mapInArrow(_sign(size, bands, rows), "doc_id long, key binary, bands array<long>"))
-    reps = written(signed.groupBy("key").agg(F.min("doc_id").alias("rep_id"), F.first("bands").alias("bands")))
-    banded = reps.where(F.size("bands") > 0).select("key", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("leader")).where("n > 1")
-    members = written(banded.join(shared, "bucket").select("bucket", "key", "leader"))
+    signed = base.select("doc_id", "key", "text").mapInArrow(_sign(size, slots, bands, rows), "doc_id long, key binary, bands array<long>, sketch binary, weight long, spread double")
+    reps = signed.groupBy("key").agg(F.min("doc_id").alias("rep_id"), *[F.first(c).alias(c) for c in ("bands", "sketch", "weight", "spread")])
+    reps = written(reps.withColumn("rid", F.monotonically_increasing_id()))  # fixed by being written
+    banded = reps.where(F.size("bands") > 0).select("rid", "weight", "spread", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("spread", "rid", "weight")).alias("leader")).where("n > 1")
+    members = banded.select("bucket", "rid", "weight").join(shared.select("bucket", F.col("leader.rid").alias("leader"), F.col("leader.weight").alias("leader_weight")), "bucket")
+    members = written(members)
 
     # texts of candidates only, one row of each
-    wanted = written(members.select("key").distinct().join(reps.select("key", "rep_id"), "key"))
-    texts = base.join(wanted, (base["key"] == wanted["key"]) & base["doc_id"].eqNullSafe(wanted["rep_id"]), "left_semi").select("key", "text")
-    texts = written(texts)
+    wanted = members.select("rid").distinct().join(reps.select("key", "rep_id", "rid"), "rid").hint("merge")
+    same = (base["key"] == wanted["key"]) & base["doc_id"].eqNullSafe(wanted["rep_id"])
+    texts = written(base.join(wanted, same).select("rid", "text"))
 
-    tried = written(members.where("key != leader").select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct())
-    links = verified(tried, texts, size, similarity)
+    star = members.where((F.col("rid") != F.col("leader")) & alike(F.col("weight"), F.col("leader_weight"), similarity))
+    tried = written(star.select(F.least("leader", "rid").alias("a"), F.greatest("leader", "rid").alias("b")).distinct())
+    links = verified(tried, reps, texts, size, similarity)
     roots = components(links)
-    leaders = 1
-    while True:
-        # members of buckets that still hold several components
-        placed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-        several = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).where("r0 != r1")
-        left = written(placed.join(several.select("bucket", "n"), "bucket"))
-        leaders *= 4
-        few = left.where(F.col("n") <= SMALL)
-        x = few.select("bucket", F.col("key").alias("a"), F.col("root").alias("ra"))
-        y = few.select("bucket", F.col("key").alias("b"), F.col("root").alias("rb"))
-        small = x.join(y, "bucket").where("a < b and ra != rb").select("a", "b")
-        # beyond SMALL: all members against leaders, chosen by hash among those outside the bucket's largest component
-        many = left.where(F.col("n") > SMALL)
-        counts = many.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-        biggest = counts.groupBy("bucket").agg(F.max_by("root", F.struct("c", "root")).alias("big"))
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "key"), "key")
-        others = many.join(biggest, "bucket").where("root != big").withColumn("nth", F.row_number().over(order))
-        chosen = others.where(F.col("nth") <= leaders).select("bucket", F.col("root").alias("ra"), F.col("key").alias("a"))
-        large = many.withColumnRenamed("key", "b").join(chosen, "bucket").where("root != ra")
-        pairs = small.unionByName(large.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-        new = written(pairs.join(tried, ["a", "b"], "left_anti"))
-        if new.isEmpty():
-            if others.where(F.col("nth") > leaders).isEmpty():
-                break
-            continue
-        found = verified(new, texts, size, similarity)
-        tried = written(tried.unionByName(new))
-        if not found.isEmpty():
-            links = written(links.unionByName(found))
-            roots = components(links)
-
-    lowest = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(reps.select(F.col("key").alias("node"), "rep_id"), "node")
+
+    # members of buckets that hold several components
+    placed = members.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "rid", "weight", F.coalesce("root", "rid").alias("root"))
+    several = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).where("r0 != r1")
+    left = written(placed.join(several.select("bucket", "n"), "bucket"))
+    few = left.where(F.col("n") <= SMALL)
+    x = few.select("bucket", F.col("rid").alias("a"), F.col("root").alias("ra"), F.col("weight").alias("wa"))
+    y = few.select("bucket", F.col("rid").alias("b"), F.col("root").alias("rb"), F.col("weight").alias("wb"))
+    small = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike(F.col("wa"), F.col("wb"), similarity)).select("a", "b")
+    many = written(left.where(F.col("n") > SMALL).select("rid", "root", "weight").distinct())
+    pairs = small.unionByName(prefix_pairs(many, texts, size, similarity)).distinct()
+    found = verified(pairs.join(tried, ["a", "b"], "left_anti"), reps, texts, size, similarity)
+    if not found.isEmpty():
+        links = written(links.unionByName(found))
+        roots = components(links)
+
+    ids = reps.select(F.col("rid").alias("node"), "rep_id")
+    lowest = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(ids, "node")
     classes = lowest.groupBy("root").agg(F.min("rep_id").alias("class_id"))
-    degree = links.select("a").unionAll(links.select("b")).groupBy(F.col("a").alias("key")).agg(F.count(F.lit(1)).alias("links"))
+    degree = links.select("a").unionAll(links.select("b")).groupBy(F.col("a").alias("rid")).agg(F.count(F.lit(1)).alias("links"))
     labels = (
-        reps.select("key", "rep_id")
-        .join(lowest.select(F.col("node").alias("key"), "root"), "key", "left")
+        reps.select("key", "rid", "rep_id")
+        .join(lowest.select(F.col("node").alias("rid"), "root"), "rid", "left")
         .join(classes, "root", "left")
-        .join(degree, "key", "left")
+        .join(degree, "rid", "left")
         .select("key", F.when(F.col("root").isNull(), F.col("rep_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
     )
-    out = signed.select("doc_id", "key").join(written(labels), "key")
+    out = base.select("doc_id", "key").join(written(labels), "key")
     nth = F.row_number().over(Window.partitionBy("class_id", "doc_id").orderBy("key"))
     return out.select("doc_id", "class_id", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (nth == 1)).alias("kept"), F.col("links").cast("long").alias("links"), F.hex("key").alias("key"))
 
