@@ -210,6 +210,36 @@ def confirmed(field: str, v: str) -> str:
 
 FIELDS = ("location", "lot_number", "land_area", "building_area", "owner")
 _LIST_TEXT = "array_to_string({}, ' | ')"
+# Two readings of each certificate, extracted like documents of their own and scored.
+TWO = (
+    f"{NOISY}, two AS (SELECT doc_id * 8 + arrival_no AS doc_id, raw_text AS text FROM reg_noisy WHERE arrival_no IN (0, 2)){RECORD[len(DOCS):].replace('FROM reg_docs)', 'FROM two)')}, "
+    f"nt AS (SELECT doc_id * 8 + arrival_no AS doc_id, doc_id AS doc, source, arrival_no, raw_text AS text FROM reg_noisy WHERE arrival_no IN (0, 2)), {S.quality('nt')}, "
+    f"cd AS (SELECT q.*, {', '.join(f'rc.{n}' for n in FIELDS)}, rc.history FROM q JOIN rc USING (doc_id))"
+)
+
+
+def field_score(field: str) -> str:
+    base = "label_count * 5 + japanese_ratio * 20 - noise_ratio * 10"
+    if field == "lot_number":
+        base += f" + CASE WHEN {S.has(field, P.CONFIRMED_NUMBER)} THEN 40 ELSE 0 END"
+    elif field in ("land_area", "building_area"):
+        base += f" + CASE WHEN {S.has(field, P.CONFIRMED_AREA)} THEN 35 ELSE 0 END"
+    elif field == "owner":
+        base += f" + CASE WHEN {S.has(field, '株式会社|有限会社|合同会社|[一-龠]{2,}')} THEN 35 ELSE -30 END"
+    else:
+        base += f" + CASE WHEN {S.has(field, '[都道府県市区町村]')} THEN 35 ELSE -20 END"
+    return f"CASE WHEN {field} <> '' THEN {base} END"
+
+
+MERGED = (
+    f"{TWO}, mg AS (SELECT doc, "
+    + ", ".join(f"coalesce(max_by({n}, ({field_score(n)}, -arrival_no)) FILTER (WHERE {confirmed(n, n)}), '') AS {n}" for n in FIELDS)
+    + f", coalesce(max_by(history, (len(history) * 12 + label_count * 2, -arrival_no)) FILTER (WHERE len(history) > 0), {NONE}) AS history FROM cd GROUP BY doc)"
+)
+
+
+def label(source: str) -> str:
+    return f"CASE {source} " + " ".join(f"WHEN '{s}' THEN '{t}'" for s, t in P.SOURCES) + " END"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -335,12 +365,22 @@ SELECT doc_id, array_to_string({S.unique_clean("l")}, ' | ') AS diagnostics FROM
     o["h9_gate_ocr"] = f"{gated} SELECT doc_id, source FROM g0 WHERE NOT starts_with(source, 'ocr-') OR (NOT coalesce(strong, false) AND length >= 20)"
     o["h10_best_candidate"] = f"{READINGS} SELECT doc_id, source FROM q QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, arrival_no) = 1"
     o["h10_preview_candidate"] = f"{READINGS} SELECT doc_id, source FROM q WHERE {S.PREVIEWABLE} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY {S.PREVIEW} DESC, arrival_no) = 1"
+    o["h11_field_score"] = f"{TWO} SELECT doc AS doc_id, source, {', '.join(f'round({field_score(n)}, 6) AS {n}' for n in FIELDS)} FROM cd"
+    o["h13_merge_fields"] = f"{MERGED} SELECT doc AS doc_id, {', '.join(FIELDS)}, {_LIST_TEXT.format('history')} AS history FROM mg"
+    o["h14_field_provenance"] = (
+        f"{MERGED}, mv AS ({' UNION ALL '.join(f'SELECT doc, {chr(39)}{n}{chr(39)} AS field, {n} AS v FROM mg' for n in FIELDS)}), cv AS ({' UNION ALL '.join(f'SELECT doc, source, arrival_no, {chr(39)}{n}{chr(39)} AS field, {n} AS v FROM cd' for n in FIELDS)}) "
+        f"SELECT doc AS doc_id, field, {label('min_by(source, arrival_no)')} AS source_label FROM mv JOIN cv USING (doc, field, v) WHERE v <> '' GROUP BY doc, field"
+    )
+    some = " OR ".join(f"mg.{n} <> ''" for n in FIELDS) + " OR len(mg.history) > 0"
+    o["h16_decide"] = f"""{MERGED}, be AS (SELECT doc, text, {S.USABLE} AS usable FROM cd QUALIFY row_number() OVER (PARTITION BY doc ORDER BY score DESC, arrival_no) = 1),
+pv AS (SELECT doc, text AS preview FROM cd WHERE {S.PREVIEWABLE} QUALIFY row_number() OVER (PARTITION BY doc ORDER BY {S.PREVIEW} DESC, arrival_no) = 1)
+SELECT be.doc AS doc_id, CASE WHEN usable OR {some} THEN mg.owner ELSE '' END AS owner, CASE WHEN usable OR {some} THEN mg.location ELSE '' END AS location,
+    CASE WHEN usable THEN be.text ELSE coalesce(preview, '') END AS raw, usable AS accepted, NOT usable AS warning FROM be JOIN mg USING (doc) LEFT JOIN pv USING (doc)"""
     o["h12_is_confirmed"] = f"{RECORD} SELECT doc_id, {', '.join(f'{confirmed(n, n)} AS {n}' for n in FIELDS)} FROM rc"
     o["h15_completeness"] = f"{RECORD} SELECT doc_id, {' + '.join(f'CAST({n} <> {chr(39)}{chr(39)} AS INTEGER)' for n in FIELDS)} + CAST(len(history) > 0 AS INTEGER) AS completeness FROM rc"
 
     o["i3_extracted_summary"] = f"{RECORD} SELECT doc_id, 'location: ' || CASE WHEN location <> '' THEN location ELSE '{P.NOT_DETECTED}' END || ' / number: ' || CASE WHEN lot_number <> '' THEN lot_number ELSE '{P.NOT_DETECTED}' END || ' / owner: ' || CASE WHEN owner <> '' THEN owner ELSE '{P.NOT_DETECTED}' END || ' / history: ' || len(history) || '件' AS summary FROM rc"
-    label = "CASE source " + " ".join(f"WHEN '{s}' THEN '{t}'" for s, t in P.SOURCES) + " END"
-    o["i3_read_meta"] = f"{READINGS} SELECT doc_id, source, '読み取り方法: ' || {label} || ' / 品質スコア: ' || {ROUND.format('score')} AS meta FROM q"
+    o["i3_read_meta"] = f"{READINGS} SELECT doc_id, source, '読み取り方法: ' || {label('source')} || ' / 品質スコア: ' || {ROUND.format('score')} AS meta FROM q"
 
     o["j1_apply_templates"] = " UNION ALL ".join(f"SELECT c_custkey AS doc_id, '{n}' AS template, {_fill(s)} AS subject, {_fill(b)} AS body FROM (SELECT *, c_mktsegment AS c_address FROM customer)" for n, _, s, b in TEMPLATES)
     o["k1_tone_map"] = f"WITH {X.PIXELS_SQL} SELECT image_id, y, x, {_grey(*TONES['light'])} AS grey FROM pixels"
