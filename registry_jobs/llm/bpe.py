@@ -35,7 +35,7 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """Encoder and decoder of a lower-casing word-end BPE file, as its tokenizers library reads it."""
 
-    def __init__(self, path: str, most_words: int = 200_000):
+    def __init__(self, path: str, most_words: int = 100_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -169,8 +169,8 @@ def default_path() -> str:
 
 def _slices(column: pa.Array, most: int = 1 << 20) -> Iterator[list[str]]:
     texts, size = [], 0
-    for t in column.to_pylist():
-        texts.append(t or "")
+    for t in column:
+        texts.append(t.as_py() or "")
         size += len(texts[-1])
         if size >= most:
             yield texts
@@ -195,6 +195,7 @@ def _apply(path: str, digest: bool):
                 own = batch.column(0).slice(at, len(texts))
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays([own, pa.array(n, pa.int64()), *more], names=["doc_id", "n_tokens", "a", "b"])
+        bpe.known.clear()
 
     return apply
 
@@ -209,7 +210,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
     path: the tokenizer file, at the same place on every node. A null text is empty and has no ids; null
     ids and repeated rows pass through; other columns are not read. Rows never meet, so there is no
-    shuffle; a worker keeps at most 200,000 words, then begins its store anew.
+    shuffle; a worker keeps at most 100,000 words, then begins its store anew, and none after its rows.
     """
     return _run(docs, path, id_col, text_col, False, "doc_id long, n_tokens long, ids array<int>, decoded string")
 

@@ -80,7 +80,7 @@ class _Classes(dict):
     def __missing__(self, word: str) -> tuple[str, float]:
         w = self.lexicon.weight(word)
         found = ("I", w) if w > 0 else (self.lexicon.classes.get(word, OTHER), 0.0)
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = found
         return found
@@ -188,11 +188,20 @@ def learn_lexicon(sample: DataFrame, n_toxic: int, n_clean: int, most_terms: int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, c = Counter(), Counter()
+
+        def counted() -> pa.RecordBatch:
+            names = list(t.keys() | c.keys())
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([t[n] for n in names], pa.int64()), pa.array([c[n] for n in names], pa.int64())], names=["term", "t", "c"])
+            t.clear()
+            c.clear()
+            return out
+
         for batch in batches:
-            for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                (t if toxic else c).update(terms(text))
-        names = list(t.keys() | c.keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([t[n] for n in names], pa.int64()), pa.array([c[n] for n in names], pa.int64())], names=["term", "t", "c"])
+            for text, toxic in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+                (t if toxic else c).update(terms(text.as_py()))
+                if len(t) + len(c) > 100_000:
+                    yield counted()
+        yield counted()
 
     least = max(6, n_toxic // 100)
     rate = (n_toxic + 1) / (n_clean + 1)
