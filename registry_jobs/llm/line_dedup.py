@@ -5,6 +5,7 @@ lines the line with the smallest hash is a fingerprint, so a repeated run of `le
 fingerprint wherever it stands. A fingerprint meets its other positions together with the lines around
 it, once for each window of `least` lines that holds it; a window that stands earlier in the corpus is a
 match, and matches that overlap or touch extend each other both ways into runs. Later runs are deleted.
+Where `enough` is given, fewer lines with so many words together are windows too, and go through the same join.
 
 The order of the corpus is that of ids, then of lines. A fingerprint travels as a hash with a position,
 copies of a window are reduced to the first before the shuffle, and no group is gathered in one task.
@@ -25,27 +26,29 @@ _U = np.uint64
 _FEED = np.zeros(256, dtype=bool)
 _FEED[10] = True
 LEAST = 3
+ENOUGH = 50
 
 
-def solid_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of each line with a word in it, in order; white space at a line's ends isn't hashed."""
+def solid_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash, number of words) of each line with a word in it, in order; white space at a line's ends isn't hashed."""
     lines, _, line_rows = words(data, offsets, _FEED)
     starts, ends, _ = words(data, offsets)
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, _U)
+        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)
     line = np.searchsorted(lines, starts, side="right") - 1
     new = np.ones(len(line), dtype=bool)
     new[1:] = line[1:] != line[:-1]
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(line)) - 1
-    return line_rows[line[first]], span_hashes(data, starts[first], ends[last])
+    return line_rows[line[first]], span_hashes(data, starts[first], ends[last]), last - first + 1
 
 
-def windows(rows: np.ndarray, hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(rows: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, least: int, enough: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, first line in its row, hash, number of lines) of each window, by its fingerprints.
 
     The winnowed positions are the minima of all windows; each gives the windows that hold it. A row
-    with fewer lines than `least` is one window of all its lines.
+    with fewer lines than `least` is one window of all its lines. With `enough`, each run of fewer lines
+    than `least` is a window too where its lines have so many words together.
     """
     n = len(hashes)
     if not n:
@@ -75,23 +78,27 @@ def windows(rows: np.ndarray, hashes: np.ndarray, least: int) -> tuple[np.ndarra
             out_pos.append(start - first_of_row)
             out_hash.append(acc)
             out_n.append(np.full(len(start), least))
-        for size in range(1, least):
-            short = count == size
-            acc = np.full(int(short.sum()), size, _U)
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        place = np.repeat(np.arange(len(at)), count)
+        for size in range(1, min(least - 1, n) + 1):
+            m = n - size + 1
+            long = upto[size:] - upto[:m] >= enough if enough else np.zeros(m, dtype=bool)
+            start = np.flatnonzero((rows[:m] == rows[size - 1 :]) & (long | (count[place[:m]] == size)))
+            acc = np.full(len(start), size, _U)
             for k in range(size):
-                acc = mix(acc + hashes[at[short] + k])
-            out_row.append(row_at[short])
-            out_pos.append(np.zeros(len(acc), np.int64))
+                acc = mix(acc + hashes[start + k])
+            out_row.append(rows[start])
+            out_pos.append(start - at[place[start]])
             out_hash.append(acc)
-            out_n.append(np.full(len(acc), size))
+            out_n.append(np.full(len(start), size))
     return np.concatenate(out_row), np.concatenate(out_pos), np.concatenate(out_hash), np.concatenate(out_n)
 
 
-def _windows(least: int):
+def _windows(least: int, enough: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data, offsets in text_slices(batch.column(2)):
-                row, pos, h, n = windows(*solid_lines(data, offsets), least)
+                row, pos, h, n = windows(*solid_lines(data, offsets), least, enough)
                 take = pa.array(first + row)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(take), batch.column(1).take(take), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(h.view(np.int64))], names=["doc_id", "text_key", "pos", "n", "h"]
@@ -131,18 +138,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, enough: int = 0) -> DataFrame:
     """doc_id, text, n_lines, n_removed, removed: one row per row of docs, with later repeated runs deleted.
 
     A line is deleted when it lies in a run of at least `least` lines that stands earlier, in a document
     with a smaller id or further up; lines are compared without white space at their ends, and blank
     lines neither count nor end a run nor go. A text with fewer lines is deleted as a whole when an
-    earlier text of the same few lines exists. removed lists runs as first-last, lines from 0 without
+    earlier text of the same few lines exists. With `enough`, a line or a run of lines that has at least so
+    many words is deleted as a run of `least` lines is, wherever it stands. removed lists runs as first-last, lines from 0 without
     the blank ones. Null is empty; null ids come last; rows repeated with id and text go together, the
     first of the corpus stay; other columns are not read; an empty table gives an empty result.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    found = written(base.select("doc_id", "text_key", "text").mapInArrow(_windows(least), "doc_id long, text_key long, pos int, n int, h long"))
+    found = written(base.select("doc_id", "text_key", "text").mapInArrow(_windows(least, enough), "doc_id long, text_key long, pos int, n int, h long"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "pos", "text_key")
     firsts = found.groupBy("h", "n").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     later = found.join(written(firsts), ["h", "n"]).where(place > F.col("first"))

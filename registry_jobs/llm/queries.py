@@ -55,9 +55,9 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from registry_jobs.llm.line_dedup import dedup_lines
+    from registry_jobs.llm.line_dedup import ENOUGH, dedup_lines
 
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "removed", F.sha2("text", 256).alias("text_sha256"))
+    return dedup_lines(table(spark, sf_dir, "documents"), enough=ENOUGH).select("doc_id", "n_lines", "n_removed", "removed", F.sha2("text", 256).alias("text_sha256"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

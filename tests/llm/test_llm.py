@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from registry_jobs.llm import bpe, exact_dedup, html_text, line_dedup, media, mixing, near_dedup, pii, toxicity, url_filter
+from registry_jobs.llm import bpe, exact_dedup, html_text, line_dedup, media, mixing, near_dedup, pii, queries, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, norm long, key int, size int, score string"
 WS = r"[\x20\x09-\x0D]+"
@@ -259,6 +259,34 @@ def test_line_dedup(spark, docs, none, sf):
     assert line_dedup.dedup_lines(docs).count() == len(TEXTS) and line_dedup.dedup_lines(none).count() == 0
 
 
+def plain_enough(rows, least=3, enough=50):
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        lines = [x for x in (x.strip(" \t\n\x0b\x0c\r") for x in (t or "").split("\n")) if x]
+        gone, new = set(), set()
+        for n in range(1, least + 1):
+            for p in range(len(lines) - n + 1):
+                w = (*lines[p : p + n],)
+                if n in (least, len(lines)) or len(" ".join(w).split()) >= enough:
+                    if w in seen or w in new:
+                        gone |= set(range(p, p + n))
+                    new.add(w)
+        out[i] = (len(lines), len(gone))
+        seen |= new
+    return out
+
+
+def test_line_dedup_of_few_long_lines(spark, sf):
+    long, short = " ".join(words(54, 21)), " ".join(words(49, 22))
+    half = [" ".join(words(26, k)) for k in (23, 24)]
+    rows = [(1, f"a1\n{long}\nb1\n{short}\nc1\n{half[0]}\n{half[1]}\nd1"), (2, f"a2\nb2\n {long}\nc2\n{short}\nd2\n{half[0]}\n\n{half[1]}\ne2"), (3, long), (4, f"a4\n{half[1]}\nb4\n{half[0]}")]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, rows), enough=line_dedup.ENOUGH).collect()}
+    assert [got[i].removed for i in (1, 2, 3, 4)] == ["", "2-2,6-7", "0-0", ""]
+    assert got[2].text == f"a2\nb2\nc2\n{short}\nd2\n\ne2"
+    real = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert {r.doc_id: (r.n_lines, r.n_removed) for r in queries.op8_line_dedup(spark, sf).collect()} == plain_enough(real)
+
+
 def plain_base(text):
     def found(pattern, good):
         return [m.span() for m in re.finditer(pattern, text) if good(m[0])]
