@@ -9,11 +9,11 @@ from registry_jobs.functions import quality as Q
 from registry_jobs.operators.election import completeness, field_rows
 
 
-def correction_report(df: DataFrame, top: int = 12) -> DataFrame:
-    """(doc_id, rank, label, count) from (doc_id, corrections map): the most frequent labels of each document."""
-    rows = df.select("doc_id", F.explode("corrections").alias("label", "count"))
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("count"), "label"))
-    return rows.withColumn("rank", nth).where(F.col("rank") <= top).select("doc_id", "rank", "label", "count")
+def correction_report(df: DataFrame, top: int = 12, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, rank, label, count) from (keys, corrections map): the most frequent labels of each document, or reading."""
+    rows = df.select(*keys, F.explode("corrections").alias("label", "count"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("count"), "label"))
+    return rows.withColumn("rank", nth).where(F.col("rank") <= top).select(*keys, "rank", "label", "count")
 
 
 def correction_totals(df: DataFrame, top: int = 12) -> DataFrame:

@@ -138,10 +138,10 @@ _add("b12_unique_clean", lambda s, d: X.reg_docs(s, d).select("doc_id", _joined(
 
 
 def _reported(spark: SparkSession, sf: str) -> DataFrame:
-    return jobs.normalized_with_report(X.reg_docs_noisy(spark, sf).where("source = 'ocr-binary'").select("doc_id", F.col("raw_text").alias("text")))
+    return jobs.normalized_with_report(X.reg_docs_noisy(spark, sf).select("doc_id", "source", F.col("raw_text").alias("text")))
 
 
-_add("b13_correction_report", lambda s, d: corpus.correction_report(_reported(s, d).select("doc_id", F.col("normal.corrections").alias("corrections"))))
+_add("b13_correction_report", lambda s, d: corpus.correction_report(_reported(s, d).select("doc_id", "source", F.col("normal.corrections").alias("corrections")), keys=("doc_id", "source")))
 
 
 @query
@@ -151,7 +151,7 @@ def b14_normalization_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _on_docs("b15_clip_text", text=T.clip_text)
-_add("b16_normalize_with_report", lambda s, d: _reported(s, d).select("doc_id", "normal.text", F.to_json("normal.corrections").alias("corrections")))
+_add("b16_normalize_with_report", lambda s, d: _reported(s, d).select("doc_id", "source", "normal.text", F.to_json("normal.corrections").alias("corrections")))
 
 
 # C. Predicates
@@ -324,7 +324,7 @@ def h16_decide(spark: SparkSession, sf: str) -> DataFrame:
 
 # I. Diagnostics
 _add("i1_structure_summary", lambda s, d: _extracted(s, d).select("doc_id", _joined(diagnostics.structure_summary(F.col("text"), F.col("fields"))).alias("summary")))
-_add("i2_field_reasons", lambda s, d: jobs.readings_to_record(X.reg_docs_noisy(s, d).where("arrival_no in (0, 2)")).select("doc_id", _joined("reasons").alias("reasons")))
+_add("i2_field_reasons", lambda s, d: jobs.readings_to_record(X.reg_docs_noisy(s, d)).select("doc_id", _joined("reasons").alias("reasons")))
 _add("i3_extracted_summary", lambda s, d: _extracted(s, d).select("doc_id", diagnostics.extracted_summary(F.col("fields")).alias("summary")))
 _quality("i3_read_meta", lambda: diagnostics.read_meta(V.source_label(F.col("source")), q()).alias("meta"))
 

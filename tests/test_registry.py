@@ -218,3 +218,17 @@ def test_query_equals_sql(spark, sf, duck, name):
 def test_queries_without_sql_run(spark, sf):
     for name in ("b13_correction_report", "b16_normalize_with_report", "h8_candidate_set", "k_clean_images", "l1_correction_totals"):
         assert catalogue.queries()[name](spark, sf).count() > 0
+
+
+def test_reports_and_reasons_use_all_readings(spark, sf, monkeypatch):
+    eight = catalogue.X.reg_docs_noisy(spark, sf).where("doc_id < 40").cache()
+    monkeypatch.setattr(catalogue.X, "reg_docs_noisy", lambda s, d: eight)
+    read = {(r.doc_id, r.source): r.n for r in eight.select("doc_id", "source", T.normalize_with_report(F.col("raw_text")).alias("n")).collect()}
+    made = {(r.doc_id, r.source): r.text for r in catalogue.queries()["b16_normalize_with_report"](spark, sf).collect()}
+    assert len(made) == len(catalogue.P.SOURCES) * len({d for d, _ in made}) and made == {k: r.text for k, r in read.items()}
+    tops = {(k, n + 1, *x) for k, r in read.items() for n, x in enumerate(sorted(r.corrections.items(), key=lambda x: (-x[1], x[0]))[:12])}
+    assert {((r.doc_id, r.source), r.rank, r.label, r["count"]) for r in catalogue.queries()["b13_correction_report"](spark, sf).collect()} == tops
+    reasons = {r.doc_id: r.reasons for r in catalogue.queries()["i2_field_reasons"](spark, sf).collect()}
+    assert reasons == {r.doc_id: " | ".join(r.reasons) for r in jobs.readings_to_record(eight).collect()}
+    two = {r.doc_id: " | ".join(r.reasons) for r in jobs.readings_to_record(eight.where("arrival_no in (0, 2)")).collect()}
+    assert reasons.keys() == two.keys() and reasons != two
