@@ -4,7 +4,7 @@ Patterns give the base spans. Suspects are tokens of like shape which the patter
 other notations, disguised addresses. Base spans and suspects of a document are the nodes of a field:
 neighbours in the text share a chain potential, and equal or similar tokens, however far apart, a skip
 potential. Loopy message passing lets a confirmed token lend its label to its other spellings; suspects
-whose belief passes a threshold are added. Unary weights are learned from a bounded sample, with base
+whose belief passes a threshold are added. Unary weights are learned from all documents, with base
 spans as positive and suspects as negative examples. All documents of a slice form one graph for numpy.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registry_jobs.llm.common import text_or_empty
+from registry_jobs.llm.common import text_or_empty, written
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -172,7 +172,7 @@ def label_texts(texts: list[str], model: Field) -> list[tuple[list, list]]:
         base = base_spans(text)
         more = suspects(text, base)
         rows.append((base, []))
-        if not more or not base:  # without a confirmed token nothing can be lent
+        if not more:
             continue
         own = sorted([(s, e, k + 1) for s, k, e in base] + [(s, e, 0) for s, e in more])
         last: dict[str, int] = {}
@@ -204,30 +204,34 @@ def label_texts(texts: list[str], model: Field) -> list[tuple[list, list]]:
     return rows
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 5_000) -> Field:
-    """Unary weights from at most sample_rows documents, the first by a hash of their id and text.
-
-    Hashes alone are sorted for the sample's edge, so that only its own texts meet in a task.
-    """
-    hashed = docs.select(text_or_empty(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
-    edge = hashed.select("h").orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
-    sample = hashed.where(F.col("h") <= F.lit(edge)).limit(sample_rows)
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = 1e-5) -> Field:
+    """Unary weights from all documents: features with at least least_share of all counts, and five."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+
+        def counted() -> pa.RecordBatch:
+            keys = list(seen)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([f for f, _ in keys], pa.string()), pa.array([k for _, k in keys], pa.int32()), pa.array([seen[x] for x in keys], pa.int64())], names=["feature", "label", "n"]
+            )
+
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in batch.column(0):
+                text = text.as_py()
                 base = base_spans(text)
                 for s, e, k in [(s, e, k + 1) for s, k, e in base] + [(s, e, 0) for s, e in suspects(text, base)]:
                     seen.update((f, k) for f in ["", *shape(text, s, e)])
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([f for f, _ in keys], pa.string()), pa.array([k for _, k in keys], pa.int32()), pa.array([seen[x] for x in keys], pa.int64())], names=["feature", "label", "n"]
-        )
-
-    counts = sample.select("text").mapInArrow(count, "feature string, label int, n long").groupBy("feature", "label").agg(F.sum("n").alias("n")).where("n >= 5")
+                if len(seen) > 100_000:
+                    yield counted()
+                    seen.clear()
+        yield counted()
+
+    tokens = docs.select(text_or_empty(text_col).alias("text")).mapInArrow(count, "feature string, label int, n long")
+    counts = written(tokens.groupBy("feature", "label").agg(F.sum("n").alias("n")))
+    least = max(5.0, least_share * (counts.agg(F.sum("n")).first()[0] or 0))
     table: dict[str, np.ndarray] = {}
-    for r in counts.orderBy(F.desc("n"), "feature", "label").limit(5_000).collect():
+    for r in counts.where(F.col("n") >= least).collect():
         table.setdefault(r["feature"], np.zeros(len(LABELS)))[r["label"]] = r["n"]
     model = Field()
     total = table.pop("", np.zeros(len(LABELS))) + 1

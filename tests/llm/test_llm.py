@@ -326,6 +326,19 @@ def test_pii(docs, none, spark, sf):
         assert x.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
 
 
+def test_pii_without_base_spans(spark, monkeypatch):
+    text = "nothing else, write to tel ann (at) mail (dot) example (dot) com today"
+    assert pii.base_spans(text) == [] and len(pii.suspects(text, [])) == 1
+    sure = pii.Field(unary={"at": np.array([0.0, 9.0, 0, 0, 0]), "no at": np.array([0.0, 9.0, 0, 0, 0])})
+    assert [k for _, k, _ in pii.label_texts([text], sure)[0][1]] == [0] and pii.label_texts([text], pii.Field())[0][1] == []
+
+
+def test_pii_learns_from_all_documents(spark):
+    rows = spark.range(6_000).selectExpr("id doc_id", "concat('mark', id % 1200, ' ann@x.example.com') text")
+    model = pii.learn(rows)
+    assert all(f"word=mark{k}" in model.unary for k in range(1200))
+
+
 def test_beliefs_are_exact_on_a_tree():
     r = np.random.default_rng(2)
     unary, edges, s = r.normal(size=(4, 5)), np.array([[0, 1], [1, 2], [1, 3]]), np.array([0.7, 2.0, 1.1])
