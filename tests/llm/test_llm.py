@@ -426,3 +426,12 @@ def test_registered(spark):
 
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+
+
+def test_html_of_divs_only():
+    long = "".join(f"<p>Long paragraph {k}, with many words, commas, and more of them, so that it has points, as it should.</p>" for k in range(12))
+    page = f"""<body><div id=top><a href=/>Home</a></div><div><h1>Title</h1><h2>First</h2><div>{long}</div><h2>Second</h2><div><p>A short one.</p></div>
+    <h3>Things</h3><ul><li>one thing</li><li>two things</li></ul><table><tr><td>cell</td></tr></table><figure><figcaption>A figure</figcaption></figure>
+    <h2>Elsewhere</h2><ul><li><a href=/x>Some other page</a></li></ul></div></body>"""
+    text = html_text.main_text(page).split("\n\n")
+    assert text[:2] == ["Title", "First"] and text[14:] == ["Second", "A short one.", "Things", "one thing", "two things", "cell", "A figure"]
