@@ -1,13 +1,12 @@
-"""Line dedup by winnowing over line hashes.
+"""Line dedup by windows of line hashes.
 
-A document is the row of hashes of its lines that aren't blank. In every window of `least` consecutive
-lines the line with the smallest hash is a fingerprint, so a repeated run of `least` lines holds the same
-fingerprint wherever it stands. A fingerprint meets its other positions together with the lines around
-it, once for each window of `least` lines that holds it; a window that stands earlier in the corpus is a
-match, and matches that overlap or touch extend each other both ways into runs. Later runs are deleted.
+A document is the row of hashes of its lines that aren't blank. Every window of `least` consecutive lines
+is joined by one hash: the windows that hold a winnowed fingerprint are all of them, as each holds its own
+minimum, so nothing is chosen and no match is extended. A window that stands earlier in the corpus is a
+match, and matches that overlap or touch are united into runs. Later runs are deleted.
 Where `enough` is given, fewer lines with so many words together are windows too, and go through the same join.
 
-The order of the corpus is that of ids, then of lines. A fingerprint travels as a hash with a position,
+The order of the corpus is that of ids, then of lines. A window travels as a hash with a position,
 copies of a window are reduced to the first before the shuffle, and no group is gathered in one task.
 """
 
@@ -44,9 +43,9 @@ def solid_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def windows(rows: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, least: int, enough: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first line in its row, hash, number of lines) of each window, by its fingerprints.
+    """(row, first line in its row, hash, number of lines) of each window.
 
-    The winnowed positions are the minima of all windows; each gives the windows that hold it. A row
+    The minima of all windows give the windows that hold them, which are all. A row
     with fewer lines than `least` is one window of all its lines. With `enough`, each run of fewer lines
     than `least` is a window too where its lines have so many words together.
     """
