@@ -43,23 +43,39 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def shaped(path: Column, depth: int) -> Column:
-    """Segments of a path, at most `depth`: numbers and hexadecimal names of 8 and more are *, the rest of a deeper path is **."""
+def shaped(path: Column, depth: int | None = None) -> Column:
+    """Segments of a path: numbers and hexadecimal names of 8 and more are *; with depth, at most so many, and the rest of a deeper path is **."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
     star = lambda s: F.when(s.rlike(r"^(?:[0-9]+|[0-9a-f]*[0-9][0-9a-f]{7,}|[0-9a-f-]{32,})(\.[A-Za-z0-9]{1,5})?$"), F.lit("*")).otherwise(s)
+    if depth is None:
+        return F.transform(parts, star)
     cut = F.transform(F.slice(parts, 1, depth), star)
     return F.when(F.size(parts) > depth, F.concat(cut, F.array(F.lit("**")))).otherwise(cut)
 
 
-def template_tree(paths: DataFrame, depth: int, most_share: float, least_children: int) -> DataFrame:
+def varied_levels(paths: DataFrame, least_children: int) -> list[int]:
+    """The levels, from 0, at which a host has more than least_children different segments: no other can be wide."""
+    found = paths.select("host", F.posexplode("shape").alias("level", "child")).distinct()
+    wide = found.groupBy("host", "level").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > least_children)
+    return sorted(r.level for r in wide.select("level").distinct().collect())
+
+
+def template_tree(paths: DataFrame, most_share: float, least_children: int) -> DataFrame:
     """paths (host, shape, n, labelled, blocked) with `template`: variable children made wildcards, from the top down.
 
     A parent's children are variable when it has more than least_children of them and more than
-    most_share of its pages' number. One pass a level, on groups and not on pages.
+    most_share of its pages' number. One pass a level that may be wide, down to the longest path's end,
+    on groups and not on pages; the segments between are taken as they are.
     """
-    tree = paths.withColumn("template", F.lit(""))
-    for level in range(1, depth + 1):
-        here = F.get("shape", F.lit(level - 1))
+    tree, done = paths.withColumn("template", F.lit("")), 0
+
+    def plain(first: int, n: Column) -> Column:
+        return F.concat("template", F.array_join(F.transform(F.slice("shape", first + 1, n), lambda s: F.concat(F.lit("/"), s)), ""))
+
+    for k, level in enumerate(varied_levels(paths, least_children)):
+        tree = tree.withColumn("template", plain(done, F.lit(level - done)))
+        done = level + 1
+        here = F.get("shape", F.lit(level))
         children = tree.where(here.isNotNull()).groupBy("host", "template", here.alias("child")).agg(F.sum("n").alias("n"))
         wide = (
             children.groupBy("host", "template")
@@ -70,18 +86,19 @@ def template_tree(paths: DataFrame, depth: int, most_share: float, least_childre
         tree = tree.join(wide, ["host", "template"], "left")
         step = F.when(F.col("wide") & (here != "**"), F.lit("*")).otherwise(here)
         tree = tree.withColumn("template", F.when(here.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step))).drop("wide")
-    deeper = F.get("shape", F.lit(depth))
-    return tree.withColumn("template", F.when(deeper.isNotNull(), F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+        if k % 4 == 3:
+            tree = written(tree)  # a plan doubles with each level
+    return tree.withColumn("template", plain(done, F.size("shape")))
 
 
 def judge_urls(
-    pages: DataFrame, rules=RULES, depth: int = 5, most_share: float = 0.3, least_children: int = 8, prior: float = 0.3, strength: float = 4.0, reject_at: float = 0.5, z: float = 1.96
+    pages: DataFrame, rules=RULES, depth: int | None = None, most_share: float = 0.3, least_children: int = 8, prior: float = 0.3, strength: float = 4.0, reject_at: float = 0.5, z: float = 1.96
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity: one row per row of pages (page_id, url).
 
     Rules decide where one fits, and label their pages for the tree. A null url or one without :// has an
     empty host and path. Null ids and repeated rows pass through; other columns are not read; an empty
-    table gives an empty result. purity is null where a rule decides. A template without labelled pages
+    table gives an empty result. Without depth, paths are read to their ends. purity is null where a rule decides. A template without labelled pages
     has the prior as its purity.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
@@ -91,7 +108,7 @@ def judge_urls(
     counts = base.groupBy("host", "shape").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(ruled, 1)).alias("labelled"), F.count(F.when(F.col("by_rule.verdict") == "block", 1)).alias("blocked")
     )
-    tree = written(template_tree(counts, depth, most_share, least_children))
+    tree = written(template_tree(written(counts), most_share, least_children))
     leaf = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     leaf = leaf.withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
     # Labelled branches under one parent pool their counts unless they differ from the pool by z standard errors.

@@ -428,6 +428,16 @@ def test_registered(spark):
     assert sorted(int(re.match(r"op(\d+)", n)[1]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
 
 
+def test_url_paths_are_read_to_their_ends(spark):
+    rules = (("h.example", "/a/b/c/d/e/bad/", "block"), ("h.example", "/a/b/c/d/e/good/", "allow"))
+    urls = [f"http://h.example/a/b/c/d/e/{kind}/x/p{k}" for kind in ("bad", "good") for k in range(40)] + ["http://h.example/a/b/c/d/e/other/x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.judge_urls(pages, rules=rules).collect()}
+    assert {got[k].template for k in range(40)} == {"/a/b/c/d/e/bad/x/*"} and {got[k].template for k in range(40, 80)} == {"/a/b/c/d/e/good/x/*"}
+    assert got[80].template == "/a/b/c/d/e/other/x"
+    assert {r.template for r in url_filter.judge_urls(pages, rules=rules, depth=5).collect()} == {"/a/b/c/d/e/**"}
+
+
 def test_html_of_divs_only():
     long = "".join(f"<p>Long paragraph {k}, with many words, commas, and more of them, so that it has points, as it should.</p>" for k in range(12))
     page = f"""<body><div id=top><a href=/>Home</a></div><div><h1>Title</h1><h2>First</h2><div>{long}</div><h2>Second</h2><div><p>A short one.</p></div>
