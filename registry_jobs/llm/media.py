@@ -137,10 +137,30 @@ def picture_of(payload: bytes) -> np.ndarray:
 
 
 _DIGEST = pa.schema(
-    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_tiles", pa.int64()), ("tiles_sha256", pa.string())]
 )
 
 
+def tiles_of(data: bytes, tile: int = 64, height: int = 0, width: int = 0) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row, col, tile) of the decoded greymap of a file, area-resized if height and width are given."""
+    image = grey(decode(data))
+    if height and width:
+        image = area_resize(image, height, width)
+    image = np.floor(image + 0.5).astype(np.uint8)
+    for y in range(0, image.shape[0], tile):
+        for x in range(0, image.shape[1], tile):
+            yield y // tile, x // tile, image[y : y + tile, x : x + tile]
+
+
+def tiles_digest(data: bytes) -> tuple[int, str]:
+    """Number of a file's tiles, and the SHA-256 of their NPY files one after another."""
+    n, digest = 0, hashlib.sha256()
+    for _, _, part in tiles_of(data):
+        n += 1
+        digest.update(npy(part))
+    return n, digest.hexdigest()
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -149,7 +169,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stored = encode_ppm(picture_of(payload))
             back = decode(stored)
             read = back.tobytes()
-            rows.append((i, n, len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(grey(back))))
+            rows.append((i, n, len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(grey(back)), *tiles_digest(encode_bmp(picture_of(payload)))))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _DIGEST, strict=True)], schema=_DIGEST)
 
@@ -157,11 +177,13 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store each text as a PPM picture, read it back, and return digests and the difference hash.
 
+    n_tiles and tiles_sha256 are of the NPY tiles that media_tiles() cuts from the same picture as BMP.
+
     A null text is empty (one row of spaces). Null ids and repeated rows pass through; other columns
     are not read; equal texts give equal values. Rows never meet: no shuffle.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return docs.mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tiles long, tiles_sha256 string")
 
 
 def text_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "ppm") -> DataFrame:
@@ -188,14 +210,8 @@ def media_tiles(media: DataFrame, tile: int = 64, height: int = 0, width: int =
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = []
                 try:
-                    image = grey(decode(data.as_py() or b""))
-                    if height and width:
-                        image = area_resize(image, height, width)
-                    image = np.floor(image + 0.5).astype(np.uint8)
-                    for y in range(0, image.shape[0], tile):
-                        for x in range(0, image.shape[1], tile):
-                            part = image[y : y + tile, x : x + tile]
-                            rows.append((i, y // tile, x // tile, npy(part), difference_hash(part), None))
+                    for y, x, part in tiles_of(data.as_py() or b"", tile, height, width):
+                        rows.append((i, y, x, npy(part), difference_hash(part), None))
                 except (ValueError, IndexError, struct.error) as e:
                     rows = [(i, None, None, None, None, str(e) or type(e).__name__)]
                 if rows:

@@ -438,6 +438,16 @@ def test_url_paths_are_read_to_their_ends(spark):
     assert {r.template for r in url_filter.judge_urls(pages, rules=rules, depth=5).collect()} == {"/a/b/c/d/e/**"}
 
 
+def test_media_digest_has_the_tiles(spark, docs):
+    made = {}
+    some = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    for r in media.media_tiles(media.text_to_media(some, kind="bmp")).orderBy("media_id", "row", "col").collect():
+        assert r.error is None
+        made.setdefault(r.media_id, []).append(bytes(r.npy))
+    got = {r.doc_id: (r.n_tiles, r.tiles_sha256) for r in media.media_digest(some).collect()}
+    assert got == {i: (len(x), hashlib.sha256(b"".join(x)).hexdigest()) for i, x in made.items()} and got[9][0] > 1
+
+
 def test_html_of_divs_only():
     long = "".join(f"<p>Long paragraph {k}, with many words, commas, and more of them, so that it has points, as it should.</p>" for k in range(12))
     page = f"""<body><div id=top><a href=/>Home</a></div><div><h1>Title</h1><h2>First</h2><div>{long}</div><h2>Second</h2><div><p>A short one.</p></div>
