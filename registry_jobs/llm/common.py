@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ WS = "[\\x20\\x09-\\x0D]+"
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _COMB = 0xD1B54A32D192ED03
+#: Bytes up to which a span is hashed by numpy.
+LONG = 256
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -29,9 +32,11 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; one of our own only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir. One of our own only where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,16 +52,28 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
-def dropped(df: DataFrame) -> None:
-    """Remove the files of a table made by written() which no later plan reads."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
+def dropped(*tables: DataFrame) -> None:
+    """Remove the files of tables made by written() which no later plan reads."""
+    for df in tables:
         spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+HOT = 1000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], n_rows: int, times: str = "times") -> DataFrame:
+    """Inner join of rows with keyed, which has one row a key and in `times` how many rows have it.
+
+    A key with more than a thousandth of all rows is hot. There are fewer than a thousand of them, so they
+    are broadcast and their rows stay where they are; the other rows are sorted and merged.
+    """
+    hot = keyed.where(F.col(times) * F.lit(HOT) > F.lit(n_rows))
+    cold = keyed.where(F.col(times) * F.lit(HOT) <= F.lit(n_rows))
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold.hint("merge"), on))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser on uint64 arrays."""
     x = x ^ (x >> _U(30))
@@ -66,23 +83,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_powers: tuple[np.ndarray, np.ndarray] | None = None
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        inverse = pow(_BASE, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            up = np.cumprod(np.concatenate(([_U(1)], np.full(size - 1, _U(_BASE)))), dtype=_U)
-            down = np.cumprod(np.concatenate(([_U(1)], np.full(size - 1, _U(inverse)))), dtype=_U)
-        if size > 1 << 22:
-            return up, down  # one very long text: not kept
-        _powers = (up, down)
-    return _powers
-
-
 def text_slices(column: pa.Array, most: int = 1 << 20):
     """(first row, bytes, row offsets) of consecutive rows with about `most` bytes; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -105,15 +105,36 @@ def text_slices(column: pa.Array, most: int = 1 << 20):
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, by differences of one running polynomial."""
-    if len(starts) == 0:
-        return np.zeros(0, _U)
-    up, down = _power_tables(len(data) + 1)
+    """A 64-bit hash of each byte span: its length and its words of eight bytes, mixed in one after the other.
+
+    Spans beyond LONG bytes, which numpy would take in many short steps, go through xxHash.
+    """
+    n = ends - starts
+    out = mix(n.astype(_U) * _U(_COMB) + _U(_BASE))
+    if not len(n):
+        return out
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data), "<u8", padded.data, strides=(1,))
     with np.errstate(over="ignore"):
-        total = np.zeros(len(data) + 1, dtype=_U)
-        np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], dtype=_U, out=total[1:])
-        raw = (total[ends] - total[starts]) * down[starts]
-        return mix(raw + (ends - starts).astype(_U) * _U(_COMB))
+        left, at, todo = n, starts, None
+        short = n <= LONG
+        if not short.all():
+            todo = np.flatnonzero(short)
+            left, at = n[short], starts[short]
+            for k in np.flatnonzero(~short):
+                out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
+        while len(left):
+            part = eights[at]
+            cut = left < 8
+            part = np.where(cut, part & ((_U(1) << (np.minimum(left, 7).astype(_U) * _U(8))) - _U(1)), part)
+            if todo is None:
+                out = mix(out ^ part * _U(_BASE))
+            else:
+                out[todo] = mix(out[todo] ^ part * _U(_BASE))
+            more = left > 8
+            todo = np.flatnonzero(more) if todo is None else todo[more]
+            left, at = left[more] - 8, at[more] + 8
+    return out
 
 
 def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,159 +1,179 @@
-"""Line dedup by windows of line hashes.
-
-A document is the row of hashes of its lines that aren't blank. Every window of `least` consecutive lines
-is joined by one hash: the windows that hold a winnowed fingerprint are all of them, as each holds its own
-minimum, so nothing is chosen and no match is extended. A window that stands earlier in the corpus is a
-match, and matches that overlap or touch are united into runs. Later runs are deleted.
-Where `enough` is given, fewer lines with so many words together are windows too, and go through the same join.
-
-The order of the corpus is that of ids, then of lines. A window travels as a hash with a position,
-copies of a window are reduced to the first before the shuffle, and no group is gathered in one task.
+"""Line dedup by winnowing over line hashes.
+
+A document is the row of its lines that aren't blank. A gram begins at each line: the shortest run of lines
+from there on with `least` lines or, where `enough` is given, with so many words. Every window of `window`
+consecutive grams gives its minimum as a fingerprint, and a gram that has the words by itself is always one,
+as a passage may hold no other. Fingerprints travel with their position and with the lines beside them;
+equal ones are joined with their first occurrence, and each match is extended both ways by comparing lines.
+Matches that overlap or touch are runs, and later runs are deleted.
+
+Lines and grams are known by 128-bit BLAKE2b digests of their bytes. What is deleted is digested anew from the
+text at hand and compared with the digests that came from the earlier text: no line goes on a mere hash key.
+The order of the corpus is that of ids, then of lines. No group is gathered in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registry_jobs.llm.common import mix, span_hashes, text_or_empty, text_slices, words, written
+from registry_jobs.llm.common import dropped, join_counted, text_or_empty, written
 
-_U = np.uint64
-_FEED = np.zeros(256, dtype=bool)
-_FEED[10] = True
 LEAST = 3
 ENOUGH = 50
+WINDOW = 2
+SIZE = 16
+BLANK = b" \t\n\x0b\x0c\r"
+
+
+def digest(data: bytes) -> bytes:
+    return blake2b(data, digest_size=SIZE).digest()
 
 
-def solid_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, hash, number of words) of each line with a word in it, in order; white space at a line's ends isn't hashed."""
-    lines, _, line_rows = words(data, offsets, _FEED)
-    starts, ends, _ = words(data, offsets)
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int64)
-    line = np.searchsorted(lines, starts, side="right") - 1
-    new = np.ones(len(line), dtype=bool)
-    new[1:] = line[1:] != line[:-1]
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(line)) - 1
-    return line_rows[line[first]], span_hashes(data, starts[first], ends[last]), last - first + 1
+def solid_lines(text: str) -> tuple[list[bytes], np.ndarray]:
+    """Digest and number of words of each line with a word in it, in order; white space at a line's ends isn't digested."""
+    lines = [x for line in text.encode("utf-8", "surrogatepass").split(b"\n") if (x := line.strip(BLANK))]
+    return [digest(x) for x in lines], np.array([len(x.split()) for x in lines], np.int64)
 
 
-def windows(rows: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, least: int, enough: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first line in its row, hash, number of lines) of each window.
+def grams(sizes: np.ndarray, least: int, enough: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of lines, whether it has the words) of the gram at each line that begins one; its first lines do.
 
-    The minima of all windows give the windows that hold them, which are all. A row
-    with fewer lines than `least` is one window of all its lines. With `enough`, each run of fewer lines
-    than `least` is a window too where its lines have so many words together.
+    A text with fewer lines than `least` and without the words is one gram of all its lines.
     """
-    n = len(hashes)
-    if not n:
-        z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, _U), z
-    begin = np.ones(n, dtype=bool)
-    begin[1:] = rows[1:] != rows[:-1]
-    at = np.flatnonzero(begin)
-    row_at, count = rows[at], np.diff(np.append(at, n))
-    out_row, out_pos, out_hash, out_n = [], [], [], []
-    with np.errstate(over="ignore"):
-        if n >= least:
-            m = n - least + 1
-            stack = np.stack([hashes[k : k + m] for k in range(least)])
-            whole = rows[:m] == rows[least - 1 :]
-            prints = np.unique((np.arange(m) + stack.argmin(axis=0))[whole])
-            held = np.zeros(m + least, dtype=bool)
-            for k in range(least):
-                start = prints - k
-                held[start[start >= 0]] = True
-            start = np.flatnonzero(held[:m] & whole)
-            acc = np.zeros(len(start), _U)
-            for k in range(least):
-                acc = mix(acc + hashes[start + k])
-            first_of_row = at[np.searchsorted(at, start, side="right") - 1]
-            out_row.append(rows[start])
-            out_pos.append(start - first_of_row)
-            out_hash.append(acc)
-            out_n.append(np.full(len(start), least))
-        upto = np.concatenate(([0], np.cumsum(sizes)))
-        place = np.repeat(np.arange(len(at)), count)
-        for size in range(1, min(least - 1, n) + 1):
-            m = n - size + 1
-            long = upto[size:] - upto[:m] >= enough if enough else np.zeros(m, dtype=bool)
-            start = np.flatnonzero((rows[:m] == rows[size - 1 :]) & (long | (count[place[:m]] == size)))
-            acc = np.full(len(start), size, _U)
-            for k in range(size):
-                acc = mix(acc + hashes[start + k])
-            out_row.append(rows[start])
-            out_pos.append(start - at[place[start]])
-            out_hash.append(acc)
-            out_n.append(np.full(len(start), size))
-    return np.concatenate(out_row), np.concatenate(out_pos), np.concatenate(out_hash), np.concatenate(out_n)
-
-
-def _windows(least: int, enough: int):
+    n = len(sizes)
+    upto = np.concatenate(([0], np.cumsum(sizes)))
+    length = np.full(n, least)
+    if enough:
+        length = np.minimum(length, np.searchsorted(upto, upto[:-1] + enough) - np.arange(n))
+    length = length[np.arange(n) + length <= n]
+    if not len(length):
+        return np.array([n], np.int64)[: n > 0], np.zeros(min(n, 1), bool)
+    at = np.arange(len(length))
+    return length, (upto[at + length] - upto[at] >= enough) if enough else np.zeros(len(length), bool)
+
+
+def fingerprints(lines: list[bytes], sizes: np.ndarray, least: int, enough: int, window: int) -> Iterator[tuple[int, int, bytes]]:
+    """(first line, number of lines, digest) of the chosen grams; of equal minima in a window all are chosen."""
+    length, sure = grams(sizes, least, enough)
+    short = len(length) == 1 and length[0] < least and not sure[0]
+    names = [digest((b"all" if short else b"") + b"".join(lines[p : p + n])) for p, n in enumerate(length.tolist())]
+    order = np.array([int.from_bytes(x[:8], "big") for x in names], np.uint64)
+    chosen = sure.copy()
+    m = len(order) - window + 1
+    if m < 1:
+        chosen[order == order.min(initial=np.iinfo(np.uint64).max)] = True
+    else:
+        stack = np.stack([order[k : k + m] for k in range(window)])
+        least_here = stack.min(axis=0)
+        for k in range(window):
+            chosen[k : k + m] |= stack[k] == least_here
+    for p in np.flatnonzero(chosen).tolist():
+        yield p, int(length[p]), names[p]
+
+
+def _prints(least: int, enough: int, window: int):
+    names = ["doc_id", "text_key", "pos", "n", "a", "b", "before", "after"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(batch: pa.RecordBatch, rows: list) -> pa.RecordBatch:
+            row, pos, n, name, before, after = zip(*rows, strict=True)
+            take = pa.array(row)
+            key = np.frombuffer(b"".join(name), "<i8").reshape(-1, 2)
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0).take(take), batch.column(1).take(take), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=names
+            )
+
         for batch in batches:
-            for first, data, offsets in text_slices(batch.column(2)):
-                row, pos, h, n = windows(*solid_lines(data, offsets), least, enough)
-                take = pa.array(first + row)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(h.view(np.int64))], names=["doc_id", "text_key", "pos", "n", "h"]
-                )
+            rows: list[tuple] = []
+            for k, text in enumerate(batch.column(2)):
+                lines, sizes = solid_lines(text.as_py())
+                for p, n, name in fingerprints(lines, sizes, least, enough, window):
+                    rows.append((k, p, n, name, b"".join(lines[max(0, p - window + 1) : p]), b"".join(lines[p + n : p + n + window - 1])))
+                if len(rows) > 20_000:
+                    yield made(batch, rows)
+                    rows = []
+            if rows:
+                yield made(batch, rows)
 
     return run
 
 
+def matched(lines: list[bytes], marks: list[tuple[int, int, bytes, bytes, bytes]]) -> list[list[int]]:
+    """Runs [first, last] of lines that the marks (first line, number, digest, lines before, lines after) verify and extend to."""
+    runs: list[list[int]] = []
+    for p, n, name, before, after in sorted(marks):
+        here = b"".join(lines[p : p + n])
+        if name not in (digest(here), digest(b"all" + here)):
+            continue
+        first, last = p, p + n - 1
+        while first and before and lines[first - 1] == before[-SIZE:]:
+            first, before = first - 1, before[:-SIZE]
+        while last + 1 < len(lines) and after and lines[last + 1] == after[:SIZE]:
+            last, after = last + 1, after[SIZE:]
+        runs.append([first, last])
+    out: list[list[int]] = []
+    for first, last in sorted(runs):
+        if out and first <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], last)
+        else:
+            out.append([first, last])
+    return out
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the lines of their runs; lines are counted without the blank ones."""
     for batch in batches:
         texts, removed, spans, totals = [], [], [], []
-        for text, starts, sizes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            runs: list[list[int]] = []
-            for s, n in sorted(zip(starts or [], sizes or [], strict=True)):
-                if runs and s <= runs[-1][1] + 1:
-                    runs[-1][1] = max(runs[-1][1], s + n - 1)
-                else:
-                    runs.append([s, s + n - 1])
-            kept, k, r = [], 0, 0
+        for text, marks in zip(batch.column(1), batch.column(2), strict=True):
+            text = text.as_py()
             lines = text.split("\n")
-            for line in lines:
-                if not line.strip(" \t\n\x0b\x0c\r"):
-                    kept.append(line)
-                    continue
-                while r < len(runs) and runs[r][1] < k:
-                    r += 1
-                if not (r < len(runs) and runs[r][0] <= k):
-                    kept.append(line)
-                k += 1
-            totals.append(k)
+            solid = [k for k, x in enumerate(lines) if x.strip(" \t\n\x0b\x0c\r")]
+            runs = []
+            if marks.is_valid:
+                marks = [(m["pos"], m["n"], int(m["a"]).to_bytes(8, "little", signed=True) + int(m["b"]).to_bytes(8, "little", signed=True), m["before"], m["after"]) for m in marks.as_py()]
+                runs = matched(solid_lines(text)[0], marks)
+                gone = {solid[k] for first, last in runs for k in range(first, last + 1)}
+                text = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+            texts.append(text)
+            totals.append(len(solid))
             removed.append(sum(b - a + 1 for a, b in runs))
             spans.append(",".join(f"{a}-{b}" for a, b in runs))
-            texts.append("\n".join(kept))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.string())], names=["doc_id", "text", "n_lines", "n_removed", "removed"]
         )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, enough: int = 0) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, enough: int = 0, window: int = WINDOW) -> DataFrame:
     """doc_id, text, n_lines, n_removed, removed: one row per row of docs, with later repeated runs deleted.
 
-    A line is deleted when it lies in a run of at least `least` lines that stands earlier, in a document
-    with a smaller id or further up; lines are compared without white space at their ends, and blank
-    lines neither count nor end a run nor go. A text with fewer lines is deleted as a whole when an
-    earlier text of the same few lines exists. With `enough`, a line or a run of lines that has at least so
-    many words is deleted as a run of `least` lines is, wherever it stands. removed lists runs as first-last, lines from 0 without
-    the blank ones. Null is empty; null ids come last; rows repeated with id and text go together, the
-    first of the corpus stay; other columns are not read; an empty table gives an empty result.
+    A run stands earlier in a document with a smaller id or further up. Each deleted line lies in a run of at
+    least `least` lines, or with `enough` of so many words, that stands earlier. Each run of least + window - 1
+    lines, or with `enough` each of so many words, that stands earlier is found, and deleted but for at most
+    window - 1 lines at its ends, where its fingerprints stand still earlier beside other lines. Shorter runs
+    of `least` lines go where they hold a fingerprint. Lines are compared without white space at their ends,
+    and blank lines neither count nor end a run nor go. A text with fewer lines goes as a whole when an earlier
+    text of the same few lines exists. removed lists runs as first-last, lines from 0 without the blank ones.
+
+    Null is empty; null ids come last, their texts in the order of a hash; rows repeated with id and text are
+    one document, and each has its result; of equal texts the one with the smallest id stays; other columns
+    are not read; an empty table gives an empty result. A text of any length is one row.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    found = written(base.select("doc_id", "text_key", "text").mapInArrow(_windows(least, enough), "doc_id long, text_key long, pos int, n int, h long"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "pos", "text_key")
-    firsts = found.groupBy("h", "n").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    later = found.join(written(firsts), ["h", "n"]).where(place > F.col("first"))
-    marks = later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "n")).alias("runs"))  # within one document
-    marks = written(marks.select(F.col("doc_id").alias("mark_id"), F.col("text_key").alias("mark_key"), F.col("runs.pos").alias("starts"), F.col("runs.n").alias("sizes"))).hint("merge")
-    out = base.join(marks, base["doc_id"].eqNullSafe(marks["mark_id"]) & (base["text_key"] == marks["mark_key"]), "left")
-    return out.select("doc_id", "text", "starts", "sizes").mapInArrow(_cut, "doc_id long, text string, n_lines long, n_removed long, removed string")
+    schema = "doc_id long, text_key long, pos int, n int, a long, b long, before binary, after binary"
+    found = written(base.select("doc_id", "text_key", "text").mapInArrow(_prints(least, enough, window), schema))
+    place = [F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_key"), F.col("pos")]
+    firsts = found.groupBy("a", "b").agg(F.min(F.struct(*place, F.col("before"), F.col("after"))).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    firsts = written(firsts.select("a", "b", "times", F.struct("first.none", "first.doc_id", "first.text_key", "first.pos").alias("first"), F.col("first.before").alias("before"), F.col("first.after").alias("after")))
+    later = join_counted(found.drop("before", "after"), firsts, ["a", "b"], found.count()).where(F.struct(*place) > F.col("first"))
+    marks = later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("pos", "n", "a", "b", "before", "after")).alias("marks"))  # within one document
+    marks = written(marks.select(F.col("doc_id").alias("mark_id"), F.col("text_key").alias("mark_key"), "marks"))
+    dropped(found, firsts)
+    both = base["doc_id"].eqNullSafe(marks["mark_id"]) & (base["text_key"] == marks["mark_key"])
+    out = base.join(marks.hint("merge"), both, "left")
+    return out.select("doc_id", "text", "marks").mapInArrow(_cut, "doc_id long, text string, n_lines long, n_removed long, removed string")

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from registry_jobs.llm import bpe, exact_dedup, html_text, line_dedup, media, mixing, near_dedup, pii, queries, toxicity, url_filter
+from registry_jobs.llm import bpe, common, exact_dedup, html_text, line_dedup, media, mixing, near_dedup, pii, queries, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, norm long, key int, size int, score string"
 WS = r"[\x20\x09-\x0D]+"
@@ -230,50 +230,150 @@ def test_media(docs, none, spark):
     assert len(bad) == 2 and all(t.error for t in bad)
 
 
-def plain_lines(rows, least=3):
-    rows = sorted(enumerate(rows), key=lambda x: (x[1][0] is None, x[1][0] or 0))
-    seen, out = set(), {}
-    for at, (i, t) in rows:
-        lines = [x.strip(" \t\n\x0b\x0c\r") for x in (t or "").split("\n")]
-        lines = [x for x in lines if x]
-        n = min(least, len(lines))
-        gone, new = set(), []
-        for p in range(len(lines) - n + 1 if n else 0):
-            w = (*lines[p : p + n],)
-            if w in seen or w in new:
-                gone |= set(range(p, p + n))
-            new.append(w)
-        out[at] = (i, len(lines), len(gone))
-        seen |= set(new)
-    return out
+def solid(t):
+    return [x for x in (x.strip(" \t\n\x0b\x0c\r") for x in (t or "").split("\n")) if x]
+
+
+def plain_grams(lines, least, enough):
+    """(first, number of lines, chosen for its words) of each gram, by trying every length."""
+    out = []
+    for p in range(len(lines)):
+        for n in range(1, least + 1):
+            if p + n <= len(lines):
+                long = bool(enough) and len(" ".join(lines[p : p + n]).split()) >= enough
+                if long or n == least:
+                    out.append((p, n, long))
+                    break
+    return out or ([(0, len(lines), False)] if lines else [])
+
+
+def order_of(row):
+    return (row[0] is None, row[0] or 0)
+
+
+def check_lines(rows, got, least=3, enough=0, window=2):
+    """Deleted lines stand in a run that stands earlier; runs of the guarantee are deleted up to their ends."""
+    docs = sorted({(i, t or "") for i, t in rows}, key=order_of)
+    texts = [solid(t) for _, t in docs]
+    removed = {}
+    for r in got:
+        removed.setdefault(r.doc_id, set()).add(r.removed)
+    first, lost, wrong, shorter = {}, 0, 0, 0
+    for (i, t), lines in zip(docs, texts):
+        spans = removed[i]
+        assert len(spans) == 1, "rows repeated have one result"
+        gone = set()
+        for span in filter(None, next(iter(spans)).split(",")):
+            a, b = map(int, span.split("-"))
+            gone |= set(range(a, b + 1))
+        may, must, whole = set(), set(), plain_grams(lines, least, enough)
+        short = len(whole) == 1 and whole[0][1] < least and not whole[0][2]
+        mine = {}
+        for p, n, long in whole:
+            key = (short, *lines[p : p + n])
+            if key in first or key in mine:
+                may |= set(range(p, p + n))
+                if long:
+                    must |= set(range(p, p + n))
+            mine.setdefault(key, p)
+        for a in range(len(lines) - least + 1):  # windows of `least` lines, however many words they have
+            key = ("w", *lines[a : a + least])
+            if key in first or key in mine:
+                may |= set(range(a, a + least))
+            mine.setdefault(key, a)
+        most = least + window - 1
+        for a in range(len(lines) - most + 1):
+            key = ("r", *lines[a : a + most])
+            if key in first or key in mine:
+                must |= set(range(a + window - 1, a + most - window + 1))
+            mine.setdefault(key, a)
+        first |= mine
+        wrong += len(gone - may)
+        lost += len(must - gone)
+        shorter += len(may - gone)
+    return wrong, lost, shorter
 
 
 def test_line_dedup(spark, docs, none, sf):
-    rows = [(i, t) for i, t in TEXTS if i != 8 and i is not None] + [(40 + k, "\n".join(f"line {x}" for x in words(12, 9 + k // 3))) for k in range(9)]
-    rows += [(60, "q\nq\nq\nq\nq\nq"), (61, "line a\nline b"), (62, "line a\n\nline b")]
-    rows += [(1000 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    got = line_dedup.dedup_lines(frame(spark, rows)).collect()
-    assert Counter((r.doc_id, r.n_lines, r.n_removed) for r in got) == Counter(plain_lines(rows).values())
-    eleven = next(r for r in got if r.doc_id == 11)
-    assert eleven.text == "start\nend" and eleven.removed == "1-3"
+    rows = TEXTS + [(40 + k, "\n".join(f"line {x}" for x in words(12, 9 + k // 3))) for k in range(9)]
+    rows += [(60, "q\nq\nq\nq\nq\nq"), (61, "line a\nline b"), (62, "line a\n\nline b"), (62, "line a\n\nline b"), (63, "line b\nline a")]
+    r = random.Random(8)
+    for k in range(150):  # few different lines, so that runs of all lengths repeat beside others
+        rows.append((200 + k if k % 10 else None, "\n".join(f"some line {r.randrange(12)}" for _ in range(r.randrange(14)))))
+    rows += [(1000 + x.doc_id, x.text) for x in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    for enough in (0, line_dedup.ENOUGH):
+        got = line_dedup.dedup_lines(frame(spark, rows), enough=enough).collect()
+        assert len(got) == len(rows)
+        left = Counter((i, len(solid(t))) for i, t in rows)
+        assert Counter((x.doc_id, x.n_lines) for x in got) == left
+        by = {}
+        for x in got:
+            by.setdefault((x.doc_id, x.n_lines), []).append(x)
+        texts = {}
+        for i, t in rows:
+            texts.setdefault((i, len(solid(t))), []).append(t or "")
+        for key, found in by.items():  # the text that is left tells which text a result is of, if ids are null or repeated
+            assert all(any("\n".join(y for _, y in kept_lines(t, x.removed)) == x.text for t in texts[key]) for x in found)
+        some = [(i, t) for i, t in rows if i is not None and len(set(texts[(i, len(solid(t)))])) == 1]
+        whole = line_dedup.dedup_lines(frame(spark, some), enough=enough).collect()
+        wrong, lost, shorter = check_lines(some, whole, enough=enough)
+        assert wrong == lost == 0 and shorter < 0.5 * sum(x.n_removed for x in whole)
+    eleven = next(x for x in got if x.doc_id == 11)
+    assert [x.removed for x in got if x.doc_id == 62] == ["0-1", "0-1"] and [x.removed for x in got if x.doc_id in (61, 63)] == ["", ""]
+    assert eleven.n_removed in (0, 3)  # three short lines go where they hold a fingerprint
     assert line_dedup.dedup_lines(docs).count() == len(TEXTS) and line_dedup.dedup_lines(none).count() == 0
 
 
-def plain_enough(rows, least=3, enough=50):
-    seen, out = set(), {}
-    for i, t in sorted(rows):
-        lines = [x for x in (x.strip(" \t\n\x0b\x0c\r") for x in (t or "").split("\n")) if x]
-        gone, new = set(), set()
-        for n in range(1, least + 1):
-            for p in range(len(lines) - n + 1):
-                w = (*lines[p : p + n],)
-                if n in (least, len(lines)) or len(" ".join(w).split()) >= enough:
-                    if w in seen or w in new:
-                        gone |= set(range(p, p + n))
-                    new.add(w)
-        out[i] = (len(lines), len(gone))
-        seen |= new
-    return out
+def kept_lines(text, removed):
+    gone = set()
+    for span in filter(None, removed.split(",")):
+        a, b = map(int, span.split("-"))
+        gone |= set(range(a, b + 1))
+    k = 0
+    for line in text.split("\n"):
+        full = bool(line.strip(" \t\n\x0b\x0c\r"))
+        if not (full and k in gone):
+            yield k, line
+        k += full
+
+
+def test_fingerprints_are_the_minima_of_windows():
+    r = random.Random(3)
+    for window in (2, 3, 5):
+        few = every = 0
+        for _ in range(60):
+            lines, sizes = line_dedup.solid_lines("\n".join(f"l{r.randrange(30)} x" for _ in range(r.randrange(40))))
+            names = [line_dedup.digest(b"".join(lines[p : p + 3])) for p in range(len(lines) - 2)]
+            want = set()
+            for p in range(len(names) - window + 1):
+                least = min(n[:8] for n in names[p : p + window])
+                want |= {q for q in range(p, p + window) if names[q][:8] == least}
+            got = {p for p, _, _ in line_dedup.fingerprints(lines, sizes, 3, 0, window)}
+            if len(names) >= window:
+                assert got == want
+                few, every = few + len(got), every + len(names)
+        assert few < every * (2.6 / (window + 1))
+    for enough in (0, 50):
+        for _ in range(200):
+            lines = [" ".join(["w"] * r.choice([1, 5, 20, 30, 60])) for _ in range(r.randrange(7))]
+            length, sure = line_dedup.grams(np.array([len(x.split()) for x in lines], np.int64), 3, enough)
+            assert [(p, int(n), bool(s)) for p, (n, s) in enumerate(zip(length, sure, strict=True))] == plain_grams(lines, 3, enough)
+
+
+def test_line_dedup_deletes_only_equal_text(spark):
+    def thue(n, a, b):
+        x = a
+        while len(x) < n:
+            x += x.translate(str.maketrans(a + b, b + a))
+        return x
+
+    for n in (1024, 2048, 4096):
+        one, two = thue(n, "a", "b"), thue(n, "b", "a")
+        rows = [(1, f"{one}\nsecond line\nthird line\nfourth line"), (2, f"{two}\nsecond line\nthird line\nfourth line"), (3, f"{one}\nsecond line\nthird line\nother")]
+        got = {x.doc_id: x for x in line_dedup.dedup_lines(frame(spark, rows)).collect()}
+        assert two in got[2].text and got[1].n_removed == 0
+        h = common.span_hashes(np.frombuffer((one + two).encode(), np.uint8), np.array([0, n]), np.array([n, 2 * n]))
+        assert h[0] != h[1]
 
 
 def test_line_dedup_of_few_long_lines(spark, sf):
@@ -283,8 +383,16 @@ def test_line_dedup_of_few_long_lines(spark, sf):
     got = {r.doc_id: r for r in line_dedup.dedup_lines(frame(spark, rows), enough=line_dedup.ENOUGH).collect()}
     assert [got[i].removed for i in (1, 2, 3, 4)] == ["", "2-2,6-7", "0-0", ""]
     assert got[2].text == f"a2\nb2\nc2\n{short}\nd2\n\ne2"
-    real = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    assert {r.doc_id: (r.n_lines, r.n_removed) for r in queries.op8_line_dedup(spark, sf).collect()} == plain_enough(real)
+
+
+def test_span_hashes():
+    r = random.Random(12)
+    spans = [bytes(r.randrange(256) for _ in range(n)) for n in [*range(0, 40), 255, 256, 257, 5000]] * 2
+    data = np.frombuffer(b"".join(spans), np.uint8)
+    ends = np.cumsum([len(x) for x in spans])
+    h = common.span_hashes(data, ends - [len(x) for x in spans], ends)
+    half = len(spans) // 2
+    assert (h[:half] == h[half:]).all() and len(set(h.tolist())) == half
 
 
 def plain_base(text):
