@@ -63,15 +63,39 @@ def dropped(*tables: DataFrame) -> None:
 HOT = 1000
 
 
-def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], n_rows: int, times: str = "times") -> DataFrame:
-    """Inner join of rows with keyed, which has one row a key and in `times` how many rows have it.
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], n_rows: int, how: str = "inner") -> DataFrame:
+    """Inner or left join of rows with keyed, which has one row a key and in `times` how many rows have it.
 
     A key with more than a thousandth of all rows is hot. There are fewer than a thousand of them, so they
-    are broadcast and their rows stay where they are; the other rows are sorted and merged.
+    are broadcast, and their rows are dealt out by the partition they come from; the rest is sorted and merged.
     """
-    hot = keyed.where(F.col(times) * F.lit(HOT) > F.lit(n_rows))
-    cold = keyed.where(F.col(times) * F.lit(HOT) <= F.lit(n_rows))
-    return rows.join(F.broadcast(hot), on).unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold.hint("merge"), on))
+    values = F.struct(*[c for c in keyed.columns if c not in on])
+    hot = keyed.where(F.col("times") * F.lit(HOT) > F.lit(n_rows)).select(*on, values.alias("hot_values"))
+    cold = keyed.where(F.col("times") * F.lit(HOT) <= F.lit(n_rows)).select(*on, F.lit(0).alias("deal"), values.alias("cold_values"))
+    met = rows.join(F.broadcast(hot), on, "left").withColumn("deal", F.when(F.col("hot_values").isNull(), 0).otherwise(F.spark_partition_id() + 1))
+    met = met.join(cold.hint("merge"), [*on, "deal"], "left").withColumn("hot_values", F.coalesce("hot_values", "cold_values"))
+    if how == "inner":
+        met = met.where(F.col("hot_values").isNotNull())
+    return met.select(*rows.columns, "hot_values.*")
+
+
+def keep_rows(docs: DataFrame, id_col: str, text_col: str, key: Column, stays: DataFrame, n_rows: int) -> DataFrame:
+    """The rows of docs that stay, with their own columns, whatever their names.
+
+    stays has a row for each text that more than one row has or that goes: `key` of the text, `times`, `keeps`
+    whether a row of it stays, `keep_id` of that row, and `same`, how many rows have text and id. Of these
+    the one stays whose other columns come first as JSON text.
+    """
+    cols = docs.columns
+    whole = docs.select(F.struct(*cols).alias("row"), F.col(id_col).cast("long").alias("doc_id"), key.alias("key"))
+    fits = F.col("keeps") & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    out = join_counted(whole, stays, ["key"], n_rows, "left").where(F.col("same").isNull() | (fits & (F.col("same") == 1))).select("row")
+    more = stays.where("keeps and same > 1")
+    if not more.isEmpty():
+        rest = [F.col("row")[c] for c in cols if c not in (id_col, text_col)]
+        first = F.min_by("row", F.to_json(F.struct(*rest)) if rest else F.lit(""))
+        out = out.unionByName(join_counted(whole, more, ["key"], n_rows).where(fits).groupBy("key").agg(first.alias("row")).select("row"))
+    return out.select("row.*")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from registry_jobs.llm.common import dropped, mix, shingles, text_or_empty, text_slices, written
+from registry_jobs.llm.common import dropped, join_counted, keep_rows, mix, shingles, text_or_empty, text_slices, written
 
 _U = np.uint64
 WORDS = 5
@@ -31,7 +31,7 @@ SLOTS = 200
 BANDS = 56
 ROWS = 9
 LEAST_AGREEMENT = 0.64  # of slots; similarity 0.8 agrees in fewer with a probability below 1e-7
-SMALL = 16  # a bucket with as many members, and fewer, is compared pair by pair
+DEAL = 1000  # rows of one shingle that meet in one task
 
 
 def weigh(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -193,30 +193,41 @@ def _bags(size: int):
     return bags
 
 
+def merged(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join by sorting: both sides grow with the corpus, so neither is ever broadcast."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def prefix_pairs(placed: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) among placed (rid, root, weight), of different roots, that may have the similarity.
+    """Pairs (a, b) among placed (rid, root, weight), of different roots, that may have the similarity, as a written table.
 
     Shingles are ordered by how many of these texts hold them, rare ones first. A text's prefix are the
     shingles from which on, in this order, at least `similarity` of its weight lies; two texts of the
     similarity share the first of their common shingles, and both prefixes hold it. So no pair is lost,
-    and texts that only share what is common do not meet.
+    and texts that only share what is common do not meet. The rows of a frequent shingle are dealt out,
+    DEAL to a task, and those that look for partners among them go to each part.
     """
-    bag = written(texts.join(placed.select("rid"), "rid").select("rid", "text").mapInArrow(_bags(size), "rid long, h long, w long"))
-    often = bag.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    bag = written(merged(texts, placed.select("rid"), "rid").select("rid", "text").mapInArrow(_bags(size), "rid long, h long, w long"))
+    often = bag.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.count(F.lit(1)).alias("times")).where("df > 1")
     rest = Window.partitionBy("rid").orderBy("df", "h").rowsBetween(0, Window.unboundedFollowing)
-    ordered = bag.join(often, "h").withColumn("rest", F.sum("w").over(rest)).join(placed, "rid")
+    counted = join_counted(bag, often, ["h"], bag.count(), "left").select("rid", "h", "w", F.coalesce("df", F.lit(1)).alias("df"))
+    ordered = merged(counted.withColumn("rest", F.sum("w").over(rest)), placed, "rid")
     prefix = written(ordered.where((F.col("df") > 1) & (F.col("rest") >= F.col("weight") * F.lit(similarity - 1e-9))).select("h", "rid", "root", "weight", "rest"))
     # members of a shingle's largest component meet the others, not each other
     by_root = prefix.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
-    largest = by_root.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
-    others = prefix.join(largest, "h").where("root != largest")
-    x = others.select("h", F.col("rid").alias("a"), F.col("root").alias("ra"), F.col("weight").alias("wa"), F.col("rest").alias("sa"), "largest")
-    y = prefix.select("h", F.col("rid").alias("b"), F.col("root").alias("rb"), F.col("weight").alias("wb"), F.col("rest").alias("sb"))
+    largest = by_root.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.count(F.lit(1)).alias("roots"), F.sum("c").alias("times"))
+    largest = written(largest.where("roots > 1").select("h", "largest", "times"))
+    known = join_counted(prefix, largest, ["h"], prefix.count())
+    parts = F.floor((F.col("times") - 1) / DEAL).cast("int") + 1
+    x = known.where("root != largest").select("h", F.col("rid").alias("a"), F.col("root").alias("ra"), F.col("weight").alias("wa"), F.col("rest").alias("sa"), "largest", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    y = known.select("h", F.col("rid").alias("b"), F.col("root").alias("rb"), F.col("weight").alias("wb"), F.col("rest").alias("sb"), F.pmod(F.xxhash64("rid"), parts).cast("int").alias("part"))
     # what lies from the shingle on must hold all that they need to share
     enough = F.least("sa", "sb") >= (F.col("wa") + F.col("wb")) * F.lit(similarity / (1 + similarity) - 1e-9)
     once = (F.col("rb") == F.col("largest")) | (F.col("a") < F.col("b"))
-    met = x.join(y, "h").where((F.col("ra") != F.col("rb")) & once & enough & alike(F.col("wa"), F.col("wb"), similarity))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = merged(x, y, ["h", "part"]).where((F.col("ra") != F.col("rb")) & once & enough & alike(F.col("wa"), F.col("wb"), similarity))
+    pairs = written(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    dropped(bag, prefix, largest)
+    return pairs
 
 
 def alike(a: Column, b: Column, similarity: float) -> Column:
@@ -231,12 +242,14 @@ def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, sim
     """
     x = reps.select(F.col("rid").alias("a"), F.col("sketch").alias("sketch_a"))
     y = reps.select(F.col("rid").alias("b"), F.col("sketch").alias("sketch_b"))
-    signed = pairs.join(x, "a").join(y, "b").select("a", "b", "sketch_a", "sketch_b")
+    signed = merged(merged(pairs, x, "a"), y, "b").select("a", "b", "sketch_a", "sketch_b")
     likely = written(signed.mapInArrow(_likely(LEAST_AGREEMENT), "a long, b long"))
     x = texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a"))
     y = texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b"))
-    both = likely.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b")
-    return written(both.mapInArrow(_verify(size, similarity), "a long, b long").distinct())
+    both = merged(merged(likely, x, "a"), y, "b").select("a", "b", "text_a", "text_b")
+    links = written(both.mapInArrow(_verify(size, similarity), "a long, b long").distinct())
+    dropped(likely)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -250,9 +263,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = merged(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = merged(large, low, "u")
         small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         after = written(small)
         state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
@@ -261,83 +274,104 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._scratch_path = now._scratch_path
+    return out
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY, slots: int = SLOTS, bands: int = BANDS, rows: int = ROWS
-) -> DataFrame:
-    """One row per row of docs: doc_id, class_id, kept, links, key.
-
-    class_id: the smallest id in the connected component of verified links (weighted Jaccard similarity
-    of `size`-word shingles, words parted by white space, of at least `similarity`); links: verified
-    links to other texts; key: MD5 of the text. One row of each class is kept, the one with class_id.
-    A text of fewer words than `size` is one shingle; texts without words, null included, are similar
-    to equal texts only. Null ids come last; of rows repeated with id and text one is kept. An empty
-    table gives an empty result; columns besides id and text are not read.
-
-    With 56 bands of 9 out of 200 slots a pair of similarity 0.8 meets in some bucket with probability
-    0.999, one of 0.85 with 0.99999. First, all members of a bucket are compared with one of them, that
-    with the fewest distinct shingles for its weight; then, in buckets that hold several components of
-    these links, pair by pair between components up to 16 members, beyond that by prefix_pairs(), which
-    loses none. Texts of other weights than the similarity allows are not compared.
-    """
+def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, similarity: float, slots: int, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """ids (row_id, doc_id, key), one a row of docs, and labels (key, class_id, links, keeps, keep_row, times), one a text, both written."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("key", F.unhex(F.md5("text")))
+    ids = written(base.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "key"))
     signed = base.select("doc_id", "key", "text").mapInArrow(_sign(size, slots, bands, rows), "doc_id long, key binary, bands array<long>, sketch binary, weight long, spread double")
     reps = signed.groupBy("key").agg(F.min("doc_id").alias("rep_id"), *[F.first(c).alias(c) for c in ("bands", "sketch", "weight", "spread")])
     reps = written(reps.withColumn("rid", F.monotonically_increasing_id()))  # fixed by being written
     banded = reps.where(F.size("bands") > 0).select("rid", "weight", "spread", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("spread", "rid", "weight")).alias("leader")).where("n > 1")
-    members = banded.select("bucket", "rid", "weight").join(shared.select("bucket", F.col("leader.rid").alias("leader"), F.col("leader.weight").alias("leader_weight")), "bucket")
-    members = written(members)
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("spread", "rid", "weight")).alias("leader")).where("times > 1")
+    members = banded.select("bucket", "rid", "weight")
+    members = join_counted(members, shared.select("bucket", "times", F.col("leader.rid").alias("leader"), F.col("leader.weight").alias("leader_weight")), ["bucket"], reps.count() * bands)
+    members = written(members.drop("times"))
 
-    # texts of candidates only, one row of each
-    wanted = members.select("rid").distinct().join(reps.select("key", "rep_id", "rid"), "rid").hint("merge")
-    same = (base["key"] == wanted["key"]) & base["doc_id"].eqNullSafe(wanted["rep_id"])
-    texts = written(base.join(wanted, same).select("rid", "text"))
+    # texts of candidates only, one row of each: grouped as they were joined
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias("name")
+    wanted = merged(members.select("rid").distinct(), reps.select("key", name("rep_id"), "rid"), "rid")
+    met = merged(base.select("key", name("doc_id"), "text"), wanted, ["key", "name"])
+    texts = written(met.groupBy("key", "name").agg(F.first("rid").alias("rid"), F.first("text").alias("text")).select("rid", "text"))
 
     star = members.where((F.col("rid") != F.col("leader")) & alike(F.col("weight"), F.col("leader_weight"), similarity))
     tried = written(star.select(F.least("leader", "rid").alias("a"), F.greatest("leader", "rid").alias("b")).distinct())
     links = verified(tried, reps, texts, size, similarity)
     roots = components(links)
 
-    # members of buckets that hold several components
-    placed = members.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("bucket", "rid", "weight", F.coalesce("root", "rid").alias("root"))
-    several = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("n")).where("r0 != r1")
-    left = written(placed.join(several.select("bucket", "n"), "bucket"))
-    few = left.where(F.col("n") <= SMALL)
-    x = few.select("bucket", F.col("rid").alias("a"), F.col("root").alias("ra"), F.col("weight").alias("wa"))
-    y = few.select("bucket", F.col("rid").alias("b"), F.col("root").alias("rb"), F.col("weight").alias("wb"))
-    small = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & alike(F.col("wa"), F.col("wb"), similarity)).select("a", "b")
-    many = written(left.where(F.col("n") > SMALL).select("rid", "root", "weight").distinct())
-    pairs = small.unionByName(prefix_pairs(many, texts, size, similarity)).distinct()
-    found = verified(pairs.join(tried, ["a", "b"], "left_anti"), reps, texts, size, similarity)
+    # texts of buckets that hold several components
+    placed = merged(members, roots.select(F.col("node").alias("rid"), "root"), "rid", "left").select("bucket", "rid", "weight", F.coalesce("root", "rid").alias("root"))
+    several = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("times")).where("r0 != r1").select("bucket", "times")
+    left = written(join_counted(placed, several, ["bucket"], members.count()).select("rid", "root", "weight").distinct())
+    pairs = prefix_pairs(left, texts, size, similarity)
+    found = verified(merged(pairs, tried, ["a", "b"], "left_anti"), reps, texts, size, similarity)
+    done = [members, texts, tried, left, pairs, found, links]
     if not found.isEmpty():
         links = written(links.unionByName(found))
+        done += [links, roots]
         roots = components(links)
 
-    ids = reps.select(F.col("rid").alias("node"), "rep_id")
-    lowest = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(ids, "node")
-    classes = lowest.groupBy("root").agg(F.min("rep_id").alias("class_id"))
+    node = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    lowest = merged(node.select(F.col("node").alias("rid"), "root"), reps.select("key", "rid", "rep_id"), "rid")
+    # no id is behind all ids; of two texts with the id of the class the one with the smaller key stays
+    first = F.min(F.struct(F.col("rep_id").isNull().alias("none"), "rep_id", "key"))
+    classes = lowest.groupBy("root").agg(first.alias("first")).select("root", F.col("first.rep_id").alias("class_id"), F.col("first.key").alias("keep_key"))
     degree = links.select("a").unionAll(links.select("b")).groupBy(F.col("a").alias("rid")).agg(F.count(F.lit(1)).alias("links"))
-    labels = (
-        reps.select("key", "rid", "rep_id")
-        .join(lowest.select(F.col("node").alias("rid"), "root"), "rid", "left")
-        .join(classes, "root", "left")
-        .join(degree, "rid", "left")
-        .select("key", F.when(F.col("root").isNull(), F.col("rep_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    copies = ids.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("first"))
+    inside = merged(merged(lowest.select("rid", "root"), classes, "root"), degree, "rid")
+    labels = merged(merged(reps.select("key", "rid", "rep_id"), inside, "rid", "left"), copies.select("key", "times", F.col("first.row_id").alias("keep_row")), "key")
+    alone = F.col("root").isNull()
+    labels = written(
+        labels.select(
+            "key",
+            F.when(alone, F.col("rep_id")).otherwise(F.col("class_id")).alias("class_id"),
+            F.coalesce("links", F.lit(0)).cast("long").alias("links"),
+            (alone | (F.col("key") == F.col("keep_key"))).alias("keeps"),
+            "keep_row",
+            "times",
+        )
     )
-    out = base.select("doc_id", "key").join(written(labels), "key")
-    nth = F.row_number().over(Window.partitionBy("class_id", "doc_id").orderBy("key"))
-    return out.select("doc_id", "class_id", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (nth == 1)).alias("kept"), F.col("links").cast("long").alias("links"), F.hex("key").alias("key"))
-
-
-def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with their own columns."""
-    id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
-    kept = near_duplicates(docs, **how).where("kept").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
-    cols = docs.columns
-    keyed = docs.select(*cols, F.upper(F.md5(text_or_empty(text_col))).alias("__text_key"))
-    nth = F.row_number().over(Window.partitionBy(F.col(id_col), "__text_key").orderBy(F.lit(1)))
-    same = keyed.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_semi")
-    return same.withColumn("__nth", nth).where("__nth = 1").select(*cols)
+    dropped(reps, roots, *done)
+    return ids, labels
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY, slots: int = SLOTS, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """One row per row of docs: doc_id, class_id, kept, links, key.
+
+    class_id: the smallest id in the connected component of verified links (weighted Jaccard similarity
+    of `size`-word shingles, words parted by white space, of at least `similarity`); links: verified
+    links to other texts; key: MD5 of the text. One row of each class is kept, one with class_id.
+    A text of fewer words than `size` is one shingle; texts without words, null included, are similar
+    to equal texts only. Null ids come last: a class without any id has no class_id, and one of its rows is
+    kept. Of rows repeated with id and text one is kept. An empty table gives an empty result; columns
+    besides id and text are not read. A text of any length is one row.
+
+    With 56 bands of 9 out of 200 slots a pair of similarity 0.8 meets in some bucket with probability
+    0.999, one of 0.85 with 0.99999. First, all members of a bucket are compared with one of them, that
+    with the fewest distinct shingles for its weight; then the texts of all buckets that hold several
+    components of these links meet by prefix_pairs(), which loses none. Texts of other weights than the
+    similarity allows are not compared. Shingles are known by 64-bit hashes.
+    """
+    ids, labels = _classes(docs, id_col, text_col, size, similarity, slots, bands, rows)
+    out = join_counted(ids, labels, ["key"], ids.count())
+    return out.select("doc_id", "class_id", (F.col("keeps") & (F.col("row_id") == F.col("keep_row"))).alias("kept"), "links", F.hex("key").alias("key"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY, slots: int = SLOTS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """The rows of docs that near_duplicates keeps, with their own columns, whatever their names.
+
+    Of rows equal in id and text the one stays whose other columns come first as JSON text.
+    """
+    ids, labels = _classes(docs, id_col, text_col, size, similarity, slots, bands, rows)
+    n_rows = ids.count()
+    more = labels.where("times > 1 or not keeps").select("key", F.col("class_id").alias("keep_id"), "keeps", "times")
+    same = join_counted(ids, more, ["key"], n_rows).groupBy("key").agg(F.count(F.when(F.col("doc_id").eqNullSafe(F.col("keep_id")), 1)).alias("same"))
+    stays = written(merged(more, same, "key"))
+    dropped(ids, labels)
+    return keep_rows(docs, id_col, text_col, F.unhex(F.md5(text_or_empty(text_col))), stays, n_rows)

@@ -73,19 +73,74 @@ def test_exact_dedup(docs, none):
         assert r.group_size == len(g) and r.keep_id == min((x for x in g if x is not None), default=None)
         kept[r.text_sha256] += r.kept
     assert set(kept.values()) == {1}
-    assert exact_dedup.exact_dedup(none).count() == 0
+    assert exact_dedup.exact_dedup(none).count() == 0 and exact_dedup.keep_one(none).count() == 0
     stay = exact_dedup.keep_one(docs)
     assert stay.columns == docs.columns and stay.count() == len(groups)
 
 
-def test_filters_merge_without_loss():
+def test_keep_one_breaks_ties(spark):
+    """Of rows equal in id and text the one stays whose other columns come first, however the rows are dealt; any column names will do."""
+    rows = [(1, "a b", 7, "x"), (1, "a  b", 3, "y"), (1, "a b", 5, "z"), (None, "q", 2, "x"), (None, "q", 1, "x"), (2, None, 1, "x"), (3, "", 1, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int, text_sha256 string")
+    want = [(1, "a  b", 3, "y"), (2, None, 1, "x"), (None, "q", 1, "x")]
+    for parts in (1, 3, 7):
+        got = exact_dedup.keep_one(df.repartition(parts))
+        assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=order_of) == want
+        near = near_dedup.keep_one(df.repartition(parts).where("doc_id is null or doc_id < 2"))
+        first = min("a b", "a  b", key=lambda x: hashlib.md5(x.encode()).digest())
+        assert sorted(map(tuple, near.collect()), key=order_of) == [min((x for x in rows if x[1] == first), key=lambda x: x[2]), (None, "q", 1, "x")]
+    many = spark.range(30_000).selectExpr("if(id % 3 = 0, null, id) doc_id", "if(id % 3 < 2, 'hot text', concat('text ', id)) text")
+    got = exact_dedup.exact_dedup(many)
+    assert got.where("kept").count() == 10_001 and {(r.keep_id, r.group_size) for r in got.where("group_size > 1").distinct().collect()} == {(1, 20_000)}
+    assert exact_dedup.keep_one(many).count() == 10_001
+
+
+def test_filters_are_quotient_filters():
     r = np.random.default_rng(3)
-    values = np.unique(r.integers(0, 1 << 54, 500, dtype=np.uint64))
-    counts = r.integers(1, 9, len(values))
-    back = exact_dedup.decode_block(*exact_dedup.encode_block(values, counts, 54), 54)
-    assert (back[0] == values).all() and (back[1] == counts).all()
+    for n, low_bits, most in ((500, 54, 9), (1, 54, 1), (3000, 54, 70_000), (200, 16, 300), (1, 54, 1 << 40)):
+        values = np.unique(r.integers(0, 1 << low_bits, n, dtype=np.uint64))
+        counts = np.maximum(1, (r.integers(1, most + 1, len(values)) * r.random(len(values)) ** 3).astype(np.int64))
+        q_bits, metadata, remainders = exact_dedup.encode_filter(values, counts, low_bits)
+        back = exact_dedup.decode_filter(q_bits, metadata, remainders, low_bits)
+        assert (back[0] == values).all() and (back[1] == counts).all()
+        # membership by walking the slots: home, start of its cluster, its run
+        r_bits = low_bits - q_bits
+        width = (r_bits + 7) // 8
+        slots = [int.from_bytes(remainders[k : k + width], "little") for k in range(0, len(remainders), width)]
+        bits = np.unpackbits(np.frombuffer(metadata, np.uint8).reshape(4, -1), axis=1)
+
+        def count_of(v):
+            home, remainder = v >> r_bits, v & ((1 << r_bits) - 1)
+            if not bits[0][home]:
+                return 0
+            start = home
+            while bits[2][start] or bits[3][start]:
+                start -= 1
+            run, at = int(bits[0][start : home + 1].sum()), start
+            while True:
+                if not bits[3][at] and not bits[1][at]:
+                    run -= 1
+                if run == 0:
+                    break
+                at += 1
+            while True:
+                n_, k = 1, 0
+                while at + 1 + k < len(slots) and bits[3][at + 1 + k]:
+                    n_ += slots[at + 1 + k] << (8 * k)
+                    k += 1
+                if slots[at] == remainder:
+                    return n_
+                at += 1 + k
+                if at >= len(slots) or not bits[1][at]:
+                    return 0
+
+        for v, c in list(zip(values.tolist(), counts.tolist(), strict=True))[:200]:
+            assert count_of(v) == c
+        for v in r.integers(0, 1 << low_bits, 50, dtype=np.uint64).tolist():
+            assert count_of(v) == dict(zip(values.tolist(), counts.tolist(), strict=True)).get(v, 0)
     both = exact_dedup.merge_sorted(np.concatenate([values, values[::2]]), np.concatenate([counts, counts[::2]]))
     assert (both[0] == values).all() and both[1].sum() == counts.sum() + counts[::2].sum()
+    assert exact_dedup.blocks_for(0) == 6 and exact_dedup.blocks_for(10**9) == 12
 
 
 def bag(t):
@@ -129,6 +184,39 @@ def test_near_duplicates(spark, docs, none):
     assert stay.columns == docs.columns and stay.count() == len({c for _, c in plain_classes(TEXTS)})
 
 
+def test_near_duplicates_without_ids_are_classes_of_their_own(spark):
+    rows = [(None, "one text here"), (None, "another text there"), (None, "another text there"), (5, "a third")]
+    got = near_dedup.near_duplicates(frame(spark, rows)).collect()
+    assert sorted((x.class_id or 0, x.kept) for x in got) == [(0, False), (0, True), (0, True), (5, True)]
+    assert near_dedup.keep_one(frame(spark, rows)).count() == 3
+
+
+def test_near_duplicates_recall(spark):
+    """Pairs at 0.80, 0.85 and 0.90 of similarity and just above: how many are found, and none below 0.8."""
+    r = random.Random(17)
+    rows, pairs = [], []
+    for k in range(600):
+        a = [f"v{r.randrange(10**6)}" for _ in range(r.randrange(60, 300))]
+        least = (0.8, 0.85, 0.9, 0.7)[k % 4]
+        n = len(a) - 4
+        gone = int(n * (1 - least) / (1 + least) + 1e-9)  # shingles that a text has for itself
+        b = list(a)
+        new = set()
+        for p in r.sample(range(len(a)), len(a)):  # words are exchanged until so many shingles differ
+            more = new | {q for q in range(p - 4, p + 1) if 0 <= q < n}
+            if len(more) <= gone:
+                b[p], new = f"u{k}_{p}", more
+        true = sum((bag(" ".join(a)) & bag(" ".join(b))).values()) / sum((bag(" ".join(a)) | bag(" ".join(b))).values())
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        pairs.append((k, true))
+    got = {x.doc_id: (x.class_id, x.links) for x in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.0)):
+        found = [got[2 * k + 1] == (2 * k, 1) for k, s in pairs if low <= s < high]
+        print(f"similarity {low} to {high}: {sum(found)} of {len(found)} pairs found")
+        assert len(found) > 80 and sum(found) >= 0.98 * len(found)
+    assert not any(got[2 * k + 1][1] for k, s in pairs if s < 0.8 - 1e-9)
+
+
 def test_signature_estimates_weighted_similarity():
     r = np.random.default_rng(1)
     h = r.integers(0, 1 << 63, 400, dtype=np.uint64)
