@@ -558,9 +558,63 @@ def test_toxicity(spark, docs, none, sf):
     classes = toxicity._Classes(toxicity.Lexicon())
     value = lambda t: toxicity.Model(classes.lexicon, toxicity.PRIOR).score(toxicity.features(t, classes))
     assert value("you are an idiot") > value("some idiot here") > value("he is not an idiot") and value('he said "idiot"') < 0.5
+    assert value("he said hello and you are an idiot") > 0.5 > value("he said you are an idiot and a moron")
+    assert value('he said "fine. you are an idiot"') < 0.5 < value('he said "fine". you are an idiot')
+    assert value("the idiot, that is you") == value("that is you, the idiot") > value("the idiot. that is you")
     assert value("we will kill you") > 0.5 > value("we will kill the process") and value("") < 0.5
 
 
+def plain_outcomes(symbols):
+    """What the four machines make of one line, each rule by itself over the whole line."""
+    marked, scope = [], ""  # reported or quoted speech
+    for k, s in enumerate(symbols):
+        here = scope
+        if s == '"':
+            scope = "" if scope == "q" else "q"
+        elif scope == "r" and (s == "." or s == "T" and symbols[k - 1] == "C" and k and marked[k - 1][1] == "r"):
+            scope = here = ""
+        elif scope == "" and s == "R":
+            scope = "r"
+        marked.append(({"I": "x", "K": "k"}.get(s, s) if here else s, scope))
+    line = [m for m, _ in marked]
+    for k, s in enumerate(list(line)):  # negated: one of the three tokens before, in the same clause
+        before = symbols[max(0, k - 3) : k]
+        while "." in before:
+            before = before[before.index(".") + 1 :]
+        if s in "IK" and "N" in before:
+            line[k] = s.lower()
+    counts = Counter()
+    clause_of = np.cumsum([s == "." for s in symbols])
+    for k, s in enumerate(line):
+        near = [j for j in range(max(0, k - 4), min(len(line), k + 5)) if line[j] == "T" and clause_of[j] == clause_of[k]]
+        if s in "Iix":
+            counts[1 if s == "I" and near else "I i x".split().index(s) + (s != "I")] += 1
+    state, left = "", 0  # threat
+    for s in line:
+        if s == ".":
+            state = ""
+        elif state == "" and s == "W":
+            state, left = "w", 3
+        elif state == "w" and s in "Kk":
+            state, left = s, 3
+        elif state in ("K", "k") and s == "T":
+            counts[4 if state == "K" else 5] += 1
+            state = ""
+        elif state:
+            left -= 1
+            state = state if left else ""
+    return [counts[k] for k in range(6)]
+
+
+def test_composed_machine_is_the_plain_rules():
+    r = random.Random(4)
+    for _ in range(6000):
+        symbols = r.choices('IKWTNRC".o', [4, 2, 2, 3, 2, 1, 1, 1, 1, 6], k=r.randrange(16))
+        into = np.zeros(6)
+        toxicity.path_counts(symbols, [1.0] * len(symbols), into)
+        assert into.tolist() == plain_outcomes(symbols), symbols
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -651,3 +705,39 @@ def test_html_of_divs_only():
     <h2>Elsewhere</h2><ul><li><a href=/x>Some other page</a></li></ul></div></body>"""
     text = html_text.main_text(page).split("\n\n")
     assert text[:2] == ["Title", "First"] and text[14:] == ["Second", "A short one.", "Things", "one thing", "two things", "cell", "A figure"]
+
+
+def test_html_keeps_unequal_sections():
+    para = lambda k: f"<p>Paragraph {k} has some words, a comma, and an end that makes it long enough to have a few points.</p>"
+    for a, b in ((8, 1), (6, 2), (10, 3), (1, 8), (3, 0)):
+        section = lambda n, name: f"<div class=part><h2>{name}</h2>{''.join(map(para, range(n)))}</div>"
+        for outer in ("div class=content", "article", "main", "section"):
+            tag = outer.split()[0]
+            page = f"<body><nav><a href=/>Home</a></nav><{outer}><h1>Title</h1>{section(a, 'One')}{section(b, 'Two')}</{tag}><div class=sidebar><p>Side, text, here.</p></div></body>"
+            assert len(html_text.main_text(page).split("\n\n")) == 1 + (a + 1) + (b + 1 if b else int(outer in ("article", "main")) or 1), (a, b, outer)
+
+
+def test_html_class_names():
+    page = """<body><article><h1>T</h1><div class="form-factor"><p>One, two, three.</p></div><div class="search-results-explained"><p>Four, five.</p></div><div class="entry-header"><p>Head.</p></div>
+    <div class="share"><p>Share of the market, in words.</p></div><div class="social-share"><a href=x>Tweet</a></div><div class="ad ad-12"><p>Buy, buy.</p></div><section id="comments2"><p>Nice!</p></section>
+    <div class="related"><a href=a>Another page</a></div><div class="searchBox"><input> find</div><div class=cookie-notice>ok</div></article><div class="header"><p>Site</p></div></body>"""
+    assert html_text.main_text(page).split("\n\n") == ["T", "One, two, three.", "Four, five.", "Head.", "Share of the market, in words."]
+
+
+def test_html_loses_no_paragraph_of_an_article(spark, sf):
+    """A plain reading of each page: the text of every p and heading inside its article stands in what is extracted."""
+    import html as entities
+
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    seen = 0
+    for r in html_text.extract_text(pages).join(pages.select("page_id", "html"), "page_id").collect():
+        body = re.search(r"<article[^>]*>(.*?)</article>", r.html or "", re.DOTALL)
+        if not body:
+            continue
+        inner = re.sub(r"<!--.*?-->|<(script|style|aside|form|nav|footer)\b.*?</\1>", "", body[1], flags=re.DOTALL)
+        found = " ".join(r.text.split())
+        for part in re.split(r"</?(?:p|h\d|li|ul|ol|div|blockquote|table|tr|td|th|pre|section)\b[^>]*>", inner):
+            plain = " ".join(entities.unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br[^>]*>", " ", part))).split())
+            assert plain in found, (r.page_id, plain)
+            seen += bool(plain)
+    assert seen > 100
