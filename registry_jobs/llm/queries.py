@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from registry_jobs.llm import url_filter
 from registry_jobs.llm.common import table
 
 
@@ -31,9 +32,7 @@ def op3_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from registry_jobs.llm.url_filter import judge_urls
-
-    return judge_urls(table(spark, sf_dir, "pages"))
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
 
 
 def op5_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,8 +75,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+def _url_sql(levels: int = 6) -> str:
+    """judge_urls() with its defaults: each level of the tree is a step, and levels beyond these are taken as they are (given paths have two)."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rules = sorted(url_filter.RULES, key=lambda r: (len(r[0]) + len(r[1]), r), reverse=True)
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in rules]
+    case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
+    steps = [
+        f"""WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{upper}', '{upper.lower()}') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages)""",
+        f"""b AS (SELECT *, {case(1)} AS rule, {case(2)} AS ruled, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE WHEN regexp_matches(s, '{url_filter.STAR}') THEN '*' ELSE s END) AS shape FROM u)""",
+        """t0 AS (SELECT host, shape, count(*) AS n, count(rule) AS labelled, count(*) FILTER (WHERE ruled = 'block') AS blocked, '' AS template FROM b GROUP BY host, shape)""",
+    ]
+    for k in range(levels):
+        steps += [
+            f"""c{k} AS (SELECT host, template, count(DISTINCT shape[{k + 1}]) AS kinds, sum(n) AS pages FROM t{k} WHERE len(shape) > {k} GROUP BY host, template)""",
+            f"""t{k + 1} AS (SELECT t.* REPLACE (CASE WHEN len(shape) > {k} THEN template || '/' || CASE WHEN kinds > 8 AND kinds > pages * 0.3 THEN '*' ELSE shape[{k + 1}] END ELSE template END AS template) FROM t{k} t LEFT JOIN c{k} USING (host, template))""",
+        ]
+    steps += [
+        f"""tr AS (SELECT * REPLACE (template || CASE WHEN len(shape) > {levels} THEN '/' || array_to_string(shape[{levels + 1}:], '/') ELSE '' END AS template) FROM t{levels})""",
+        r"""lf AS (SELECT host, template, regexp_replace(template, '/[^/]*\z', '') AS parent, sum(labelled) AS labelled, sum(blocked) AS blocked FROM tr GROUP BY host, template)""",
+        """sb AS (SELECT host, parent, sum(labelled) AS al, sum(blocked) AS ab FROM lf GROUP BY host, parent)""",
+        """k AS (SELECT template, count(*) - 1 AS free, sum(labelled) AS n, sum(blocked) AS b, sum(CAST(blocked * blocked AS DOUBLE) / labelled) AS q, CAST(sum(blocked) AS DOUBLE) / sum(labelled) AS share FROM lf WHERE labelled > 0 GROUP BY template)""",
+        """mt AS (SELECT template, (b + 4 * 0.3::DOUBLE) / (n + 4) AS toward FROM k WHERE CASE WHEN share > 0 AND share < 1 THEN (q - b * share) / (share * (1 - share)) ELSE 0 END <= free + 1.96 * sqrt(2.0 * free))""",
+        """j0 AS (SELECT lf.*, al, ab, coalesce(toward, 0.3::DOUBLE) AS toward, CAST(ab AS DOUBLE) / nullif(al, 0) AS share FROM lf JOIN sb USING (host, parent) LEFT JOIN mt USING (template))""",
+        """j1 AS (SELECT *, labelled > 0 AND abs(CAST(blocked AS DOUBLE) / nullif(labelled, 0) - share) <= 1.96 * sqrt(share * (1 - share) / nullif(labelled, 0)) AS alike FROM j0)""",
+        """j2 AS (SELECT host, template, (CASE WHEN alike THEN ab ELSE blocked END + 4 * toward) / (CASE WHEN alike THEN al ELSE labelled END + 4) AS purity FROM j1)""",
+    ]
+    return ",\n".join(steps) + """
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict, template, CASE WHEN rule IS NULL THEN round(purity, 6) END AS purity
+FROM b JOIN tr USING (host, shape) JOIN j2 USING (host, template)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_url_templates": _url_sql(),
         "op10_exact_dedup": """
             WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents)
             SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id,

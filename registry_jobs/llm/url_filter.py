@@ -1,11 +1,15 @@
 """URL verdicts from host rules and, where none fits, a path-template tree per host.
 
 Paths of a host are read as a tree of segments. Segments that vary (numbers, long hexadecimal names, or
-children that are nearly all different) become wildcards, level by level; branches under one parent
-whose labelled shares of blocked pages cannot be told apart are merged; a template is rejected when its
-smoothed purity, the share of blocked pages among its labelled ones, reaches a threshold.
-
-Everything is counted on (host, shaped path) groups; pages meet their template again by one join.
+children that are nearly all different) become wildcards, level by level. Branches are merged in two ways when
+their labelled shares of blocked pages can't be told apart: those under one parent of a host, and those of
+one template on several hosts. What a template has on all its hosts is what its purity on one host is smoothed
+towards, so a host without labelled pages of its own is judged by the merged branch of others; where hosts
+differ, nothing is merged and the prior stands. A template is rejected when its smoothed purity, the share of
+blocked pages among its labelled ones, reaches a threshold.
+
+Everything is counted on (host, shaped path) groups; pages meet their template again by one join. Only
+DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from registry_jobs.llm.common import written
+from registry_jobs.llm.common import dropped, join_counted, written
 
 #: (host, path, verdict) of the contract.
 RULES = (
@@ -43,14 +47,13 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def shaped(path: Column, depth: int | None = None) -> Column:
-    """Segments of a path: numbers and hexadecimal names of 8 and more are *; with depth, at most so many, and the rest of a deeper path is **."""
+STAR = r"^(?:[0-9]+|[0-9a-f]*[0-9][0-9a-f]{7,}|[0-9a-f-]{32,})(?:\.[A-Za-z0-9]{1,5})?\z"
+
+
+def shaped(path: Column) -> Column:
+    """All segments of a path: numbers and hexadecimal names of 8 and more are *."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    star = lambda s: F.when(s.rlike(r"^(?:[0-9]+|[0-9a-f]*[0-9][0-9a-f]{7,}|[0-9a-f-]{32,})(\.[A-Za-z0-9]{1,5})?$"), F.lit("*")).otherwise(s)
-    if depth is None:
-        return F.transform(parts, star)
-    cut = F.transform(F.slice(parts, 1, depth), star)
-    return F.when(F.size(parts) > depth, F.concat(cut, F.array(F.lit("**")))).otherwise(cut)
+    return F.transform(parts, lambda s: F.when(s.rlike(STAR), F.lit("*")).otherwise(s))
 
 
 def varied_levels(paths: DataFrame, least_children: int) -> list[int]:
@@ -83,53 +86,66 @@ def template_tree(paths: DataFrame, most_share: float, least_children: int) -> D
             .where((F.col("kinds") > least_children) & (F.col("kinds") > F.col("pages") * most_share))
             .select("host", "template", F.lit(True).alias("wide"))
         )
-        tree = tree.join(wide, ["host", "template"], "left")
-        step = F.when(F.col("wide") & (here != "**"), F.lit("*")).otherwise(here)
+        tree = tree.join(wide.hint("merge"), ["host", "template"], "left")
+        step = F.when(F.col("wide"), F.lit("*")).otherwise(here)
         tree = tree.withColumn("template", F.when(here.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step))).drop("wide")
         if k % 4 == 3:
             tree = written(tree)  # a plan doubles with each level
     return tree.withColumn("template", plain(done, F.size("shape")))
 
 
-def judge_urls(
-    pages: DataFrame, rules=RULES, depth: int | None = None, most_share: float = 0.3, least_children: int = 8, prior: float = 0.3, strength: float = 4.0, reject_at: float = 0.5, z: float = 1.96
-) -> DataFrame:
+def alike(labelled: Column, blocked: Column, all_labelled: Column, all_blocked: Column, z: float) -> Column:
+    """Whether a labelled branch's share is within z standard errors of that of the branches it may merge with."""
+    share = F.try_divide(all_blocked, all_labelled)
+    return (labelled > 0) & (F.abs(F.try_divide(blocked, labelled) - share) <= z * F.sqrt(F.try_divide(share * (1 - share), labelled)))
+
+
+def merged_templates(leaf: DataFrame, prior: float, strength: float, z: float) -> DataFrame:
+    """(template, toward): the smoothed purity of the templates whose hosts can't be told apart, from (host, template, labelled, blocked).
+
+    Hosts differ when the chi-square of their shares is beyond its mean by z standard deviations.
+    """
+    known = leaf.where("labelled > 0").groupBy("template").agg(
+        F.count(F.lit(1)).alias("hosts"), F.sum("labelled").alias("n"), F.sum("blocked").alias("b"), F.sum(F.col("blocked") * F.col("blocked") / F.col("labelled")).alias("q")
+    )
+    share = F.col("b") / F.col("n")
+    chi_square = F.coalesce(F.try_divide(F.col("q") - F.col("b") * share, share * (1 - share)), F.lit(0.0))
+    free = F.col("hosts") - 1
+    return known.where(chi_square <= free + z * F.sqrt(2.0 * free)).select("template", ((F.col("b") + strength * prior) / (F.col("n") + strength)).alias("toward"))
+
+
+def judge_urls(pages: DataFrame, rules=RULES, most_share: float = 0.3, least_children: int = 8, prior: float = 0.3, strength: float = 4.0, reject_at: float = 0.5, z: float = 1.96) -> DataFrame:
     """page_id, host, path, rule, verdict, template, purity: one row per row of pages (page_id, url).
 
-    Rules decide where one fits, and label their pages for the tree. A null url or one without :// has an
-    empty host and path. Null ids and repeated rows pass through; other columns are not read; an empty
-    table gives an empty result. Without depth, paths are read to their ends. purity is null where a rule decides. A template without labelled pages
-    has the prior as its purity.
+    Rules decide where one fits, the longest, and of equally long ones the last by host and path; they label
+    their pages for the tree. A null url or one without :// has an empty host and path. Paths are read to their
+    ends. Null ids and repeated rows pass through, and each repeated row counts; other columns are not read; an
+    empty table gives an empty result. purity is null where a rule decides. A template without labelled pages
+    on its host has the purity of its hosts together, or the prior where these differ or have none.
     """
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     base = base.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    base = base.withColumn("by_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("shape", shaped(F.col("path"), depth))
+    base = base.withColumn("by_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("shape", shaped(F.col("path")))
     ruled = F.col("by_rule").isNotNull()
-    counts = base.groupBy("host", "shape").agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(ruled, 1)).alias("labelled"), F.count(F.when(F.col("by_rule.verdict") == "block", 1)).alias("blocked")
-    )
-    tree = written(template_tree(written(counts), most_share, least_children))
-    leaf = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    leaf = leaf.withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
-    # Labelled branches under one parent pool their counts unless they differ from the pool by z standard errors.
-    pool = leaf.groupBy("host", "parent").agg(F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
-    both = leaf.join(pool, ["host", "parent"])
-    share = F.try_divide("all_blocked", "all_labelled")
-    error = F.sqrt(F.try_divide(share * (1 - share), F.col("labelled")))
-    alike = (F.col("labelled") > 0) & (F.abs(F.try_divide("blocked", "labelled") - share) <= z * error)
-    judged = both.select(
-        "host",
-        "template",
-        ((F.when(alike, F.col("all_blocked")).otherwise(F.col("blocked")) + strength * prior) / (F.when(alike, F.col("all_labelled")).otherwise(F.col("labelled")) + strength)).alias("purity"),
+    counts = written(
+        base.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(ruled, 1)).alias("labelled"), F.count(F.when(F.col("by_rule.verdict") == "block", 1)).alias("blocked"))
     )
-    known = written(tree.join(judged, ["host", "template"]).select("host", "shape", "template", "purity"))
-    out = base.join(known, ["host", "shape"], "left")
-    return out.select(
+    tree = written(template_tree(counts, most_share, least_children))
+    leaf = written(tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).withColumn("parent", F.regexp_replace("template", "/[^/]*\\z", "")))
+    siblings = leaf.groupBy("host", "parent").agg(F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
+    both = leaf.join(siblings.hint("merge"), ["host", "parent"]).join(merged_templates(leaf, prior, strength, z).hint("merge"), "template", "left")
+    merge = alike(F.col("labelled"), F.col("blocked"), F.col("all_labelled"), F.col("all_blocked"), z)
+    n, b = F.when(merge, F.col("all_labelled")).otherwise(F.col("labelled")), F.when(merge, F.col("all_blocked")).otherwise(F.col("blocked"))
+    judged = both.select("host", "template", ((b + strength * F.coalesce("toward", F.lit(prior))) / (n + strength)).alias("purity"))
+    known = written(tree.join(judged.hint("merge"), ["host", "template"]).select("host", "shape", "template", "purity", F.col("n").alias("times")))
+    total = known.agg(F.sum("times")).first()[0] or 0
+    dropped(counts, leaf)
+    return join_counted(base, known, ["host", "shape"], total, "left").select(
         "page_id",
         "host",
         "path",
         F.col("by_rule.rule").alias("rule"),
         F.coalesce("by_rule.verdict", F.when(F.col("purity") >= reject_at, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
         "template",
-        F.when(~ruled, F.col("purity")).alias("purity"),
+        F.when(~ruled, F.round("purity", 6)).alias("purity"),
     )
