@@ -4,8 +4,9 @@ Patterns give the base spans. Suspects are tokens of like shape which the patter
 other notations, disguised addresses. Base spans and suspects of a document are the nodes of a field:
 neighbours in the text share a chain potential, and equal or similar tokens, however far apart, a skip
 potential. Loopy message passing lets a confirmed token lend its label to its other spellings; suspects
-whose belief passes a threshold are added. Unary weights are learned from all documents, with base
-spans as positive and suspects as negative examples. All documents of a slice form one graph for numpy.
+whose belief passes a threshold are added. All weights are counted over all documents: those of features with
+base spans as positive and suspects as negative examples, those of pairs by how often two base spans that they
+join have one kind, against chance. All documents of a slice form one graph for numpy.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registry_jobs.llm.common import text_or_empty, written
+from registry_jobs.llm.common import dropped, text_or_empty, written
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -32,8 +33,9 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_NUMBERS = re.compile(r"\(?[0-9](?:[ ().\-/]{0,3}[0-9]){6,18}(?![0-9])")
-_MASKED = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:@|\(at\)|\[at\]|＠| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{1,63}){1,8}", re.IGNORECASE)
+_NUMBERS = re.compile(r"\(?[0-9](?:[ ().\-/]{0,3}[0-9]){6,}+")
+_AT = re.compile(r" ?(?:@|\(at\)|\[at\]|＠| at ) ?", re.IGNORECASE)
+_HOST = re.compile(r"[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]++)+", re.IGNORECASE)
 NEAR = 80  # code points within which neighbours share a chain potential
 
 
@@ -78,13 +80,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Plain and disguised addresses: each at-sign with a host takes the run of local characters before it, back to the last match."""
+    last = 0
+    for m in _AT.finditer(text):
+        start = m.start()
+        host = _HOST.match(text, m.end()) if start >= last else None
+        while host and start > last and text[start - 1] in _LOCAL:
+            start -= 1
+        if host and start < m.start():
+            yield start, host.end()
+            last = host.end()
+
+
 def suspects(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     """(start, end) of tokens of like shape that overlap no base span and no suspect before them."""
     found = []
     if _DIGIT.search(text):
         found += [m.span() for m in _NUMBERS.finditer(text)]
     if "@" in text or "＠" in text or re.search(r"[(\[]at[)\]]| dot ", text, re.IGNORECASE):
-        found += [m.span() for m in _MASKED.finditer(text)]
+        found += addresses(text)
     out, taken, k = [], sorted((s, e) for s, _, e in base), 0
     last = 0
     for s, e in sorted(found):
@@ -124,16 +139,31 @@ def shape(text: str, start: int, end: int) -> list[str]:
     ]
 
 
+#: What is believed before any pair is counted, as so many pairs: the share of pairs with one kind among
+#: neighbours (chance), among equal tokens (#, @) and among numbers with equal last digits (~).
+PAIRS_BEFORE = 10.0
+SHARE_BEFORE = {"chain": 0.25, "#": 0.999, "@": 0.999, "~": 0.99}
+NONE_BEFORE = 7.4  # suspects that are nothing for each of a kind
+
+
+def log_odds(share: float) -> float:
+    return math.log(share / (1 - share))
+
+
+def potential(name: str, same: float = 0.0, other: float = 0.0, chance: float = 0.25) -> float:
+    """How much more than by chance the two ends of a pair have one label."""
+    before = SHARE_BEFORE[name]
+    return math.log((same + PAIRS_BEFORE * before) / (other + PAIRS_BEFORE * (1 - before))) - log_odds(chance)
+
+
 @dataclass
 class Field:
-    """Weights of the field: unary log-odds of each feature by label, and the two pair potentials."""
+    """Weights of the field: unary log-odds of each feature by label, the labels' bias, and the potentials of pairs. Base spans are observed: their label is fixed."""
 
     unary: dict[str, np.ndarray] = field(default_factory=dict)
-    bias: np.ndarray = field(default_factory=lambda: np.array([2.0, 0.0, 0.0, 0.0, 0.0]))
-    clamp: float = 12.0
-    chain: float = 0.3
-    skip: float = 9.0
-    similar: float = 5.0
+    bias: np.ndarray = field(default_factory=lambda: np.array([math.log(NONE_BEFORE), 0.0, 0.0, 0.0, 0.0]))
+    pairs: dict[str, float] = field(default_factory=lambda: {name: potential(name) for name in SHARE_BEFORE})
+    observed: float = 30.0
     rounds: int = 12
     threshold: float = 0.7
 
@@ -165,6 +195,18 @@ def solve(unary: np.ndarray, edges: np.ndarray, strength: np.ndarray, rounds: in
     return b / b.sum(1, keepdims=True)
 
 
+def linked(text: str, own: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str]]:
+    """(earlier, later, name) of the pairs of tokens: neighbours, and each token with the last one of the same identity."""
+    last: dict[str, int] = {}
+    for j, (s, e, _) in enumerate(own):
+        if j and s - own[j - 1][1] <= NEAR:
+            yield j - 1, j, "chain"
+        for name in identities(text[s:e]):
+            if name in last:
+                yield last[name], j, name[0]
+            last[name] = j
+
+
 def label_texts(texts: list[str], model: Field) -> list[tuple[list, list]]:
     """(base spans, added spans) of each text, each (start, kind, end)."""
     rows, nodes, unary, edges, strength = [], [], [], [], []
@@ -175,26 +217,20 @@ def label_texts(texts: list[str], model: Field) -> list[tuple[list, list]]:
         if not more:
             continue
         own = sorted([(s, e, k + 1) for s, k, e in base] + [(s, e, 0) for s, e in more])
-        last: dict[str, int] = {}
-        for j, (s, e, k) in enumerate(own):
-            at = len(nodes)
+        first = len(nodes)
+        for s, e, k in own:
             nodes.append((t, s, e, k))
             u = model.bias.copy()
             if k:
                 u = np.zeros(len(LABELS))
-                u[k] = model.clamp
+                u[k] = model.observed
             else:
                 for f in shape(text, s, e):
                     u = u + model.unary.get(f, 0.0)
             unary.append(u)
-            if j and s - own[j - 1][1] <= NEAR:
-                edges.append((at - 1, at))
-                strength.append(model.chain)
-            for name in identities(text[s:e]):
-                if name in last and last[name] != at:
-                    edges.append((last[name], at))
-                    strength.append(model.similar if name[0] == "~" else model.skip)
-                last[name] = at
+        for a, b, name in linked(text, own):
+            edges.append((first + a, first + b))
+            strength.append(model.pairs[name])
     if nodes:
         belief = solve(np.array(unary), np.array(edges, dtype=np.int64).reshape(-1, 2), np.array(strength), model.rounds)
         for (t, s, e, k), b in zip(nodes, belief, strict=True):
@@ -205,7 +241,7 @@ def label_texts(texts: list[str], model: Field) -> list[tuple[list, list]]:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = 1e-5) -> Field:
-    """Unary weights from all documents: features with at least least_share of all counts, and five."""
+    """The field's weights from all documents. A feature counts from least_share of all counts, and from five, on: at most 1 / least_share come to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -220,8 +256,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
             for text in batch.column(0):
                 text = text.as_py()
                 base = base_spans(text)
-                for s, e, k in [(s, e, k + 1) for s, k, e in base] + [(s, e, 0) for s, e in suspects(text, base)]:
+                own = sorted([(s, e, k + 1) for s, k, e in base] + [(s, e, 0) for s, e in suspects(text, base)])
+                for s, e, k in own:
                     seen.update((f, k) for f in ["", *shape(text, s, e)])
+                for a, b, name in linked(text, own):
+                    if own[a][2] and own[b][2]:
+                        seen[f"pair {name}", int(own[a][2] == own[b][2])] += 1
                 if len(seen) > 100_000:
                     yield counted()
                     seen.clear()
@@ -231,10 +271,18 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     counts = written(tokens.groupBy("feature", "label").agg(F.sum("n").alias("n")))
     least = max(5.0, least_share * (counts.agg(F.sum("n")).first()[0] or 0))
     table: dict[str, np.ndarray] = {}
-    for r in counts.where(F.col("n") >= least).collect():
+    for r in counts.where((F.col("n") >= least) | F.col("feature").startswith("pair ") | (F.col("feature") == "")).collect():
         table.setdefault(r["feature"], np.zeros(len(LABELS)))[r["label"]] = r["n"]
+    dropped(counts)
     model = Field()
-    total = table.pop("", np.zeros(len(LABELS))) + 1
+    total = table.pop("", np.zeros(len(LABELS)))
+    kinds = total[1:] + PAIRS_BEFORE / len(KINDS)
+    chance = float(((kinds / kinds.sum()) ** 2).sum())
+    for name in SHARE_BEFORE:
+        other, same = table.pop(f"pair {name}", np.zeros(len(LABELS)))[:2]
+        model.pairs[name] = potential(name, same, other, chance)
+    model.bias[0] = math.log((total[0] + PAIRS_BEFORE * NONE_BEFORE) / (total[1:].mean() + PAIRS_BEFORE))
+    total = total + 1
     for f, n in table.items():
         share = np.log((n + 0.5) / (total + 1.0))
         # damped, as the features overlap and base spans follow from some of them by definition

@@ -529,6 +529,16 @@ def test_pii_without_base_spans(spark, monkeypatch):
     assert [k for _, k, _ in pii.label_texts([text], sure)[0][1]] == [0] and pii.label_texts([text], pii.Field())[0][1] == []
 
 
+def test_pii_pairs_are_learned(spark):
+    """Where equal numbers have one kind, the pair binds; where neighbours mostly differ, it parts."""
+    rows = spark.range(400).selectExpr("id doc_id", "if(id % 4 = 0, concat('call +49 170 5', lpad(id, 5, '0'), ' or +49 170 5', lpad(id, 5, '0')), concat('see ann', id, '@x.example.com 10.0.', id % 200, '.1')) text")
+    model, before = pii.learn(rows), pii.Field()
+    assert model.pairs["#"] > before.pairs["#"] > 5 and model.pairs["chain"] < before.pairs["chain"] and model.pairs["@"] > 5
+    assert pii.learn(rows.limit(0)).pairs == before.pairs and (pii.learn(rows.limit(0)).bias == before.bias).all()
+    long = "1" * 5000 + " " + "a" * 300_000 + "(at)" + "b" * 5000 + "(dot)com"
+    assert [e - s for s, e in pii.suspects(long, [])] == [5001 - 1, 300_000 + 4 + 5000 + 5 + 3]
+
+
 def test_pii_learns_from_all_documents(spark):
     rows = spark.range(6_000).selectExpr("id doc_id", "concat('mark', id % 1200, ' ann@x.example.com') text")
     model = pii.learn(rows)
