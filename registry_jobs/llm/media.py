@@ -126,6 +126,10 @@ def npy(array: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def read_npy(data: bytes) -> np.ndarray:
+    return np.load(io.BytesIO(data), allow_pickle=False)
+
+
 def payload_of(text: str | None) -> tuple[int, bytes]:
     """Length of the text in UTF-8, and these bytes with spaces up to a positive multiple of a row."""
     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -137,7 +141,7 @@ def picture_of(payload: bytes) -> np.ndarray:
 
 
 _DIGEST = pa.schema(
-    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_tiles", pa.int64()), ("tiles_sha256", pa.string())]
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_tiles", pa.int64()), ("tiles_sha256", pa.string()), ("tile_hashes_sha256", pa.string())]
 )
 
 
@@ -152,13 +156,15 @@ def tiles_of(data: bytes, tile: int = 64, height: int = 0, width: int = 0) -> It
             yield y // tile, x // tile, image[y : y + tile, x : x + tile]
 
 
-def tiles_digest(data: bytes) -> tuple[int, str]:
-    """Number of a file's tiles, and the SHA-256 of their NPY files one after another."""
-    n, digest = 0, hashlib.sha256()
+def tiles_digest(data: bytes) -> tuple[int, str, str]:
+    """Number of a file's tiles, the SHA-256 of their NPY files one after another, and that of the difference hashes of the tiles read back from these."""
+    n, files, hashes = 0, hashlib.sha256(), hashlib.sha256()
     for _, _, part in tiles_of(data):
         n += 1
-        digest.update(npy(part))
-    return n, digest.hexdigest()
+        stored = npy(part)
+        files.update(stored)
+        hashes.update(difference_hash(read_npy(stored)).encode())
+    return n, files.hexdigest(), hashes.hexdigest()
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,13 +183,14 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store each text as a PPM picture, read it back, and return digests and the difference hash.
 
-    n_tiles and tiles_sha256 are of the NPY tiles that media_tiles() cuts from the same picture as BMP.
+    n_tiles and tiles_sha256 are of the NPY tiles that media_tiles() cuts from the same picture as BMP, and
+    tile_hashes_sha256 of the difference hashes of these tiles, read back.
 
     A null text is empty (one row of spaces). Null ids and repeated rows pass through; other columns
     are not read; equal texts give equal values. Rows never meet: no shuffle.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tiles long, tiles_sha256 string")
+    return docs.mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tiles long, tiles_sha256 string, tile_hashes_sha256 string")
 
 
 def text_to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind: str = "ppm") -> DataFrame:

@@ -777,3 +777,29 @@ def test_urls_are_judged_by_merged_branches(spark):
     assert [(r.verdict, r.rule) for r in tied] == [("block", "x.y.z/a/b")] * 2
     deep = "http://d.org/" + "/".join(f"s{k}" for k in range(3000))
     assert url_filter.judge_urls(spark.createDataFrame([(1, deep), (1, deep), (2, "http://d.org//")], "page_id long, url string")).count() == 3
+
+
+def plain_hash(rows):
+    """Difference hash by the share of each pixel in each of 8 x 9 areas."""
+    h, w = len(rows), len(rows[0])
+    part = lambda a, b, k: max(0.0, min(b, k + 1) - max(a, k))
+    means = [[sum(part(y * h / 8, (y + 1) * h / 8, i) * part(x * w / 9, (x + 1) * w / 9, j) * rows[i][j] for i in range(h) for j in range(w)) for x in range(9)] for y in range(8)]
+    area = h * w / 72
+    bits = "".join(str(int(row[x] / area < row[x + 1] / area - 1e-9)) for row in means for x in range(8))
+    return f"{int(bits, 2):016x}"
+
+
+def test_media_digest_is_the_plain_one(spark):
+    r = random.Random(6)
+    rows = [(k, "".join(chr(r.choice([32, 97, 98, 233, 12354, 128512])) for _ in range(r.randrange(900)))) for k in range(12)] + [(90, None), (91, "")]
+    for x in media.media_digest(frame(spark, rows)).collect():
+        raw = (dict(rows)[x.doc_id] or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        pixels = [[payload[i * 192 + j * 3 : i * 192 + j * 3 + 3] for j in range(64)] for i in range(len(payload) // 192)]
+        stored = b"P6\n64 %d\n255\n" % len(pixels) + payload
+        want = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest())
+        assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32, x.media_bytes, x.media_sha256) == want
+        grey = [[0.299 * p[0] + 0.587 * p[1] + 0.114 * p[2] for p in row] for row in pixels]
+        assert x.feature == plain_hash(grey)
+        tile = np.floor(np.array(grey) + 0.5).astype(np.uint8)
+        assert x.n_tiles == 1 and x.tile_hashes_sha256 == hashlib.sha256(plain_hash(tile.tolist()).encode()).hexdigest()
