@@ -13,9 +13,19 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def chars(text: Column, one: str) -> Column:
+    """How many characters are of the class `one`: what is missing when its runs are taken out."""
+    return F.length(text) - F.length(F.regexp_replace(text, one + "+", ""))
+
+
+def words_of_4(text: Column, least: int) -> Column:
+    """Whether there are at least so many Latin words of four letters and more; most lines have no four letters."""
+    return text.rlike("[A-Za-z]{4}") & (count(text, P.WORD4_JAVA) >= least)
+
+
 def share(text: Column, pattern: str) -> Column:
     """Share of the characters of a text that isn't empty."""
-    return count(text, pattern) / F.greatest(F.length(text), F.lit(1))
+    return chars(text, pattern) / F.greatest(F.length(text), F.lit(1))
 
 
 def has_japanese(text: Column) -> Column:
@@ -35,12 +45,8 @@ def looks_like_garbage(text: Column) -> Column:
         c, t = x["c"], x["t"]
         japanese = has_japanese(c)
         alnum = share(c, P.ALNUM)
-        return F.when(c == "", True).otherwise(
-            (~japanese & (F.length(c) >= 6) & (alnum >= 0.55))
-            | (~japanese & (share(c, P.SYMBOL) >= 0.35))
-            | ((alnum >= 0.35) & (count(t, P.WORD4_JAVA) >= 2))
-            | (~japanese & t.rlike(P.CAPITALS_OR_WORD5_JAVA))
-        )
+        foreign = ((F.length(c) >= 6) & (alnum >= 0.55)) | (share(c, P.SYMBOL) >= 0.35) | t.rlike(P.CAPITALS_OR_WORD5_JAVA)
+        return F.when(c == "", True).otherwise((~japanese & foreign) | (words_of_4(t, 2) & (alnum >= 0.35)))
 
     return let(F.struct(compact(text).alias("c"), text.alias("t")), of)
 

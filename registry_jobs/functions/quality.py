@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from registry_jobs.functions import patterns as P
-from registry_jobs.functions.predicates import count
+from registry_jobs.functions.predicates import chars, count, words_of_4
 from registry_jobs.functions.text import compact, js_trim, let
 
 _BLANKED = P.WS + "*"
@@ -27,7 +27,7 @@ def is_garbage_line(line: Column) -> Column:
     def of(x: Column) -> Column:
         c, n = x["c"], F.length(x["c"])
         foreign = ~c.rlike(P.JAPANESE)
-        return (n >= 4) & ((foreign & ((count(c, P.ALNUM) >= n * 0.55) | (count(c, P.SYMBOL) >= n * 0.35))) | (count(x["t"], P.WORD4_JAVA) >= 2))
+        return (n >= 4) & ((foreign & ((chars(c, P.ALNUM) >= n * 0.55) | (chars(c, P.SYMBOL) >= n * 0.35))) | words_of_4(x["t"], 2))
 
     return let(F.struct(compact(line).alias("c"), line.alias("t")), of)
 
@@ -40,8 +40,8 @@ def text_quality(text: Column) -> Column:
     def counted(x: Column) -> Column:
         c = x["c"]
         return F.struct(
-            F.length(c).alias("n"), count(c, P.JAPANESE).alias("jp"), count(c, P.ALNUM).alias("ascii"), count(c, P.SYMBOL).alias("symbol"),
-            count(x["t"], P.WORD4_JAVA).alias("words"), label_count(x["t"]).alias("labels"), F.size(F.filter(x["l"], is_garbage_line)).alias("garbage"), F.size(x["l"]).alias("lines"),
+            F.length(c).alias("n"), chars(c, P.JAPANESE).alias("jp"), chars(c, P.ALNUM).alias("ascii"), chars(c, P.SYMBOL).alias("symbol"),
+            F.when(x["t"].rlike("[A-Za-z]{4}"), count(x["t"], P.WORD4_JAVA)).otherwise(0).alias("words"), label_count(x["t"]).alias("labels"), F.size(F.filter(x["l"], is_garbage_line)).alias("garbage"), F.size(x["l"]).alias("lines"),
         )
 
     def scored(k: Column) -> Column:

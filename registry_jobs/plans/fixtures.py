@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registry_jobs.functions import patterns as P
+from registry_jobs.sources.tables import table, width
 
 # Words the frames are made of.
 EVENTS = ("所有権保存", "所有権移転", "所有権移転", "所有権一部移転", "持分一部移転", "所有権移転抹消", "所有権移転仮登記")
@@ -23,10 +24,6 @@ CITIES = ("青葉市", "緑区", "桜町", "郡山市")
 TOWNS = ("中央", "本町", "栄")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _pick(words: tuple[str, ...], n: Column) -> Column:
     return F.get(F.array(*[F.lit(w) for w in words]), F.pmod(n, F.lit(len(words))).cast("int"))
 
@@ -61,9 +58,10 @@ def _entry_lines(k: Column, no: Column) -> Column:
 
 def reg_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text): one certificate for each customer with orders."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("k"))
+    # few bytes make long texts: the number of partitions is said, as sizes would have the texts made in one task
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("k"))
     sorted_keys = F.array_sort(F.collect_list("k"))
-    by = orders.groupBy("doc_id").agg(sorted_keys.alias("ks"))
+    by = orders.repartition(width(spark), "doc_id").groupBy("doc_id").agg(sorted_keys.alias("ks"))
     c = F.col("doc_id")
     place = F.concat(_pick(PREFECTURES, c), _pick(CITIES, c), _pick(TOWNS, c))
     area = _t(c % 400 + 50, ".", F.lpad((c % 100).cast("string"), 2, "0"), "㎡")
