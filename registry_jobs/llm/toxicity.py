@@ -213,7 +213,7 @@ class Settings:
     a chosen stem rules its own beginnings out. Chosen by cross_validated() on training rows only."""
 
     least_odds: float = 8.0
-    full_odds: float = 200.0
+    full_odds: float = 20.0
     one_stem: bool = True
 
 
