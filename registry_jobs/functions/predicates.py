@@ -91,8 +91,12 @@ def looks_like_corp(text: Column) -> Column:
     return text.rlike(P.CORPORATION)
 
 
+def person_cleaned(v: Column) -> Column:
+    return (v != "") & v.rlike(P.PERSON) & ~v.rlike("[0-9]{3,}") & ~v.rlike(P.NOT_PERSON)
+
+
 def looks_like_person(text: Column) -> Column:
-    return let(clean_value(text), lambda v: (v != "") & ~v.rlike("[0-9]{3,}") & ~v.rlike(P.NOT_PERSON) & v.rlike(P.PERSON))
+    return let(clean_value(text), person_cleaned)
 
 
 def looks_like_address(text: Column) -> Column:
@@ -137,10 +141,10 @@ def strip_annotation(text: Column) -> Column:
 def safe_owner(text: Column) -> Column:
     def of(x: Column) -> Column:
         rejected = (
-            (x == "") | ~is_plausible(x) | is_header(x) | has_contamination(x) | looks_like_address(x) | ascii_noise(x, 0.12) | symbol_noise(x, 0.02)
+            (x == "") | ~plausible_cleaned(x) | is_header(x) | has_contamination(x) | looks_like_address(x) | ascii_noise(x, 0.12) | symbol_noise(x, 0.02)
             | has_noise_token(x) | x.contains("OCR候補") | x.rlike(P.OWNER_DATES) | x.rlike(P.OWNER_EVENTS) | (x.contains("会社") & ~looks_like_corp(x)) | (F.length(x) > 40)
         )
-        return F.when(~rejected & (looks_like_corp(x) | looks_like_person(x)), x).otherwise("")
+        return F.when((looks_like_corp(x) | person_cleaned(x)) & ~rejected, x).otherwise("")
 
     return let(strip_annotation(text), of)
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -68,19 +68,59 @@ def repair_numbers(text: Column) -> Column:
     )
 
 
+def place_text(text: Column) -> Column:
+    return F.regexp_replace(text, f"(所在{P.WS}*)都山市", "$1郡山市")
+
+
 def repair_places(text: Column) -> Column:
     """struct(text, changed): a misread city right after the location label."""
-    return let(
-        F.struct(text.alias("a"), F.regexp_replace(text, f"(所在{P.WS}*)都山市", "$1郡山市").alias("b")),
-        lambda x: F.struct(x["b"].alias("text"), (x["a"] != x["b"]).alias("changed")),
-    )
+    return let(text, lambda a: let(place_text(a), lambda b: F.struct(b.alias("text"), (a != b).alias("changed"))))
+
+
+def may_change(text: Column, variants: str, term: str) -> Column:
+    """Whether a rule may change the text: a cheap test for a literal of each variant, and only then its pattern.
+
+    A variant that is the term but for white space changes nothing where it stands without any.
+    """
+    tests = []
+    for one in variants.split("|"):
+        literal = max(reversed(re.split(r"\.\*\?|.\?|\\.|\[[^\]]*\]|_\*?", one)), key=len)
+        parts = re.split(r"_\*?", one)
+        if len(parts) > 1 and "".join(parts) == term:
+            pattern = "|".join(f"{a}{P.WS}+{b}" for a, b in zip(parts, parts[1:]))
+        else:
+            pattern = P.spaced(one)
+        tests.append(text.contains(literal) if literal == one else text.contains(literal) & text.rlike(pattern))
+    return reduce(lambda a, b: a | b, tests)
+
+
+RULES_AT_ONCE = 6
+
+
+def apply_rules(text: Column, rules: Sequence[tuple]) -> Column:
+    """Replacements in order; rules begin with (variants, term).
+
+    A few rules at a time are left out together where none of them may change the text.
+    """
+
+    def part(some: Sequence[tuple]) -> Callable[[Column], Column]:
+        def replaced(t: Column) -> Column:
+            out = t
+            for variants, term, *_ in some:
+                out = F.regexp_replace(out, P.spaced(variants), term)
+            return F.when(reduce(lambda a, b: a | b, [may_change(t, v, to) for v, to, *_ in some]), out).otherwise(t)
+
+        return replaced
+
+    boxed = F.array(text)  # in an array of one, the text is made once and named often
+    for k in range(0, len(rules), RULES_AT_ONCE):
+        boxed = F.transform(boxed, part(rules[k : k + RULES_AT_ONCE]))
+    return F.get(boxed, F.lit(0))
 
 
 def apply_vocabulary_text(text: Column, rules=P.VOCABULARY) -> Column:
     """The vocabulary's replacements in order, without counts."""
-    for variants, term, _ in rules:
-        text = F.regexp_replace(text, P.spaced(variants), term)
-    return text
+    return apply_rules(text, rules)
 
 
 def vocabulary_count(text: Column, variants: str) -> Column:
@@ -100,9 +140,7 @@ def despace_lines(text: Column) -> Column:
 
 
 def normalize_labels(text: Column, rules=P.LABEL_RULES) -> Column:
-    for variants, label in rules:
-        text = F.regexp_replace(text, P.spaced(variants), label)
-    return text
+    return apply_rules(text, rules)
 
 
 def clean_value(text: Column) -> Column:
@@ -132,7 +170,7 @@ def front(text: Column) -> Column:
 
 
 def chain_text(text: Column, rules=P.VOCABULARY) -> Column:
-    return apply_vocabulary_text(repair_places(repair_numbers(text)["text"])["text"], rules)
+    return apply_vocabulary_text(place_text(repair_numbers(text)["text"]), rules)
 
 
 def normalize_ocr(text: Column, rules=P.VOCABULARY) -> Column:

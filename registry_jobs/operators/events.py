@@ -41,28 +41,24 @@ def is_receipt_only(block: Column) -> Column:
 def merge_receipt_blocks(blocks: Column) -> Column:
     """A block that is only a receipt goes to the next one, lines first; in a run of them every other goes."""
 
-    def merged(s: Column) -> Column:
-        b, flag, n = s["b"], s["f"], F.size(s["b"])
-
-        def goes(k: Column) -> Column:
-            before = F.slice(flag, F.lit(1), k)
-            solid = F.array_max(F.transform(before, lambda f, j: F.when(~f, j).otherwise(-1)))
-            return F.get(flag, k) & ((k - F.coalesce(solid, F.lit(-1))) % 2 == 1) & (k < n - 1)
-
-        gone = F.transform(flag, lambda _, k: F.coalesce(goes(k), F.lit(False)))
-        return let(
-            gone,
-            lambda g: F.flatten(
-                F.transform(
-                    b,
-                    lambda x, k: F.when(F.get(g, k), F.array().cast("array<array<string>>")).otherwise(
-                        F.array(F.when((k > 0) & F.get(g, F.greatest(k - 1, F.lit(0))), F.concat(F.get(b, F.greatest(k - 1, F.lit(0))), x)).otherwise(x))
-                    ),
-                )
-            ),
-        )
-
-    return let(let(blocks, lambda b: F.struct(b.alias("b"), F.transform(b, is_receipt_only).alias("f"))), merged)
+    def merged(b: Column) -> Column:
+        n = F.size(b)
+        start = F.struct(F.array().cast("array<array<string>>").alias("out"), no_lines().alias("held"), F.lit(False).alias("holds"))
+
+        def step(acc: Column, x: Column) -> Column:
+            return let(
+                x["flag"] & ~acc["holds"] & x["more"],
+                lambda goes: F.struct(
+                    F.when(goes, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.concat(acc["held"], x["lines"])))).alias("out"),
+                    F.when(goes, x["lines"]).otherwise(no_lines()).alias("held"),
+                    goes.alias("holds"),
+                ),
+            )
+
+        told = F.transform(b, lambda x, k: F.struct(x.alias("lines"), is_receipt_only(x).alias("flag"), (k < n - 1).alias("more")))
+        return F.aggregate(told, start, step, lambda acc: acc["out"])
+
+    return let(blocks, merged)
 
 
 def first_line(lines: Column, pattern: str) -> Column:
@@ -88,13 +84,11 @@ def owner_candidates(lines: Column) -> Column:
 
     def of(line: Column) -> Column:
         value = js_trim(F.regexp_replace(line, HOLDER, ""))
-        named = F.when(
-            line.rlike("所有者|権利者|共有者|氏名"), let(value, lambda v: F.when(v != "", F.concat(F.array(v), F.transform(F.split(v, "[／/]", -1), clean_value))).otherwise(no_lines()))
-        ).otherwise(no_lines())
+        named = let(value, lambda v: F.when(v != "", F.concat(F.array(v), F.transform(F.split(v, "[／/]", -1), clean_value))).otherwise(no_lines()))
         inline = F.regexp_extract_all(line, F.lit(f"(?:所有者|権利者|共有者){P.WS}*[:：]?{P.WS}*([^{P.WS_CHARS}]+)"), F.lit(1))
         return F.concat(named, inline)
 
-    fit = F.filter(lines, lambda x: is_plausible(x) & ~is_header(x) & ~is_excluded_right(x) & ~x.contains("OCR候補"))
+    fit = F.filter(lines, lambda x: x.rlike("所有者|権利者|共有者|氏名") & is_plausible(x) & ~is_header(x) & ~is_excluded_right(x) & ~x.contains("OCR候補"))
     safe = F.filter(F.transform(unique_clean(F.flatten(F.transform(fit, of))), safe_owner), lambda x: x != "")
     return unique_clean(F.filter(safe, lambda x: ~x.rlike("^(持分|住所|受付|順位|原因|記載)") & (looks_like_corp(x) | looks_like_person(x))))
 

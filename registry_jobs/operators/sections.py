@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from registry_jobs.functions import patterns as P
-from registry_jobs.functions.predicates import is_noise_line
+from registry_jobs.functions.predicates import noise_cleaned
 from registry_jobs.functions.text import clean_value, let
 
 def no_lines() -> Column:
@@ -16,7 +16,7 @@ def no_lines() -> Column:
 def line_array(text: Column) -> Column:
     """Cleaned lines that hold something and aren't noise."""
     cleaned = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), clean_value)
-    return F.filter(F.filter(cleaned, lambda x: x != ""), lambda x: ~is_noise_line(x))
+    return F.filter(F.filter(cleaned, lambda x: x != ""), lambda x: ~noise_cleaned(x))
 
 
 def lines_of(df: DataFrame, text: str = "text") -> DataFrame:
