@@ -31,6 +31,7 @@ SLOTS = 200
 BANDS = 56
 ROWS = 9
 LEAST_AGREEMENT = 0.64  # of slots; similarity 0.8 agrees in fewer with a probability below 1e-7
+SLICE = 1 << 18  # bytes of texts that are signed at once: short texts have many points a shingle
 DEAL = 1000  # rows of one shingle that meet in one task
 
 
@@ -126,7 +127,7 @@ def _sign(size: int, slots: int, bands: int, rows: int):
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, offsets in text_slices(batch.column(2)):
+            for first, data, offsets in text_slices(batch.column(2), SLICE):
                 n = len(offsets) - 1
                 got = weigh(*shingles(data, offsets, size))
                 signature = bag_minhash(*got, n, slots)
@@ -208,11 +209,12 @@ def prefix_pairs(placed: DataFrame, texts: DataFrame, size: int, similarity: flo
     DEAL to a task, and those that look for partners among them go to each part.
     """
     bag = written(merged(texts, placed.select("rid"), "rid").select("rid", "text").mapInArrow(_bags(size), "rid long, h long, w long"))
-    often = bag.groupBy("h").agg(F.count(F.lit(1)).alias("df"), F.count(F.lit(1)).alias("times")).where("df > 1")
-    rest = Window.partitionBy("rid").orderBy("df", "h").rowsBetween(0, Window.unboundedFollowing)
-    counted = join_counted(bag, often, ["h"], bag.count(), "left").select("rid", "h", "w", F.coalesce("df", F.lit(1)).alias("df"))
-    ordered = merged(counted.withColumn("rest", F.sum("w").over(rest)), placed, "rid")
-    prefix = written(ordered.where((F.col("df") > 1) & (F.col("rest") >= F.col("weight") * F.lit(similarity - 1e-9))).select("h", "rid", "root", "weight", "rest"))
+    # shingles of one text only come first and are no text's meeting point: they are left out
+    often = bag.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    mine = Window.partitionBy("rid")
+    upto = F.sum("w").over(mine.orderBy("df", "h").rowsBetween(Window.unboundedPreceding, 0))
+    ordered = merged(merged(bag, often, "h").withColumn("rest", F.sum("w").over(mine) - upto + F.col("w")), placed, "rid")
+    prefix = written(ordered.where(F.col("rest") >= F.col("weight") * F.lit(similarity - 1e-9)).select("h", "rid", "root", "weight", "rest"))
     # members of a shingle's largest component meet the others, not each other
     by_root = prefix.groupBy("h", "root").agg(F.count(F.lit(1)).alias("c"))
     largest = by_root.groupBy("h").agg(F.max_by("root", F.struct("c", "root")).alias("largest"), F.count(F.lit(1)).alias("roots"), F.sum("c").alias("times"))
