@@ -40,6 +40,9 @@ def golden(n: Column) -> Column:
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1)) -> DataFrame:
     """(source, source_size, target, lo, hi) from (source, size): one row per source.
 
+    Sources are summed before they meet in one task, a row of some 50 bytes each: their number, not that of
+    documents, is what this task grows with.
+
     Sources by code point, null last, take the weights in turn. Each target is the smaller of MOST
     times the source's size and its weight times a common level, the level being such that targets add
     up to all sizes: what giving the excess of capped sources to the others by weight ends in.
@@ -97,9 +100,10 @@ def laid_out(sizes: DataFrame, groups: int) -> DataFrame:
     """sizes with `start`, the words before the row in its source's hashed order, and `nth`, its place in its group.
 
     A source is split by hash into `groups` consecutive groups; sums of earlier groups and a running
-    sum inside the group give the start, so a source with most rows is still dealt over many tasks.
+    sum inside the group give the start, so a source with most rows is still dealt over many tasks. Only rows
+    equal in id and text have one hash, so rows without ids part by their texts.
     """
-    hashed = sizes.withColumn("h", F.xxhash64(F.lit("mix"), "doc_id")).withColumn("g", F.pmod(F.shiftrightunsigned("h", 1), F.lit(groups)).cast("int"))
+    hashed = sizes.withColumn("h", F.xxhash64(F.lit("mix"), "doc_id", "text_key")).withColumn("g", F.pmod(F.shiftrightunsigned("h", 1), F.lit(groups)).cast("int"))
     sums = hashed.groupBy("source", "g").agg(F.sum("size").alias("n"))
     before = sums.select(
         F.col("source").alias("s"),
@@ -121,11 +125,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), id_col:
     Columns besides the three named are not read. Words taken stay within a few blocks of a source's
     target; a block has 1 to 256 words, about 1/65,536 of all words.
     """
-    sizes = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_or_empty(text_col)).alias("size")))
+    sizes = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_or_empty(text_col)).alias("size"), F.xxhash64(text_or_empty(text_col)).alias("text_key")))
     targets = written(source_targets(sizes, weights))
     rows, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     block = max(1, min(256, total >> 16))
-    groups = 1 << max(4, math.ceil(math.log2(rows / 20_000 + 1)))
+    groups = 1 << max(6, math.ceil(math.log2(rows / 5_000 + 1)))
     known = targets.select(F.col("source").alias("ts"), "source_size", "target")
     laid = laid_out(sizes, groups)
     laid = laid.join(known, laid["source"].eqNullSafe(known["ts"])).drop("ts")
@@ -153,17 +157,17 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), id_col:
     )
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1)) -> DataFrame:
-    """docs as the mix takes them, whole: each row as often as words taken come nearest to, 0 to MOST times.
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs as the mix takes them, whole, whatever their columns' names: each row as often as words taken come nearest to, 0 to MOST times.
 
-    A row with no words isn't part of any block and goes. A null id stands for itself; rows repeated
-    with id, source and size share the mean of their words taken.
+    A row with no words isn't part of any block and goes, null texts with it. A null id or source stands for
+    itself; rows repeated with id, source and size share the mean of their words taken. An empty table gives an empty one.
     """
-    cols = docs.columns
-    plan = mix_sources(docs, weights).groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("taken"))
-    plan = plan.where("size > 0").select(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__times")
-    ).where("__times > 0")
-    sized = docs.select(*cols, word_count(text_or_empty()).alias("__n"))
-    out = sized.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*cols)
+    plan = mix_sources(docs, weights, id_col, text_col, source_col).where("size > 0").groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("taken"))
+    plan = plan.select("doc_id", "source", "size", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times")).where("times > 0").alias("plan")
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_or_empty(text_col)).alias("size")
+    ).alias("rows")
+    same = [F.col(f"rows.{c}").eqNullSafe(F.col(f"plan.{c}")) for c in ("doc_id", "source", "size")]
+    out = rows.join(plan.hint("merge"), same[0] & same[1] & same[2]).select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return out.select("row.*")

@@ -667,18 +667,110 @@ def test_html(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
-def test_pipeline(spark, sf):
+def test_mix_is_the_plain_one(spark, docs, sf):
+    """Slots, ranks and words taken by plain loops, from where the documents lie in their source."""
+    for d in (docs, spark.read.parquet(f"{sf}/documents.parquet")):
+        rows = [r.asDict() for r in mixing.mix_sources(d).collect()]
+        total = sum(r["size"] for r in rows)
+        block = max(1, min(256, total >> 16))
+        names = sorted({r["source"] for r in rows}, key=lambda s: (s is None, (s or "").encode()))
+        of = {s: [r for r in rows if r["source"] == s] for s in names}
+        target = {s: of[s][0]["target"] for s in names}
+        edges, upto = [], 0.0
+        for s in names:
+            upto += target[s]
+            edges.append((upto / total, s))
+        edges[-1] = (1.0, edges[-1][1])
+        rank, times = Counter(), Counter()
+        for k in range(-(-total // block)):
+            x = (k * (5**0.5 - 1) / 2 + 0.5) % 1
+            s = next(s for hi, s in edges if x < hi)
+            blocks = -(-of[s][0]["source_size"] // block)
+            if rank[s] < 3 * blocks:
+                times[s, rank[s] % blocks] += 1
+            rank[s] += 1
+        far = 0
+        for s in names:
+            spans = sorted((r["start"], r["size"]) for r in of[s])
+            at = 0
+            for start, size in spans:  # end to end, without a gap
+                assert start == at
+                at += size
+            for r in of[s]:
+                want = sum(times[s, w // block] for w in range(r["start"], r["start"] + r["size"]))
+                far += abs(want - r["taken"])
+        assert far <= 2 * block  # a point on a border may fall to either side
+
+
+def test_mixed_keeps_columns_of_any_name(spark):
+    rows = [(k, "w " * (k % 7), k % 3, k, k, k) for k in range(60)] + [(None, "a b", 1, 1, 1, 1)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source int, row int, size int, times int")
+    out = mixing.mixed(df)
+    assert out.columns == df.columns
+    plan = {(r.doc_id, r.source, r["size"]): r for r in mixing.mix_sources(df).groupBy("doc_id", "source", "size").avg("taken").collect()}
+    got = Counter(tuple(r) for r in out.collect())
+    for row, n in Counter(rows).items():
+        words = len(row[1].split())
+        times = int(plan[(row[0], str(row[2]), words)]["avg(taken)"] / words + 0.5) if words else 0
+        assert got[row] == n * times
+
+
+@pytest.fixture
+def corpus(spark, tmp_path, sf):
+    """A folder of tables with odd rows beside the given ones, and an extra column that stages use as a name."""
+
+    def made(rows):
+        where = str(tmp_path / f"c{len(rows)}")
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string").write.parquet(f"{where}/documents.parquet")
+        spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{where}/labels.parquet")
+        return where
+
+    return made
+
+
+def test_pipeline(spark, sf, corpus):
+    """Every stage on what the one before kept, against a plain version."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    at = docs
+    given = [(r.doc_id, r.text, r.lang, r.source, r.n_chars, "z") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    odd = [(i, t, None, f"s{(i or 0) % 3}" if i != 100_004 else None, None, "q") for i, t in ((None if k is None else 100_000 + k, t) for k, t in TEXTS)]
+    where = corpus(given + odd)
+    at = spark.read.parquet(f"{where}/documents.parquet")
+    rows = [tuple(r) for r in at.collect()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        after = stage(spark, at, sf).cache()
-        assert after.columns == docs.columns and 0 < after.count()
-        if name != "mix_sources":
-            assert after.select("doc_id").distinct().count() == after.count() <= at.count()
-        at = after
-    assert corpus_pipeline.run(spark, sf).count() == at.count()
+        after = common.written(stage(spark, at, where))
+        assert after.columns == at.columns
+        got = Counter(tuple(r) for r in after.collect())
+        if name == "toxicity":
+            model = toxicity.learn(at, spark.read.parquet(f"{where}/labels.parquet"))
+            classes = toxicity._Classes(model.lexicon)
+            want = [r for r in rows if model.score(toxicity.features(r[1] or "", classes)) < 0.5]
+            assert len(want) < len(rows)
+        elif name == "exact_dedup":
+            best = {}
+            for r in rows:
+                best[norm(r[1])] = min(r, best.get(norm(r[1]), r), key=lambda r: (order_of(r), str(r[2:])))
+            want = list(best.values())
+        elif name == "minhash_near_dedup":
+            classes = plain_classes([r[:2] for r in rows])
+            least = {c: min((r for r in rows if r[0] == c), key=lambda r: hashlib.md5((r[1] or "").encode()).digest()) for c in {c for _, c in classes} if c < 1 << 60}
+            want = list(least.values()) + [r for r in rows if r[0] is None and (None, 1 << 60) in classes]
+        else:
+            plan = {(r.doc_id, r.source, r["size"]): r.taken for r in mixing.mix_sources(at).collect()}
+            want = [r for r in rows if (n := len((r[1] or "").split(" ")) and len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))) for _ in range(int(plan[(r[0], r[3], n)] / n + 0.5))]
+        assert got == Counter(want), name
+        at, rows = after, list(got.elements())
+    tokenizer, sha = Tokenizer.from_file(bpe.default_path()), lambda x: hashlib.sha256(x.encode()).hexdigest()
+    coded = [(r[0], tokenizer.encode(r[1], add_special_tokens=False).ids) for r in rows]
+    want = Counter((i, len(x), sha(" ".join(map(str, x))), sha(tokenizer.decode(x, skip_special_tokens=False))) for i, x in coded)
+    assert Counter(tuple(r) for r in corpus_pipeline.run(spark, where).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == want
+
+
+def test_pipeline_of_an_empty_table(spark, corpus):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, corpus([])).count() == 0
 
 
 def test_registered(spark):
