@@ -84,16 +84,21 @@ def gate_ocr(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("strong", F.coalesce(best["strong"], F.lit(False))).where(~ocr | (~F.col("strong") & enough)).drop("strong")
 
 
+def _elected(candidates: DataFrame, score: Column) -> DataFrame:
+    """The row of each document with the best score, ties by arrival: one aggregation, combined before the shuffle."""
+    rest = [c for c in candidates.columns if c != "doc_id"]
+    best = candidates.groupBy("doc_id").agg(F.max_by(F.struct(*rest), F.struct(score.alias("score"), -F.col("arrival_no"))).alias("best"))
+    return best.select("doc_id", "best.*").select(*candidates.columns)
+
+
 def best_candidate(candidates: DataFrame) -> DataFrame:
     """The reading of each document with the best score; ties by arrival."""
-    w = Window.partitionBy("doc_id").orderBy(F.desc("quality.score"), "arrival_no")
-    return candidates.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+    return _elected(candidates, F.col("quality.score"))
 
 
 def preview_candidate(candidates: DataFrame) -> DataFrame:
     """The previewable reading of each document with the best preview score; ties by arrival."""
-    w = Window.partitionBy("doc_id").orderBy(F.desc(Q.preview_score(F.col("quality"))), "arrival_no")
-    return candidates.where(Q.is_previewable(F.col("quality"))).withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
+    return _elected(candidates.where(Q.is_previewable(F.col("quality"))), Q.preview_score(F.col("quality")))
 
 
 def field_score(field: str, value: Column, quality: Column, source: Column) -> Column:

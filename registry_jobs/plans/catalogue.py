@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ from registry_jobs.operators import election as V
 from registry_jobs.plans import fixtures as X
 from registry_jobs.plans import jobs, oracles
 from registry_jobs.sources import exports as E
+from registry_jobs.sources.tables import scratch_dir, written
+from registry_jobs.streaming.arrivals import stream_extract
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, Query] = {}
@@ -90,7 +93,7 @@ def q() -> Column:
 
 
 # A. Sources, gates, exports
-_add("a01_read_pages", lambda s, d: X.reg_pages(s, d).select("doc_id", "page_no", "source", "page_text"))
+_add("a01_read_pages", lambda s, d: E.read_pages(s, written(X.reg_pages(s, d))._scratch_path))
 _add("a02_assemble_documents", lambda s, d: V.assemble_documents(X.reg_pages(s, d), ("doc_id", "source")))
 _on_docs("a03_enough_text", enough=E.has_enough_text)
 _add("a04_split_rejects", lambda s, d: X.submissions(s, d).select("doc_id", E.reject_reason(F.col("content_type"), F.col("text")).alias("reason")))
@@ -128,7 +131,7 @@ def b05_repair_places(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _on_readings("b06_apply_vocabulary", text=T.apply_vocabulary_text)
-_on_readings("b06_vocabulary_count", causes=lambda x: T.vocabulary_count(x, P.VOCABULARY[10][0]), rights=lambda x: T.vocabulary_count(x, P.VOCABULARY[4][0]))
+_on_readings("b06_vocabulary_count", causes=lambda x: T.vocabulary_count(x, P.VOCABULARY[10][0]), rights=lambda x: T.vocabulary_count(x, P.VOCABULARY[4][0]), counts=lambda x: F.concat_ws(",", *[T.vocabulary_count(x, v).cast("string") for v, _, _ in P.VOCABULARY]))
 _on_readings("b07_despace_lines", text=T.despace_lines)
 _on_readings("b08_normalize_text", text=T.normalize_text)
 _on_readings("b09_normalize_labels", text=T.normalize_labels)
@@ -292,8 +295,8 @@ _add("h10_preview_candidate", lambda s, d: V.preview_candidate(_scored(s, d)).se
 
 
 def _read(spark: SparkSession, sf: str) -> DataFrame:
-    """Two readings of each certificate with their fields."""
-    return ownership.extract_normalized(_scored(spark, sf).where("arrival_no in (0, 2)"), "raw_text")
+    """All readings of each certificate with their fields, made once."""
+    return written(ownership.extract_normalized(_scored(spark, sf), "raw_text"))
 
 
 @query
@@ -361,13 +364,28 @@ def k_clean_images(spark: SparkSession, sf: str) -> DataFrame:
 # L. Corpus
 _add("l1_correction_totals", lambda s, d: jobs.corpus_report(X.reg_docs_noisy(s, d).select("doc_id", F.col("raw_text").alias("text"))))
 _add("l2_fill_rates", lambda s, d: corpus.fill_rates(_extracted(s, d)))
+_add("l2_completeness_counts", lambda s, d: corpus.completeness_counts(_extracted(s, d)))
 _add("l3_source_and_tier_counts", lambda s, d: corpus.source_and_tier_counts(_scored(s, d)))
 _add("l4_event_counts", lambda s, d: corpus.event_counts(events.entry_rows(_parsed(s, d))))
 
 # Workloads
 _add("w1_text_to_record", lambda s, d: jobs.text_to_record(X.reg_docs(s, d)).select("doc_id", "fields.owner", "fields.location", "fields.lot_number", "fields.land_area"))
 _add("w2_readings_to_record", lambda s, d: jobs.readings_to_record(X.reg_docs_noisy(s, d)).select("doc_id", "fields.owner", "fields.location", "accepted"))
-_add("w3_corpus_report", lambda s, d: jobs.corpus_report(_docs(s, d)))
+
+
+@query
+def w3_corpus_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Over the given documents and all readings: the latter hold what is corrected."""
+    return jobs.corpus_report(_docs(spark, sf).unionByName(X.reg_docs_noisy(spark, sf).select("doc_id", F.col("raw_text").alias("text"))))
+
+
+# M. Streaming
+@query
+def m1_stream_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """Certificates landed as files, extracted by the stream and read back."""
+    landed, base = written(X.reg_docs(spark, sf)), f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream_extract(spark, landed._scratch_path, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("doc_id", *[F.col(f"fields.{n}") for n in V.TEXT_FIELDS], _joined("fields.history").alias("history"))
 
 
 def queries() -> dict[str, Query]:

@@ -11,6 +11,7 @@ from registry_jobs.operators import corpus
 from registry_jobs.operators import election as V
 from registry_jobs.operators.diagnostics import field_reasons
 from registry_jobs.operators.ownership import extract_fields, extract_normalized
+from registry_jobs.sources.tables import written
 
 
 def text_to_record(docs: DataFrame) -> DataFrame:
@@ -30,9 +31,10 @@ def with_fields(candidates: DataFrame) -> DataFrame:
 def readings_to_record(readings: DataFrame) -> DataFrame:
     """(doc_id, fields, raw, accepted, warning, reasons) from (doc_id, source, raw_text), several a document.
 
-    One exchange on doc_id serves the gate; election, provenance and decision aggregate on doc_id again.
+    Normalising, scoring and extraction are done once and written; gate, election, provenance and decision
+    aggregate on doc_id.
     """
-    candidates = with_fields(V.gate_ocr(scored_readings(readings)))
+    candidates = written(with_fields(V.gate_ocr(scored_readings(readings))))
     best, preview, merged = V.best_candidate(candidates), V.preview_candidate(candidates), V.merge_fields(candidates)
     decided = V.decide(best, merged, preview)
     sources = V.field_provenance(merged, candidates).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "source_label"))).alias("sources"))

@@ -133,6 +133,7 @@ rc AS (SELECT ss.doc_id, ss.title, ss.otsuku, ss.collateral, {S.safe_location(S.
     CASE WHEN coalesce(state.owner, '') <> '' THEN state.owner WHEN state.doc_id IS NULL THEN array_to_string(list_filter(list_transform(fallback, lambda r: {S.safe_owner("r")}), lambda r: r <> ''), ' / ') ELSE '' END AS owner,
     list_filter(fall.history, lambda r: {S.plausible("r")} AND NOT {S.garbage("r")}) AS history
     FROM ss JOIN fall USING (doc_id) LEFT JOIN state USING (doc_id))"""
+NORMAL_RECORD = f"{DOCS}, nd AS (SELECT doc_id, {S.normal('text')} AS text FROM reg_docs){RECORD[len(DOCS):].replace('FROM reg_docs)', 'FROM nd)')}"
 READINGS = f"{NOISY}, nt AS (SELECT doc_id, source, arrival_no, raw_text AS text FROM reg_noisy), {S.quality('nt')}"
 PAGES = f"WITH {X.REG_PAGES_SQL}"
 ROUND = "CAST(floor({} + 0.5) AS BIGINT)"
@@ -210,16 +211,16 @@ def confirmed(field: str, v: str) -> str:
 
 FIELDS = ("location", "lot_number", "land_area", "building_area", "owner")
 _LIST_TEXT = "array_to_string({}, ' | ')"
-# Two readings of each certificate, extracted like documents of their own and scored.
-TWO = (
-    f"{NOISY}, two AS (SELECT doc_id * 8 + arrival_no AS doc_id, raw_text AS text FROM reg_noisy WHERE arrival_no IN (0, 2)){RECORD[len(DOCS):].replace('FROM reg_docs)', 'FROM two)')}, "
-    f"nt AS (SELECT doc_id * 8 + arrival_no AS doc_id, doc_id AS doc, source, arrival_no, raw_text AS text FROM reg_noisy WHERE arrival_no IN (0, 2)), {S.quality('nt')}, "
+# All readings of each certificate, extracted like documents of their own and scored.
+READ = (
+    f"{NOISY}, rd AS (SELECT doc_id * 8 + arrival_no AS doc_id, raw_text AS text FROM reg_noisy){RECORD[len(DOCS):].replace('FROM reg_docs)', 'FROM rd)')}, "
+    f"nt AS (SELECT doc_id * 8 + arrival_no AS doc_id, doc_id AS doc, source, arrival_no, raw_text AS text FROM reg_noisy), {S.quality('nt')}, "
     f"cd AS (SELECT q.*, {', '.join(f'rc.{n}' for n in FIELDS)}, rc.history FROM q JOIN rc USING (doc_id))"
 )
 
 
 def field_score(field: str) -> str:
-    base = "label_count * 5 + japanese_ratio * 20 - noise_ratio * 10"
+    base = "label_count * 5 + japanese_ratio * 20 - noise_ratio * 10 + CASE WHEN source = 'ocr-normalized' THEN 8 ELSE 0 END"
     if field == "lot_number":
         base += f" + CASE WHEN {S.has(field, P.CONFIRMED_NUMBER)} THEN 40 ELSE 0 END"
     elif field in ("land_area", "building_area"):
@@ -232,7 +233,7 @@ def field_score(field: str) -> str:
 
 
 MERGED = (
-    f"{TWO}, mg AS (SELECT doc, "
+    f"{READ}, mg AS (SELECT doc, "
     + ", ".join(f"coalesce(max_by({n}, ({field_score(n)}, -arrival_no)) FILTER (WHERE {confirmed(n, n)}), '') AS {n}" for n in FIELDS)
     + f", coalesce(max_by(history, (len(history) * 12 + label_count * 2, -arrival_no)) FILTER (WHERE len(history) > 0), {NONE}) AS history FROM cd GROUP BY doc)"
 )
@@ -268,9 +269,12 @@ def oracle_sql() -> dict[str, str]:
     o["b01_fold_chars"] = f"SELECT doc_id, {S.fold('text')} AS text FROM documents"
     o["b02_join_digit_separators"] = f"SELECT doc_id, {S.separators('text')} AS text FROM documents"
     o["b03_collapse_ws"] = f"SELECT doc_id, {S.collapse('text')} AS text FROM documents"
+    numbers = S.by_line("raw_text", S.repair_line)
+    o["b04_repair_numbers"] = f"{NOISY}, x AS (SELECT doc_id, source, raw_text, {numbers} AS text FROM reg_noisy) SELECT doc_id, source, text, CAST(len(list_filter(list_zip(string_split(raw_text, chr(10)), string_split(text, chr(10))), lambda u: u[1] <> u[2])) AS INTEGER) AS changed_lines FROM x"
+    o["b08_normalize_text"] = f"{NOISY} SELECT doc_id, source, {S.normal('raw_text')} AS text FROM reg_noisy"
     o["b05_repair_places"] = f"{NOISY}, x AS (SELECT doc_id, source, replace(raw_text, '郡山市', '都山市') AS t FROM reg_noisy), y AS (SELECT *, {S.sub('t', f'(所在{P.WS}*)都山市', r'\1郡山市')} AS u FROM x) SELECT doc_id, source, u AS text, t <> u AS changed FROM y"
     o["b06_apply_vocabulary"] = f"{NOISY} SELECT doc_id, source, {S.vocabulary('raw_text')} AS text FROM reg_noisy"
-    o["b06_vocabulary_count"] = f"{NOISY} SELECT doc_id, source, {S.n_of('raw_text', P.spaced(P.VOCABULARY[10][0]))} AS causes, {S.n_of('raw_text', P.spaced(P.VOCABULARY[4][0]))} AS rights FROM reg_noisy"
+    o["b06_vocabulary_count"] = f"{NOISY} SELECT doc_id, source, {S.n_of('raw_text', P.spaced(P.VOCABULARY[10][0]))} AS causes, {S.n_of('raw_text', P.spaced(P.VOCABULARY[4][0]))} AS rights, concat_ws(',', {', '.join(S.n_of('raw_text', P.spaced(v)) for v, _, _ in P.VOCABULARY)}) AS counts FROM reg_noisy"
     despaced = f"array_to_string(list_transform(string_split(raw_text, chr(10)), lambda u: {S.despace('u')}), chr(10))"
     o["b07_despace_lines"] = f"{NOISY} SELECT doc_id, source, {despaced} AS text FROM reg_noisy"
     o["b09_normalize_labels"] = f"{NOISY} SELECT doc_id, source, {S.labels('raw_text')} AS text FROM reg_noisy"
@@ -334,23 +338,34 @@ def oracle_sql() -> dict[str, str]:
         f"CASE kind WHEN 'M' THEN 'Full event contains multiple owners/share text; kept readable owner list: ' || array_to_string(own, ' / ') WHEN 'R' THEN 'Full ownership event replaced owners: ' || array_to_string(own, ' / ') "
         f"WHEN 'S' THEN 'Partial/share event retained: ' || CASE WHEN summary <> '' THEN summary ELSE event_type END END"
     )
-    o["g2_ownership_diagnostics"] = f"""{REPLAY}, d0 AS (SELECT doc_id, entry_no, {SUMMARY} AS summary, kind, own, event_type FROM v1), d1 AS (SELECT *, {note} AS note FROM d0),
+    told = f"""d0 AS (SELECT doc_id, entry_no, {SUMMARY} AS summary, kind, own, event_type FROM v1), d1 AS (SELECT *, {note} AS note FROM d0),
 d2 AS (SELECT doc_id, count(*) AS n, coalesce(list(note ORDER BY entry_no) FILTER (WHERE note IS NOT NULL), {NONE}) AS notes, coalesce(max_by(summary, entry_no) FILTER (WHERE summary <> ''), '') AS latest FROM d1 GROUP BY doc_id),
 d3 AS (SELECT ss.doc_id, list_concat(list_concat(['Kouku event count: ' || coalesce(n, 0)], coalesce(notes, {NONE})), list_filter([CASE WHEN after THEN 'Later partial/share transfer exists; Earnest One was not adopted as sole latest owner.' END,
-    CASE WHEN coalesce(latest, '') <> '' THEN 'Latest event used for owner judgment: ' || latest END, 'Assembled ownership state: ' || CASE WHEN coalesce(owner, '') <> '' THEN owner ELSE 'unconfirmed' END], lambda u: u IS NOT NULL)) AS l FROM ss LEFT JOIN d2 USING (doc_id) LEFT JOIN state USING (doc_id))
-SELECT doc_id, array_to_string({S.unique_clean("l")}, ' | ') AS diagnostics FROM d3"""
+    CASE WHEN coalesce(latest, '') <> '' THEN 'Latest event used for owner judgment: ' || latest END, 'Assembled ownership state: ' || CASE WHEN coalesce(owner, '') <> '' THEN owner ELSE 'unconfirmed' END], lambda u: u IS NOT NULL)) AS l FROM ss LEFT JOIN d2 USING (doc_id) LEFT JOIN state USING (doc_id))"""
+    o["g2_ownership_diagnostics"] = f"{REPLAY}, {told} SELECT doc_id, array_to_string({S.unique_clean('l')}, ' | ') AS diagnostics FROM d3"
     o["g3_latest_owners"] = f"{PARSED}, lv AS (SELECT doc_id, max_by(owners, entry_no) AS owners FROM en WHERE ownership_event AND NOT invalid GROUP BY doc_id) SELECT ss.doc_id, array_to_string(coalesce(owners, {NONE}), ' | ') AS owners FROM ss LEFT JOIN lv USING (doc_id)"
     o["g4_owner_history"] = f"{HIST} SELECT doc_id, {_LIST_TEXT.format('history')} AS history FROM fall"
     o["g5_fallback_owners"] = f"{HIST} SELECT doc_id, {_LIST_TEXT.format('fallback')} AS owners FROM fall"
     o["g6_extract_fields"] = f"{RECORD} SELECT doc_id, location, lot_number, land_area, building_area, owner, {_LIST_TEXT.format('history')} AS history FROM rc"
     nd = lambda c: f"CASE WHEN {c} <> '' THEN {c} ELSE 'not detected' END"
     got = lambda c, how, none: f"CASE WHEN {c} <> '' THEN '{how}' || {c} ELSE '{none}' END"
-    o["g7_field_diagnostics"] = (
-        f"{RECORD} SELECT doc_id, 'Title section: not found | Title lines inspected: ' || len(title) || ' | Location: ' || {got('location', 'accepted from title section: ', 'not detected; rejected owner-address/collateral/noisy candidates')}"
+    fields_told = (
+        f"'Title section: not found | Title lines inspected: ' || len(title) || ' | Location: ' || {got('location', 'accepted from title section: ', 'not detected; rejected owner-address/collateral/noisy candidates')}"
         f" || ' | Number: ' || {got('lot_number', 'accepted near title land-number label: ', 'not detected; map-number/address-number/collateral candidates rejected')}"
         f" || ' | Land area: ' || {got('land_area', 'accepted near title land-area label: ', 'not detected; unlabeled small area/debt amount candidates rejected')} || ' | Building title: not found | Building area: ' || "
         f"{got('building_area', 'accepted near floor-area/building-area label: ', 'not detected or building title not present')} || ' | Otsuku exclusion: ' || CASE WHEN len(otsuku) > 0 THEN 'found and excluded' ELSE 'none' END"
-        f" || ' | Collateral exclusion: ' || CASE WHEN len(collateral) > 0 THEN 'found and excluded' ELSE 'none' END || ' | Export values: owner=' || {nd('owner')} || ' / location=' || {nd('location')} || ' / number=' || {nd('lot_number')} || ' / area=' || {nd('land_area')} || ' / buildingArea=' || {nd('building_area')} AS diagnostics FROM rc"
+        f" || ' | Collateral exclusion: ' || CASE WHEN len(collateral) > 0 THEN 'found and excluded' ELSE 'none' END || ' | Export values: owner=' || {nd('owner')} || ' / location=' || {nd('location')} || ' / number=' || {nd('lot_number')} || ' / area=' || {nd('land_area')} || ' / buildingArea=' || {nd('building_area')}"
+    )
+    o["g7_field_diagnostics"] = f"{RECORD} SELECT doc_id, {fields_told} AS diagnostics FROM rc"
+    yes = lambda p, no: f"CASE WHEN {S.has('c', p)} THEN 'あり' ELSE '{no}' END"
+    blank = lambda c: f"CASE WHEN {c} <> '' THEN {c} ELSE '空欄' END"
+    noise = f"len(list_filter(string_split_regex(text, '\\n+'), lambda u: {S.has(S.trim('u'), P.LIKELY_HISTORY_NOISE)}))"
+    o["i1_structure_summary"] = (
+        f"{RECORD}, {told}, s0 AS (SELECT rc.*, reg_docs.text, {S.compact('reg_docs.text')} AS c, {S.unique_clean('d3.l')} AS told FROM rc JOIN reg_docs USING (doc_id) JOIN d3 USING (doc_id)) "
+        f"SELECT doc_id, '表題部候補: ' || {yes(P.TITLE_START, '未確認')} || ' | 甲区候補: ' || {yes('甲区|所有権移転|所有権一部移転|持分一部移転', '未確認')} || ' | 乙区除外候補: ' || {yes('乙区|抵当権', 'なし')}"
+        f" || ' | 共同担保除外候補: ' || {yes('共同担保|担保目録', 'なし')} || ' | ownersHistory有効件数: ' || len(history) || '件 | 甲区所有関係診断: ' || len(told) || '件 | ' || array_to_string(told, ' | ')"
+        f" || ' | Title/field diagnostics: 10 items | ' || {fields_told} || ' | ownersHistoryノイズ除外目安: ' || {noise} || '行 | 最新所有者: ' || CASE WHEN owner <> '' THEN '確定候補あり' ELSE '未検出（最新有効エントリの人名/法人名根拠不足）' END"
+        f" || ' | CSV/Excel確定値: owner=' || {blank('owner')} || ' / location=' || {blank('location')} || ' / number=' || {blank('lot_number')} || ' / area=' || {blank('land_area')} || ' / buildingArea=' || {blank('building_area')} AS summary FROM s0"
     )
 
     o["h1_text_quality"] = f"{READINGS} SELECT doc_id, source, round(score, 6) AS score, CAST(label_count AS BIGINT) AS label_count, round(japanese_ratio, 6) AS japanese_ratio, round(noise_ratio, 6) AS noise_ratio, CAST(garbage_lines AS BIGINT) AS garbage_lines, length, CAST(line_count AS BIGINT) AS line_count FROM q"
@@ -362,10 +377,11 @@ SELECT doc_id, array_to_string({S.unique_clean("l")}, ' | ') AS diagnostics FROM
     o["h6_best_variant_per_page"] = f"{_BEST} SELECT doc_id, page_no, source FROM win"
     o["h7_adopted_source"] = f"{_ADOPTED}, asm AS (SELECT doc_id, {_assembled('page_no')} AS text FROM win GROUP BY doc_id) SELECT doc_id, source, text FROM top JOIN asm USING (doc_id)"
     gated = f"{READINGS}, g0 AS (SELECT *, max_by({S.STRONG}, (score, -arrival_no)) FILTER (WHERE NOT starts_with(source, 'ocr-')) OVER (PARTITION BY doc_id) AS strong FROM q)"
+    o["h8_candidate_set"] = f"{NOISY}, x AS (SELECT *, {S.normal_ocr('raw_text')} AS clean FROM reg_noisy) SELECT doc_id, source, arrival_no, CASE WHEN source = 'server' THEN clean ELSE raw_text END AS raw_text, CASE WHEN starts_with(source, 'ocr-') THEN clean ELSE raw_text END AS scored_text FROM x"
     o["h9_gate_ocr"] = f"{gated} SELECT doc_id, source FROM g0 WHERE NOT starts_with(source, 'ocr-') OR (NOT coalesce(strong, false) AND length >= 20)"
     o["h10_best_candidate"] = f"{READINGS} SELECT doc_id, source FROM q QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, arrival_no) = 1"
     o["h10_preview_candidate"] = f"{READINGS} SELECT doc_id, source FROM q WHERE {S.PREVIEWABLE} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY {S.PREVIEW} DESC, arrival_no) = 1"
-    o["h11_field_score"] = f"{TWO} SELECT doc AS doc_id, source, {', '.join(f'round({field_score(n)}, 6) AS {n}' for n in FIELDS)} FROM cd"
+    o["h11_field_score"] = f"{READ} SELECT doc AS doc_id, source, {', '.join(f'round({field_score(n)}, 6) AS {n}' for n in FIELDS)} FROM cd"
     o["h13_merge_fields"] = f"{MERGED} SELECT doc AS doc_id, {', '.join(FIELDS)}, {_LIST_TEXT.format('history')} AS history FROM mg"
     o["h14_field_provenance"] = (
         f"{MERGED}, mv AS ({' UNION ALL '.join(f'SELECT doc, {chr(39)}{n}{chr(39)} AS field, {n} AS v FROM mg' for n in FIELDS)}), cv AS ({' UNION ALL '.join(f'SELECT doc, source, arrival_no, {chr(39)}{n}{chr(39)} AS field, {n} AS v FROM cd' for n in FIELDS)}) "
@@ -395,6 +411,10 @@ SELECT be.doc AS doc_id, CASE WHEN usable OR {some} THEN mg.owner ELSE '' END AS
         "ok AS (SELECT *, r - l + 1 >= 6 AND b - t + 1 >= 6 AS wide FROM ed) SELECT image_id, CAST(CASE WHEN wide THEN t ELSE 0 END AS INTEGER) AS top, CAST(CASE WHEN wide THEN b ELSE 7 END AS INTEGER) AS bottom, CAST(CASE WHEN wide THEN l ELSE 0 END AS INTEGER) AS \"left\", CAST(CASE WHEN wide THEN r ELSE 7 END AS INTEGER) AS \"right\", wide AS cropped FROM ok"
     )
     o["l2_fill_rates"] = f"{RECORD}, fr AS (" + " UNION ALL ".join(f"SELECT '{n}' AS field, {n} AS v FROM rc" for n in FIELDS) + ") SELECT field, count(*) FILTER (WHERE v <> '') AS detected, count(*) FILTER (WHERE v = '') AS missing FROM fr GROUP BY field"
+    filled = " + ".join(f"CAST({n} <> '' AS INTEGER)" for n in FIELDS) + " + CAST(len(history) > 0 AS INTEGER)"
+    o["l2_completeness_counts"] = f"{RECORD} SELECT {filled} AS completeness, count(*) AS documents FROM rc GROUP BY ALL"
+    o["w1_text_to_record"] = f"{NORMAL_RECORD} SELECT doc_id, owner, location, lot_number, land_area FROM rc"
+    o["m1_stream_extract"] = f"{NORMAL_RECORD} SELECT doc_id, owner, location, lot_number, land_area, building_area, {_LIST_TEXT.format('history')} AS history FROM rc JOIN reg_docs USING (doc_id) WHERE length({S.compact('reg_docs.text')}) >= 20"
     o["l3_source_and_tier_counts"] = f"{READINGS} SELECT source, CASE WHEN {S.STRONG} THEN 'strong' WHEN {S.USABLE} THEN 'usable' WHEN {S.PREVIEWABLE} THEN 'previewable' ELSE 'rejected' END AS tier, count(*) AS readings FROM q GROUP BY ALL"
     o["l4_event_counts"] = f"{PARSED} SELECT event_type, invalid, count(*) AS events FROM en GROUP BY ALL"
     return o

@@ -73,6 +73,36 @@ def labels(x: str) -> str:
     return x
 
 
+def by_line(x: str, body: Callable[[str], str], sep: str = "chr(10)") -> str:
+    return f"array_to_string(list_transform(string_split({x}, {sep}), lambda u: {body('u')}), chr(10))"
+
+
+def repair_line(line: str) -> str:
+    """Look-around isn't at hand: what stands around a letter is captured, and where it may be shared the step is applied twice."""
+    x = sub(line, "[§ＳS]([0-9])", r"5\1")
+    for chars, digit in (("[§ＳS]", "5"), ("B", "8"), ("[Il|｜]", "1"), ("O", "0")):
+        for _ in range(2):
+            x = sub(x, f"([0-9]){chars}([0-9号番\\-]|\\z)", rf"\1{digit}\2")
+    w = P.WS
+    x = separators(sub(x, f"第{w}*([0-9]+){w}+([0-9]+){w}*号", r"第\1\2号"))
+    x = sub(x, f"([0-9]){w}+([0-9]){w}*分{w}*の{w}*([0-9])", r"\1\2分の\3")
+    return when(has(line, P.NUMBER_CONTEXT), sub(x, f"([0-9]+){w}*分{w}*の{w}*([0-9]+)", r"\1分の\2"), line)
+
+
+def chain(x: str) -> str:
+    return vocabulary(sub(by_line(x, repair_line), f"(所在{P.WS}*)都山市", r"\1郡山市"))
+
+
+def normal_ocr(x: str) -> str:
+    return trim(sub(chain(by_line(chain(collapse(separators(fold(f"coalesce({x}, '')")))), despace)), "\\n{2,}", "\n"))
+
+
+def normal(x: str) -> str:
+    """What extraction reads."""
+    folded = f"translate({sub(normal_ocr(x), '[ \\t]+', ' ')}, chr(13) || chr(12288) || '０１２３４５６７８９㎡m²㎥', chr(10) || ' 0123456789㎡㎡㎡㎡')"
+    return labels(trim(sub(folded, "\\n{2,}", "\n")))
+
+
 def clean(x: str) -> str:
     x = f"translate({x}, '|｜()（）【】「」『』‐‑‒–—―', '            ------')"
     return trim(sub(sub(x, f"^[:：・\\-{P.WS_CHARS}]+", ""), P.WS + "{2,}", " "))
