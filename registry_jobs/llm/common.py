@@ -1,17 +1,14 @@
-"""Shared helpers: scratch tables in the cluster's shared folder, and word hashing over Arrow buffers."""
+"""Shared helpers: joins that keep hot keys apart, and word hashing over Arrow buffers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from registry_jobs.sources.tables import table  # noqa: F401
+from registry_jobs.sources.tables import dropped, scratch_dir, table, written  # noqa: F401
 
 #: White space as the contracts define it: U+0020 and U+0009 to U+000D.
 WS = "[\\x20\\x09-\\x0D]+"
@@ -29,35 +26,6 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir. One of our own only where it is unset and all runs on one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends here, and later plans know its size."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Remove the files of tables made by written() which no later plan reads."""
-    for df in tables:
-        spark = df.sparkSession
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 HOT = 1000
 
 
