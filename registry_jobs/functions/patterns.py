@@ -73,9 +73,9 @@ SOURCES = (
 )
 VARIANTS = tuple(s for s, _ in SOURCES[2:7])
 
-# Label variants and what they become, in order.
+# Label variants and what they become, in order; _ stands for any white space.
 LABEL_RULES = (
-    (r"表 題 部|表題都|表題郡|表題部_*\(.*?\)", "表題部"),
+    (r"表 題 部|表題都|表題郡|表題部_\(.*?\)", "表題部"),
     ("土地の表示|填地の表示|地の表示", "土地の表示"),
     ("権 利 部", "権利部"),
     ("甲 區|甲區", "甲区"),
@@ -91,8 +91,8 @@ LABEL_RULES = (
     ("変 更", "変更"),
     ("仮 登 記|仮登記", "仮登記"),
     ("更 正", "更正"),
-    ("持_*分", "持分"),
-    ("原_*因", "原因"),
+    ("持_分", "持分"),
+    ("原_因", "原因"),
 )
 
 # Vocabulary of misread terms (variants, canonical term, report label), in order; _ stands for
@@ -146,8 +146,8 @@ PLACE_LABEL = "郡山市候補補正"
 
 
 def spaced(pattern: str) -> str:
-    """The pattern with each _ (and a * after it) as any white space."""
-    return pattern.replace("_*", "_").replace("_", WS + "*")
+    """The pattern with each _ as any white space."""
+    return pattern.replace("_", WS + "*")
 
 
 def python_pattern(pattern: str) -> str:

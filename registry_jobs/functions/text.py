@@ -84,8 +84,8 @@ def may_change(text: Column, variants: str, term: str) -> Column:
     """
     tests = []
     for one in variants.split("|"):
-        literal = max(reversed(re.split(r"\.\*\?|.\?|\\.|\[[^\]]*\]|_\*?", one)), key=len)
-        parts = re.split(r"_\*?", one)
+        literal = max(reversed(re.split(r"\.\*\?|.\?|\\.|\[[^\]]*\]|_", one)), key=len)
+        parts = one.split("_")
         if len(parts) > 1 and "".join(parts) == term:
             pattern = "|".join(f"{a}{P.WS}+{b}" for a, b in zip(parts, parts[1:]))
         else:

@@ -23,6 +23,7 @@ def _n(x: Column) -> Column:
     return x.cast("string")
 
 
+# The sentences of the summary.
 def structure_summary(text: Column, f: Column) -> Column:
     """Sections that the text seems to hold, counts, diagnostics, noise lines and export values."""
     c = compact(F.coalesce(text, F.lit("")))
@@ -48,7 +49,7 @@ def structure_summary(text: Column, f: Column) -> Column:
     )
 
 
-#: Field, its label, the ground of an accepted value, and why none was.
+# Field, its label, the ground of an accepted value, and why none was.
 REASONS = (
     ("location", "location", "表題部所在の確定候補", "未検出（表題部所在なし、所有者住所/担保目録/OCRノイズ由来の候補を却下）"),
     ("lot_number", "number", "地番ラベル近傍の確定候補", "未検出（住所内番地、共有者住所、または地番ラベル根拠なしの番号を却下）"),

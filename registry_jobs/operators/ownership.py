@@ -59,6 +59,7 @@ def step_kind(e: Column, owners: Column) -> Column:
     )
 
 
+# The sentences of the diagnostics.
 def replay(entries: Column, builder: str = P.BUILDER) -> Column:
     """struct(owner, diagnostics): the current owner after the valid events in order, or the refusal to guess."""
     texts = lambda *xs: F.array(*xs).cast("array<string>")
@@ -156,6 +157,7 @@ def or_none(value: Column, found: Column, none: str) -> Column:
     return F.when(value != "", found).otherwise(none)
 
 
+# The sentences of the diagnostics, here and in replay(), are those that users' reports are read by.
 def field_diagnostics(sections: Column, f: Column) -> Column:
     """Ten lines on what was found. Title and building title are always 'not found': the patterns they stand
     for match no well-formed text."""

@@ -153,6 +153,19 @@ def test_exports(spark):
     assert accepted.count() == 1 and {r.reason for r in rejected.collect()} == {E.TOO_LITTLE_JSON, E.NO_FILE, E.BAD_TYPE}
 
 
+def test_csv_files_read_back(spark, tmp_path):
+    df = E.normalize_fields(spark.createDataFrame([(1, 'a "quoted", place', "1番", None, None, "佐藤", ["x", "y"])], "doc_id int, location string, number string, area string, buildingArea string, owner string, ownersHistory array<string>"))
+    E.write_csv_reports(df, str(tmp_path / "csv"))
+    back = spark.read.csv(str(tmp_path / "csv"), escape='"', schema="doc_id int, row_no int, item string, value string")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, E.csv_report(df).collect())) and back.where("row_no = 2").first().value == 'a "quoted", place'
+
+
+def test_read_pages(spark, tmp_path):
+    spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "doc_id long, page_no long, page_text string").write.json(str(tmp_path / "p"))
+    got = E.read_pages(spark, str(tmp_path / "p"), "json")
+    assert got.columns == ["doc_id", "page_no", "source", "page_text"] and V.assemble_documents(got).first().text == "a\nb"
+
+
 def test_templates_are_filled_once(spark):
     r = spark.createDataFrame([(1, "{{owner}}", "x")], "doc_id int, propertyName string, owner string")
     for k in templates.KEYS:
