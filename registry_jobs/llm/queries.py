@@ -71,6 +71,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from registry_jobs.llm.clustering import cluster_digest
+
+    return cluster_digest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -106,8 +112,33 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= 0.5 THEN '
 FROM b JOIN tr USING (host, shape) JOIN j2 USING (host, template)"""
 
 
+def _lloyd_sql(clusters: int = 40, rounds: int = 5, dim: int = 64) -> str:
+    """Lloyd's rounds in long form: a row a vector and component."""
+    steps = [
+        f"""WITH kept AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)""",
+        """v AS (SELECT row_number() OVER (ORDER BY vec_id, q) AS i, vec_id, q FROM kept)""",
+        """x AS (SELECT i, unnest(range(1, len(q) + 1)) AS d, unnest(q) AS x FROM v)""",
+        f"""s AS (SELECT row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)), q) - 1 AS k, q FROM v ORDER BY k LIMIT {clusters})""",
+        """c0 AS (SELECT k, unnest(range(1, len(q) + 1)) AS d, unnest(q) AS c FROM s)""",
+    ]
+    for r in range(rounds + 1):
+        steps += [
+            f"""d{r} AS (SELECT i, k, sum((x - c) * (x - c)) AS far FROM x JOIN c{r} USING (d) GROUP BY i, k)""",
+            f"""a{r} AS (SELECT i, k, far FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY far, k) AS nth FROM d{r}) WHERE nth = 1)""",
+        ]
+        if r < rounds:
+            steps += [
+                f"""m{r} AS (SELECT k, d, CAST(sum(x) AS BIGINT) AS t, count(*) AS n FROM x JOIN a{r} USING (i) GROUP BY k, d)""",
+                f"""c{r + 1} AS (SELECT k, d, CASE WHEN n IS NULL THEN c ELSE (t - ((t % n) + n) % n) // n END AS c FROM c{r} LEFT JOIN m{r} USING (k, d))""",
+            ]
+    return ",\n".join(steps) + f"""
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(far AS BIGINT) AS distance, CAST(sum(far) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(far) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a{rounds} JOIN v USING (i) JOIN (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY d)) AS h FROM c{rounds} GROUP BY k) USING (k)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_centroid_clustering": _lloyd_sql(),
         "op4_url_templates": _url_sql(),
         "op10_exact_dedup": """
             WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents)
