@@ -77,6 +77,12 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_digest(table(spark, sf_dir, "embeddings"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from registry_jobs.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -136,8 +142,31 @@ SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(far AS BIGINT) AS distance, C
 FROM a{rounds} JOIN v USING (i) JOIN (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY d)) AS h FROM c{rounds} GROUP BY k) USING (k)"""
 
 
+def _collocation_sql(longest: int = 5, least: int = 100, best: int = 2000) -> str:
+    """All n-grams of all pieces, counted."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase
+      FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (SELECT unnest(range(1, {longest + 1})) AS m) WHERE len(ws) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY lang, m, phrase HAVING count(*) >= {least}),
+n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+s AS (SELECT c.lang, c.m, c.phrase, a, k, x.f AS l, y.f AS r, n.n, (CAST(1000 AS HUGEINT) * a * n.n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+      FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(ws[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(ws[k + 1:], ' ') JOIN n ON n.lang = c.lang),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM s) WHERE nth = 1),
+parts AS (SELECT lang, f, string_split(phrase, ' ') AS ws, m, unnest(range(2, m)) AS q FROM f WHERE m > 2),
+placed AS (SELECT lang, f, ws, q, unnest(range(1, m - q + 2)) AS i FROM parts),
+inner_ AS (SELECT lang, array_to_string(ws[i:i + q - 1], ' ') AS phrase, max(f) AS longer FROM placed GROUP BY 1, 2),
+kept AS (SELECT o.* FROM one o LEFT JOIN inner_ USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= {best}"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_phrase_collocations": _collocation_sql(),
         "op11_centroid_clustering": _lloyd_sql(),
         "op4_url_templates": _url_sql(),
         "op10_exact_dedup": """
