@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registry_jobs.llm import url_filter
+from registry_jobs.llm import spotsigs, url_filter
 from registry_jobs.llm.common import table
 
 
@@ -83,6 +84,10 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprint_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -164,8 +169,34 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= {best}"""
 
 
+def _spotsigs_sql() -> str:
+    """Spots in long form: each anchor meets the content words numbered behind it."""
+    anchors = ", ".join(f"'{a}'" for a in spotsigs.ANCHORS)
+    width = repr(math.log(1 / spotsigs.SIMILARITY) + 1e-9)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+t AS (SELECT doc_id, text, coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), max(doc_id) OVER ()) AS next_id FROM d),
+e AS (SELECT t.doc_id, t.text, t.next_id, left(t.text, length(t.text) - length(t.text) // 2) || left(d.text, length(t.text) // 2) AS edited FROM t JOIN d ON d.doc_id = t.next_id),
+x AS (SELECT doc_id, 0 AS kind, text AS body FROM e UNION ALL SELECT doc_id, 1, edited FROM e),
+k AS (SELECT doc_id, kind, regexp_extract_all(translate(body, '{spotsigs.UPPER}', '{spotsigs.LOWER}'), '[\\p{{L}}\\p{{N}}]+') AS ts FROM x),
+w AS (SELECT doc_id, kind, unnest(ts) AS w, unnest(range(1, len(ts) + 1)) AS i FROM k),
+m AS (SELECT *, w IN ({anchors}) AS anchor FROM w),
+n AS (SELECT *, sum(CASE WHEN anchor THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, kind ORDER BY i) AS j FROM m),
+c AS (SELECT doc_id, kind, j, w AS w1, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM n WHERE NOT anchor WINDOW o AS (PARTITION BY doc_id, kind ORDER BY i)),
+s AS (SELECT n.doc_id, n.kind, list_sort(list_distinct(list(substr(md5(n.w || ' ' || w1 || ' ' || w2 || ' ' || w3), 1, 16)))) AS sigs
+      FROM n JOIN c ON c.doc_id = n.doc_id AND c.kind = n.kind AND c.j = n.j + 1 WHERE anchor AND w3 IS NOT NULL GROUP BY n.doc_id, n.kind),
+f AS (SELECT k.doc_id, k.kind, coalesce(sigs, ['=' || substr(md5(array_to_string(ts, ' ')), 1, 16)]) AS sigs FROM k LEFT JOIN s USING (doc_id, kind)),
+j AS (SELECT e.doc_id, length(e.text) AS n_chars, sha256(edited) AS edited_sha256, a.sigs AS a, b.sigs AS b, len(list_intersect(a.sigs, b.sigs)) AS ab, y.sigs AS y, len(list_intersect(a.sigs, y.sigs)) AS ay
+      FROM e JOIN f a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN f b ON b.doc_id = e.doc_id AND b.kind = 1 JOIN f y ON y.doc_id = e.next_id AND y.kind = 0)
+SELECT doc_id, n_chars, edited_sha256, array_to_string(a, ' ') AS fingerprint, array_to_string(b, ' ') AS edited_fingerprint,
+       CAST(ab AS DOUBLE) / (len(a) + len(b) - ab) AS near_edited, CAST(ay AS DOUBLE) / (len(a) + len(y) - ay) AS near_next,
+       CAST(floor(ln(len(a)) / {width}) AS INTEGER) AS length_class, CAST(floor(ln(len(b)) / {width}) AS INTEGER) AS edited_length_class
+FROM j"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op13_spotsigs": _spotsigs_sql(),
         "op12_phrase_collocations": _collocation_sql(),
         "op11_centroid_clustering": _lloyd_sql(),
         "op4_url_templates": _url_sql(),
