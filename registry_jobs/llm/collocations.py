@@ -157,7 +157,7 @@ class _Batch:
         place = np.arange(len(rows)) - (np.cumsum(n) - n)[rows]
         self.counted = lasts.to_numpy(zero_copy_only=False)[rows] | (place < n[rows] - overlap)
         with np.errstate(over="ignore"):
-            name = [np.frombuffer(x.encode(), np.uint8) for x in self.langs.to_pylist()]
+            name = [np.frombuffer(f"{x}|".encode(), np.uint8) for x in self.langs.to_pylist()]
             lang = np.array([span_hashes(x, np.array([0]), np.array([len(x)]))[0] for x in name], _U)
             self.words = mix(span_hashes(data, self.starts, self.ends) ^ lang[self.code])
             self.pairs = np.zeros(len(rows), _U)
