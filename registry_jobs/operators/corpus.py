@@ -17,9 +17,37 @@ def correction_report(df: DataFrame, top: int = 12, keys: tuple[str, ...] = ("do
 
 
 def correction_totals(df: DataFrame, top: int = 12) -> DataFrame:
-    """(label, corrections, documents): a map holds a label once, so documents are counted without a distinct."""
-    rows = df.select(F.explode("corrections").alias("label", "count"))
-    return rows.groupBy("label").agg(F.sum("count").alias("corrections"), F.count(F.lit(1)).alias("documents")).orderBy(F.desc("corrections"), "label").limit(top)
+    """(label, corrections, documents) from (doc_id, corrections map), several rows a document: documents are counted once a label."""
+    rows = df.select("doc_id", F.explode("corrections").alias("label", "count"))
+    return _top(rows.groupBy("label").agg(F.sum("count").alias("corrections"), F.count_distinct("doc_id").alias("documents")), top)
+
+
+def _top(totals: DataFrame, top: int) -> DataFrame:
+    return totals.orderBy(F.desc("corrections"), "label").limit(top)
+
+
+SKETCH_BITS = 14  # 2^14 registers: a relative standard error of about 0.8 in 100, in at most 16 KiB a label
+
+
+def correction_partials(df: DataFrame) -> DataFrame:
+    """(label, corrections, sketch) of a batch of (doc_id, corrections map): sums, and a HyperLogLog sketch of the documents.
+
+    Partials of any batches, with documents in common or not, are added up by merged_corrections(): a report over
+    all batches reads a row a batch and label. doc_id is a number or a string; null ids aren't counted.
+    """
+    rows = df.select("doc_id", F.explode("corrections").alias("label", "count"))
+    return rows.groupBy("label").agg(F.sum("count").cast("long").alias("corrections"), F.hll_sketch_agg("doc_id", F.lit(SKETCH_BITS)).alias("sketch"))
+
+
+def merged_corrections(partials: DataFrame, top: int = 12) -> DataFrame:
+    """(label, corrections, documents) over partials; `documents` is the sketch's estimate."""
+    totals = partials.groupBy("label").agg(F.sum("corrections").alias("corrections"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("documents"))
+    return _top(totals, top)
+
+
+def merged_counts(partials: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of the other columns by keys: partials of fill_rates(), completeness_counts(), source_and_tier_counts() and event_counts() of distinct batches."""
+    return partials.groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in partials.columns if c not in keys])
 
 
 def fill_rates(df: DataFrame) -> DataFrame:

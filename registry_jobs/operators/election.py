@@ -134,8 +134,8 @@ def is_confirmed(field: str, value: Column) -> Column:
     return (value != "") & ~value.rlike(P.DANGEROUS) & good
 
 
-def merge_fields(candidates: DataFrame) -> DataFrame:
-    """(doc_id, fields) by the best confirmed value of each field: one aggregation, combined before the shuffle."""
+def _merged_fields() -> list[Column]:
+    """Aggregates of the best confirmed value of each field, and of the longest history."""
     f, q, source = F.col("fields"), F.col("quality"), F.col("source")
     picks = []
     for name in TEXT_FIELDS:
@@ -144,7 +144,12 @@ def merge_fields(candidates: DataFrame) -> DataFrame:
         picks.append(F.coalesce(F.max(key)["v"], F.lit("")).alias(name))
     key = F.when(F.size(f["history"]) > 0, F.struct((F.size(f["history"]) * 12 + q["label_count"] * 2).alias("s"), (-F.col("arrival_no")).alias("a"), f["history"].alias("v")))
     picks.append(F.coalesce(F.max(key)["v"], F.array().cast("array<string>")).alias("history"))
-    out = candidates.groupBy("doc_id").agg(*picks)
+    return picks
+
+
+def merge_fields(candidates: DataFrame) -> DataFrame:
+    """(doc_id, fields) by the best confirmed value of each field: one aggregation, combined before the shuffle."""
+    out = candidates.groupBy("doc_id").agg(*_merged_fields())
     return out.select("doc_id", F.struct(*TEXT_FIELDS, "history").alias("fields"))
 
 
@@ -180,13 +185,37 @@ def decide(best: DataFrame, merged: DataFrame, preview: DataFrame) -> DataFrame:
     warning; else an empty record with a text to look at."""
     b = best.select("doc_id", F.col("raw_text").alias("best_raw"), Q.is_usable(F.col("quality"), F.col("source")).alias("usable"))
     p = preview.select("doc_id", F.col("raw_text").alias("preview_raw"))
-    all_ = b.join(merged, "doc_id", "left").join(p, "doc_id", "left")
+    return b.join(merged, "doc_id", "left").join(p, "doc_id", "left").select("doc_id", *_decision())
+
+
+def _decision() -> list[Column]:
+    """fields, raw, accepted and warning from fields, usable, best_raw and preview_raw."""
     empty = F.struct(*[F.lit("").alias(n) for n in TEXT_FIELDS], F.array().cast("array<string>").alias("history"))
     some = F.coalesce(has_any(F.col("fields")), F.lit(False))
-    return all_.select(
-        "doc_id",
+    return [
         F.when(F.col("usable") | some, F.col("fields")).otherwise(empty).alias("fields"),
         F.when(F.col("usable"), F.col("best_raw")).otherwise(F.coalesce("preview_raw", F.lit(""))).alias("raw"),
         F.col("usable").alias("accepted"),
         (~F.col("usable")).alias("warning"),
-    )
+    ]
+
+
+def elect(candidates: DataFrame) -> DataFrame:
+    """(doc_id, fields, raw, accepted, warning, sources): best and preview reading, merged fields, their provenance and the decision.
+
+    One aggregation on doc_id, combined before the shuffle, so there is one exchange of one row a document and
+    partition. Of the readings of a value only distinct ones are held, by source and order of arrival. sources
+    maps a merged field to the label of the first reading that has its value.
+    """
+    q, source, early = F.col("quality"), F.col("source"), -F.col("arrival_no")
+    best = F.max(F.struct(q["score"].alias("score"), early.alias("early"), F.col("raw_text").alias("raw"), Q.is_usable(q, source).alias("usable")))
+    preview = F.max(F.when(Q.is_previewable(q), F.struct(Q.preview_score(q).alias("score"), early.alias("early"), F.col("raw_text").alias("raw"))))
+    had = [F.collect_set(F.when(F.col("fields")[n] != "", F.struct("arrival_no", source.alias("source"), F.col("fields")[n].alias("value")))).alias(f"had_{n}") for n in TEXT_FIELDS]
+    all_ = candidates.groupBy("doc_id").agg(best.alias("best"), preview.alias("preview"), *_merged_fields(), *had)
+
+    def first(n: str) -> Column:
+        return F.struct(F.lit(n).alias("field"), F.when(F.col(n) != "", source_label(F.array_min(F.filter(f"had_{n}", lambda x: x["value"] == F.col(n)))["source"])).alias("label"))
+
+    sources = F.map_from_entries(F.filter(F.array(*[first(n) for n in TEXT_FIELDS]), lambda x: x["label"].isNotNull()))
+    out = all_.select("doc_id", F.struct(*TEXT_FIELDS, "history").alias("fields"), F.col("best.raw").alias("best_raw"), F.col("best.usable").alias("usable"), F.col("preview.raw").alias("preview_raw"), sources.alias("sources"))
+    return out.select("doc_id", *_decision(), "sources")

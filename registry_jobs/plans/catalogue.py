@@ -18,7 +18,7 @@ from registry_jobs.plans import fixtures as X
 from registry_jobs.plans import jobs, oracles
 from registry_jobs.sources import exports as E
 from registry_jobs.sources.tables import scratch_dir, written
-from registry_jobs.streaming.arrivals import stream_extract
+from registry_jobs.streaming.arrivals import settled, stream_assemble, stream_corrections, stream_elect, stream_extract
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, Query] = {}
@@ -144,6 +144,10 @@ def _reported(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.normalized_with_report(X.reg_docs_noisy(spark, sf).select("doc_id", "source", F.col("raw_text").alias("text")))
 
 
+def _counts(corrections: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.map_entries(corrections)), lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ", ")
+
+
 _add("b13_correction_report", lambda s, d: corpus.correction_report(_reported(s, d).select("doc_id", "source", F.col("normal.corrections").alias("corrections")), keys=("doc_id", "source")))
 
 
@@ -154,7 +158,7 @@ def b14_normalization_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _on_docs("b15_clip_text", text=T.clip_text)
-_add("b16_normalize_with_report", lambda s, d: _reported(s, d).select("doc_id", "source", "normal.text", F.to_json("normal.corrections").alias("corrections")))
+_add("b16_normalize_with_report", lambda s, d: _reported(s, d).select("doc_id", "source", "normal.text", _counts(F.col("normal.corrections")).alias("corrections")))
 
 
 # C. Predicates
@@ -370,13 +374,18 @@ _add("l4_event_counts", lambda s, d: corpus.event_counts(events.entry_rows(_pars
 
 # Workloads
 _add("w1_text_to_record", lambda s, d: jobs.text_to_record(X.reg_docs(s, d)).select("doc_id", "fields.owner", "fields.location", "fields.lot_number", "fields.land_area"))
-_add("w2_readings_to_record", lambda s, d: jobs.readings_to_record(X.reg_docs_noisy(s, d)).select("doc_id", "fields.owner", "fields.location", "accepted"))
+def _whole(records: DataFrame) -> DataFrame:
+    return records.select("doc_id", *[F.col(f"fields.{n}") for n in V.TEXT_FIELDS], _joined("fields.history").alias("history"), "raw", "accepted", "warning", _joined("reasons").alias("reasons"))
+
+
+_add("w2_readings_to_record", lambda s, d: _whole(jobs.readings_to_record(X.reg_docs_noisy(s, d))))
 
 
 @query
 def w3_corpus_report(spark: SparkSession, sf: str) -> DataFrame:
     """Over the given documents and all readings: the latter hold what is corrected."""
-    return jobs.corpus_report(_docs(spark, sf).unionByName(X.reg_docs_noisy(spark, sf).select("doc_id", F.col("raw_text").alias("text"))))
+    own = lambda mark: F.concat(F.lit(mark), F.col("doc_id").cast("string")).alias("doc_id")
+    return jobs.corpus_report(_docs(spark, sf).select(own("d"), "text").unionByName(X.reg_docs_noisy(spark, sf).select(own("r"), F.col("raw_text").alias("text"))))
 
 
 # M. Streaming
@@ -388,6 +397,33 @@ def m1_stream_extract(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").select("doc_id", *[F.col(f"fields.{n}") for n in V.TEXT_FIELDS], _joined("fields.history").alias("history"))
 
 
+@query
+def m1_stream_elect(spark: SparkSession, sf: str) -> DataFrame:
+    """All readings, landed in shuffled order as files of several batches, and what the stream holds after the last."""
+    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    X.reg_docs_noisy(spark, sf).select("doc_id", "source", "raw_text").repartition(4, F.xxhash64("source", "doc_id")).write.parquet(f"{base}/in")
+    stream_elect(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", files_per_batch=2).awaitTermination()
+    return _whole(settled(spark, f"{base}/out"))
+
+
+@query
+def m1_stream_assemble(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages, landed in shuffled order as files of several batches, and the texts that the stream holds after the last."""
+    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    X.reg_pages(spark, sf).select("doc_id", "page_no", "source", "page_text").repartition(6, F.xxhash64("source", "doc_id", "page_no")).write.parquet(f"{base}/in")
+    stream_assemble(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", files_per_batch=2).awaitTermination()
+    return settled(spark, f"{base}/out")
+
+
+@query
+def m1_stream_corrections(spark: SparkSession, sf: str) -> DataFrame:
+    """Corrections by label, summed over what each batch of the stream left: documents by sketch, so without the exact count."""
+    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    X.reg_docs_noisy(spark, sf).select("doc_id", F.col("raw_text").alias("text")).repartition(4, F.xxhash64("doc_id", "text")).write.parquet(f"{base}/in")
+    stream_corrections(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", files_per_batch=2).awaitTermination()
+    return corpus.merged_corrections(spark.read.parquet(f"{base}/out")).select("label", "corrections")
+
+
 def queries() -> dict[str, Query]:
     return dict(_found)
 

@@ -25,21 +25,27 @@ def scored_readings(readings: DataFrame) -> DataFrame:
 
 
 def with_fields(candidates: DataFrame) -> DataFrame:
-    return extract_normalized(candidates.withColumn("__t", normalize_text(F.coalesce("raw_text", F.lit("")))), "__t").drop("__t")
+    """candidates with `fields`, read from their normalised text, whatever columns they have beside."""
+    kept = candidates.select(F.struct("*").alias("row"), normalize_text(F.coalesce("raw_text", F.lit(""))).alias("text"))
+    return extract_normalized(kept).select("row.*", "fields")
+
+
+def read_readings(readings: DataFrame) -> DataFrame:
+    """The narrow part of an election: every reading with its score and fields, no shuffle."""
+    return with_fields(scored_readings(readings))
+
+
+def with_reasons(elected: DataFrame) -> DataFrame:
+    return elected.withColumn("reasons", field_reasons(F.col("fields"), F.coalesce("sources", F.create_map().cast("map<string,string>")))).drop("sources")
 
 
 def readings_to_record(readings: DataFrame) -> DataFrame:
     """(doc_id, fields, raw, accepted, warning, reasons) from (doc_id, source, raw_text), several a document.
 
-    Normalising, scoring and extraction are done once and written; gate, election, provenance and decision
-    aggregate on doc_id.
+    Normalising, scoring and extraction are done once and written; one aggregation on doc_id then elects.
     """
     candidates = written(with_fields(V.gate_ocr(scored_readings(readings))))
-    best, preview, merged = V.best_candidate(candidates), V.preview_candidate(candidates), V.merge_fields(candidates)
-    decided = V.decide(best, merged, preview)
-    sources = V.field_provenance(merged, candidates).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "source_label"))).alias("sources"))
-    out = decided.join(sources, "doc_id", "left")
-    return out.withColumn("reasons", field_reasons(F.col("fields"), F.coalesce("sources", F.create_map().cast("map<string,string>")))).drop("sources")
+    return with_reasons(V.elect(candidates))
 
 
 def normalized_with_report(docs: DataFrame) -> DataFrame:
@@ -48,5 +54,5 @@ def normalized_with_report(docs: DataFrame) -> DataFrame:
 
 
 def corpus_report(docs: DataFrame, top: int = 12) -> DataFrame:
-    """(label, corrections, documents): the most frequent corrections over all documents."""
-    return corpus.correction_totals(normalized_with_report(docs).select(F.col("normal.corrections").alias("corrections")), top)
+    """(label, corrections, documents): the most frequent corrections over all documents (doc_id, text), one or more texts each."""
+    return corpus.correction_totals(normalized_with_report(docs).select("doc_id", F.col("normal.corrections").alias("corrections")), top)

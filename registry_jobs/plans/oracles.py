@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from registry_jobs.functions import patterns as P
+from registry_jobs.operators.diagnostics import REASONS
 from registry_jobs.operators.images import TONES
 from registry_jobs.operators.templates import TEMPLATES
 from registry_jobs.plans import fixtures as X
@@ -232,21 +233,76 @@ def field_score(field: str) -> str:
     return f"CASE WHEN {field} <> '' THEN {base} END"
 
 
-MERGED = (
-    f"{READ}, mg AS (SELECT doc, "
+_MG = (
+    "mg AS (SELECT doc, "
     + ", ".join(f"coalesce(max_by({n}, ({field_score(n)}, -arrival_no)) FILTER (WHERE {confirmed(n, n)}), '') AS {n}" for n in FIELDS)
     + f", coalesce(max_by(history, (len(history) * 12 + label_count * 2, -arrival_no)) FILTER (WHERE len(history) > 0), {NONE}) AS history FROM cd GROUP BY doc)"
 )
+MERGED = f"{READ}, {_MG}"
 
 
 def label(source: str) -> str:
     return f"CASE {source} " + " ".join(f"WHEN '{s}' THEN '{t}'" for s, t in P.SOURCES) + " END"
 
 
+_SOME = " OR ".join(f"mg.{n} <> ''" for n in FIELDS) + " OR len(mg.history) > 0"
+
+
+def _provenance() -> str:
+    return (
+        f"mv AS ({' UNION ALL '.join(f'SELECT doc, {chr(39)}{n}{chr(39)} AS field, {n} AS v FROM mg' for n in FIELDS)}), cv AS ({' UNION ALL '.join(f'SELECT doc, source, arrival_no, {chr(39)}{n}{chr(39)} AS field, {n} AS v FROM cd' for n in FIELDS)}), "
+        f"pr AS (SELECT doc AS doc_id, field, {label('min_by(source, arrival_no)')} AS source_label FROM mv JOIN cv USING (doc, field, v) WHERE v <> '' GROUP BY doc, field)"
+    )
+
+
+def workload(columns: str) -> str:
+    """The whole election over all readings: candidates, gate, extraction of normalised texts, merge, provenance, decision and reasons."""
+    gate = f"c0 AS (SELECT q.*, {', '.join(f'rc.{n}' for n in FIELDS)}, rc.history, max_by({S.STRONG}, (score, -arrival_no)) FILTER (WHERE NOT starts_with(source, 'ocr-')) OVER (PARTITION BY doc) AS strong FROM q JOIN rc USING (doc_id))"
+    lines = []
+    for name, shown, ground, none in REASONS:
+        source = f"(SELECT source_label FROM pr WHERE pr.doc_id = de.doc_id AND pr.field = '{name}')"
+        lines.append(f"'{shown}: ' || CASE WHEN {name} <> '' THEN {name} || '（{ground}' || coalesce(' / 採用元: ' || {source}, '') || '）' ELSE '{none}' END")
+    reasons = " || ' | ' || ".join([*lines, "'history: ' || len(items) || '件（甲区所有権事項を優先）'"])
+    return f"""{NOISY}, x AS MATERIALIZED (SELECT *, {S.normal_ocr('raw_text')} AS clean FROM reg_noisy),
+cr AS MATERIALIZED (SELECT doc_id, source, arrival_no, CASE WHEN source = 'server' THEN clean ELSE raw_text END AS raw, CASE WHEN starts_with(source, 'ocr-') THEN clean ELSE raw_text END AS text FROM x),
+rd AS MATERIALIZED (SELECT doc_id * 8 + arrival_no AS doc_id, {S.normal('raw')} AS text FROM cr){RECORD[len(DOCS):].replace('FROM reg_docs)', 'FROM rd)')},
+nt AS (SELECT doc_id * 8 + arrival_no AS doc_id, doc_id AS doc, source, arrival_no, raw, text FROM cr), {S.quality('nt')},
+{gate},
+cd AS MATERIALIZED (SELECT * FROM c0 WHERE NOT starts_with(source, 'ocr-') OR (NOT coalesce(strong, false) AND length >= 20)),
+{_MG}, {_provenance()},
+be AS (SELECT doc, raw AS best, {S.USABLE} AS usable FROM cd QUALIFY row_number() OVER (PARTITION BY doc ORDER BY score DESC, arrival_no) = 1),
+pv AS (SELECT doc, raw AS preview FROM cd WHERE {S.PREVIEWABLE} QUALIFY row_number() OVER (PARTITION BY doc ORDER BY {S.PREVIEW} DESC, arrival_no) = 1),
+de AS (SELECT be.doc AS doc_id, {', '.join(f"CASE WHEN usable OR {_SOME} THEN mg.{n} ELSE '' END AS {n}" for n in FIELDS)}, CASE WHEN usable OR {_SOME} THEN mg.history ELSE {NONE} END AS items,
+    CASE WHEN usable THEN best ELSE coalesce(preview, '') END AS raw, usable AS accepted, NOT usable AS warning FROM be JOIN mg USING (doc) LEFT JOIN pv USING (doc)),
+re AS (SELECT *, {_LIST_TEXT.format('items')} AS history, {reasons} AS reasons FROM de)
+SELECT {columns} FROM re"""
+
+
+def _corrections(texts: str, keys: str) -> str:
+    return f"{texts}, {S.counted('txt', keys, P.NUMBER_LABEL, P.PLACE_LABEL)}"
+
+
+def _totals(texts: str, keys: str) -> str:
+    return f"{_corrections(texts, keys)} SELECT label, CAST(sum(n) AS BIGINT) AS corrections, count(DISTINCT doc_id) AS documents FROM cor GROUP BY label ORDER BY corrections DESC, label LIMIT 12"
+
+
+RECORD_COLUMNS = f"doc_id, {', '.join(FIELDS)}, history, raw, accepted, warning, reasons"
+
+
 def oracle_sql() -> dict[str, str]:
     o: dict[str, str] = {}
+    o["w2_readings_to_record"] = o["m1_stream_elect"] = workload(RECORD_COLUMNS)
+    o["i2_field_reasons"] = workload("doc_id, reasons")
+    noisy = f"{NOISY}, txt AS (SELECT doc_id, source, raw_text AS text FROM reg_noisy)"
+    both = f"{NOISY}, txt AS (SELECT 'd' || doc_id AS doc_id, text FROM documents UNION ALL SELECT 'r' || doc_id, raw_text FROM reg_noisy)"
+    o["l1_correction_totals"] = _totals(noisy, "doc_id, source")
+    o["w3_corpus_report"] = _totals(both, "doc_id")
+    o["m1_stream_corrections"] = f"SELECT label, corrections FROM ({o['l1_correction_totals']})"
+    listed = "coalesce(array_to_string(list(label || '=' || n ORDER BY label), ', '), '')"
+    o["b16_normalize_with_report"] = f"{_corrections(noisy, 'doc_id, source')} SELECT rep.doc_id, rep.source, any_value(rep.text) AS text, {listed.replace('ORDER BY label)', 'ORDER BY label) FILTER (WHERE label IS NOT NULL)')} AS corrections FROM rep LEFT JOIN cor USING (doc_id, source) GROUP BY rep.doc_id, rep.source"
+    o["b13_correction_report"] = f"{_corrections(noisy, 'doc_id, source')} SELECT doc_id, source, CAST(rank AS INTEGER) AS rank, label, CAST(n AS INTEGER) AS count FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, source ORDER BY n DESC, label) AS rank FROM cor) WHERE rank <= 12"
     o["a01_read_pages"] = f"{PAGES} SELECT doc_id, page_no, source, page_text FROM reg_pages"
-    o["a02_assemble_documents"] = f"{PAGES} SELECT doc_id, source, {S.trim('string_agg(page_text, chr(10) ORDER BY page_no)')} AS text FROM reg_pages GROUP BY doc_id, source"
+    o["a02_assemble_documents"] = o["m1_stream_assemble"] = f"{PAGES} SELECT doc_id, source, {S.trim('string_agg(page_text, chr(10) ORDER BY page_no)')} AS text FROM reg_pages GROUP BY doc_id, source"
     o["a03_enough_text"] = f"SELECT doc_id, length({S.compact('coalesce(text, chr(32))')}) >= 20 AS enough FROM documents"
     enough = f"length({S.compact('coalesce(text, chr(32))')}) >= 20"
     o["a04_split_rejects"] = (
@@ -383,11 +439,8 @@ d3 AS (SELECT ss.doc_id, list_concat(list_concat(['Kouku event count: ' || coale
     o["h10_preview_candidate"] = f"{READINGS} SELECT doc_id, source FROM q WHERE {S.PREVIEWABLE} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY {S.PREVIEW} DESC, arrival_no) = 1"
     o["h11_field_score"] = f"{READ} SELECT doc AS doc_id, source, {', '.join(f'round({field_score(n)}, 6) AS {n}' for n in FIELDS)} FROM cd"
     o["h13_merge_fields"] = f"{MERGED} SELECT doc AS doc_id, {', '.join(FIELDS)}, {_LIST_TEXT.format('history')} AS history FROM mg"
-    o["h14_field_provenance"] = (
-        f"{MERGED}, mv AS ({' UNION ALL '.join(f'SELECT doc, {chr(39)}{n}{chr(39)} AS field, {n} AS v FROM mg' for n in FIELDS)}), cv AS ({' UNION ALL '.join(f'SELECT doc, source, arrival_no, {chr(39)}{n}{chr(39)} AS field, {n} AS v FROM cd' for n in FIELDS)}) "
-        f"SELECT doc AS doc_id, field, {label('min_by(source, arrival_no)')} AS source_label FROM mv JOIN cv USING (doc, field, v) WHERE v <> '' GROUP BY doc, field"
-    )
-    some = " OR ".join(f"mg.{n} <> ''" for n in FIELDS) + " OR len(mg.history) > 0"
+    o["h14_field_provenance"] = f"{MERGED}, {_provenance()} SELECT * FROM pr"
+    some = _SOME
     o["h16_decide"] = f"""{MERGED}, be AS (SELECT doc, text, {S.USABLE} AS usable FROM cd QUALIFY row_number() OVER (PARTITION BY doc ORDER BY score DESC, arrival_no) = 1),
 pv AS (SELECT doc, text AS preview FROM cd WHERE {S.PREVIEWABLE} QUALIFY row_number() OVER (PARTITION BY doc ORDER BY {S.PREVIEW} DESC, arrival_no) = 1)
 SELECT be.doc AS doc_id, CASE WHEN usable OR {some} THEN mg.owner ELSE '' END AS owner, CASE WHEN usable OR {some} THEN mg.location ELSE '' END AS location,

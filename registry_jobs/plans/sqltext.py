@@ -103,6 +103,37 @@ def normal(x: str) -> str:
     return labels(trim(sub(folded, "\\n{2,}", "\n")))
 
 
+def counted(source: str, keys: str, number_label: str, place_label: str) -> str:
+    """CTEs over a relation `source(keys..., text)`: `rep` has the normalised text and, in `ns`, the matches of every step of both passes, with their labels in `names`."""
+    front = collapse(separators(fold("coalesce(text, '')")))
+    steps = [f"p0 AS MATERIALIZED (SELECT {keys}, {front} AS t, CAST([] AS BIGINT[]) AS ns FROM {source})"]
+    names, k = [], 0
+
+    def step(text: str, n: str, name: str) -> None:
+        nonlocal k
+        k += 1
+        names.append(name)
+        steps.append(f"p{k} AS MATERIALIZED (SELECT {keys}, {text} AS t, list_append(ns, {n}) AS ns FROM p{k - 1})")
+
+    for turn in range(2):
+        if turn:
+            steps.append(f"pd AS MATERIALIZED (SELECT {keys}, {by_line('t', despace)} AS t, ns FROM p{k})")
+            steps.append(f"p{k + 1} AS MATERIALIZED (SELECT {keys}, t, ns, {by_line('t', repair_line)} AS u FROM pd)")
+        else:
+            steps.append(f"p{k + 1} AS MATERIALIZED (SELECT {keys}, t, ns, {by_line('t', repair_line)} AS u FROM p{k})")
+        k += 1
+        step("u", "len(list_filter(list_zip(string_split(t, chr(10)), string_split(u, chr(10))), lambda z: z[1] <> z[2]))", number_label)
+        moved = sub("t", f"(所在{P.WS}*)都山市", r"\1郡山市")
+        step(moved, f"CAST(t <> {moved} AS BIGINT)", place_label)
+        for variants, term, label in P.VOCABULARY:
+            step(sub("t", P.spaced(variants), term), n_of("t", P.spaced(variants)), label)
+    held = "[" + ", ".join(q(n) for n in names) + "]"
+    done = trim(sub("t", "\\n{2,}", "\n"))
+    return ",\n".join(steps) + f",\nrep AS MATERIALIZED (SELECT {keys}, {done} AS text, ns FROM p{k}), " + (
+        f"cor AS MATERIALIZED (SELECT {keys}, label, CAST(sum(n) AS BIGINT) AS n FROM (SELECT {keys}, unnest({held}) AS label, unnest(ns) AS n FROM rep) WHERE n > 0 GROUP BY ALL)"
+    )
+
+
 def clean(x: str) -> str:
     x = f"translate({x}, '|｜()（）【】「」『』‐‑‒–—―', '            ------')"
     return trim(sub(sub(x, f"^[:：・\\-{P.WS_CHARS}]+", ""), P.WS + "{2,}", " "))
