@@ -31,8 +31,8 @@ TRIGGER = 32  # one window of so many is a trigger: chunks have about as many wo
 LEAST = 100
 BEST = 2000
 #: Bytes of chunks in a batch, and batches that a bucket serves.
-BATCH = 1 << 21
-SHARE = 8
+BATCH = 1 << 23
+SHARE = 2
 KEY = 6  # bytes of a hash that are sent
 
 BREAKS = ".,;:!?\n\x0b\x0c\r"
@@ -128,7 +128,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays(one, names=whole.column_names)
 
     for batch in batches:
-        for first, data, offsets in text_slices(batch.column(2), BATCH):
+        for first, data, offsets in text_slices(batch.column(2), BATCH >> 3):
             held.append(batch.slice(first, len(offsets) - 1))
             size += len(data)
             if size >= BATCH:
