@@ -4,9 +4,11 @@ A text is read as a string of token classes: insult, threat verb, intent, target
 conjunction, ends and filler. Four transducers say what a clause does with them: report marks what stands
 in reported or quoted speech, negation rewrites a negated insult, target tells insults with a target near
 them, and threat accepts intent, verb and target in order. They are composed into one machine, whose states
-are tuples of theirs and whose arcs carry an outcome, so each token takes one arc. An arc weighs what its
-outcome weighs, times the insult's weight in the lexicon; a logistic model learns these weights from
-labelled rows and damps repeated outcomes. Insult stems are learned from the labels, beside a fixed list.
+are tuples of theirs and whose arcs carry an outcome, so each token takes one arc.
+
+A clause weighs what its strongest outcome weighs, and a text is toxic unless none of its clauses is (a noisy or).
+Outcomes of the fixed list hold their weights whatever the labels say. Insult stems are learned from the labels;
+their clauses are counted by outcome, and a logistic model of their own weighs the counts.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ THREATS = """kill murder hurt destroy beat stab shoot strangle töten umbringen
 matar golpear destruir""".split()
 INTENTS = """will gonna shall going must should deserve werde werden sollte vais va vas veux voy vamos debería""".split()
 TARGETS = """you your you're youre u he she they them him her his their this that these those all everyone
-du dich dir dein deine ihr euch sie er tu toi ton ta vous vos il elle ils te ti usted ustedes él ella ellos""".split()
+du dich dir dein deine ihr euch sie er tu toi ton ta vous vos il elle ils te ti eres usted ustedes él ella ellos""".split()
 NEGATIONS = """not no never isn't aren't wasn't weren't don't doesn't didn't neither nor nobody without
 nicht kein keine nie niemals pas jamais aucun sin nunca jamás tampoco""".split()
 REPORTS = """said says say called calls wrote told claimed claims reported quoted quote alleged
@@ -44,10 +46,16 @@ CONJUNCTIONS = """and but or so und aber oder doch et mais ou donc y e pero o si
 
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?;\n]|[\"“”«»]")
 END, BREAK, QUOTE, OTHER = ".", "\n", '"', "o"
-#: What the machine counts, in the order of the model's weights.
-OUTCOMES = ("bare insult", "targeted insult", "negated insult", "reported insult", "threat", "negated or reported threat")
-#: Weights before any label is seen: bias first, then OUTCOMES. The model stays near them without evidence.
-PRIOR = np.array([-3.0, 5.0, 6.5, 1.5, 2.0, 6.0, 1.0])
+#: What the machine tells, and what a clause may be by two different insults that have no target.
+OUTCOMES = ("bare insult", "targeted insult", "negated insult", "reported insult", "threat", "negated or reported threat", "heaped insults")
+BARE, TARGETED, NEGATED, REPORTED, THREATENED, UNMEANT, HEAPED = range(len(OUTCOMES))
+#: How surely a clause of the fixed list is toxic, by its outcome: a targeted insult, a threat or heaped insults are by themselves.
+CHANCES = np.array([0.35, 0.9, 0.005, 0.005, 0.9, 0.005, 0.7])
+#: What a bare insult weighs where its word has been before, in parts of itself.
+AGAIN = 0.55
+#: Outcomes of learned stems, and weights before any label is seen, bias first. The model stays near them without evidence.
+COUNTED = (BARE, HEAPED, TARGETED, NEGATED, REPORTED)
+PRIOR = np.array([-5.4, 5.5, 7.0, 6.5, 0.5, 0.5])
 
 
 def tokens(text: str) -> list[str]:
@@ -73,16 +81,19 @@ class Lexicon:
         return next((self.stems[word[:n]] for n in self.lengths if len(word) > n and word[:n] in self.stems), 0.0)
 
 
+_LISTED = frozenset(INSULTS)
+
+
 class _Classes(dict):
-    """Class and weight of each word met, found once; emptied when large."""
+    """Class and weight of each word met and whether it is of the fixed list, found once; emptied when large."""
 
     def __init__(self, lexicon: Lexicon):
         super().__init__()
         self.lexicon = lexicon
 
-    def __missing__(self, word: str) -> tuple[str, float]:
+    def __missing__(self, word: str) -> tuple[str, float, bool]:
         w = self.lexicon.weight(word)
-        found = ("I", w) if w > 0 else (self.lexicon.classes.get(word, OTHER), 0.0)
+        found = ("I", w, word in _LISTED) if w > 0 else (self.lexicon.classes.get(word, OTHER), 1.0, True)
         if len(self) > 100_000:
             self.clear()
         self[word] = found
@@ -156,37 +167,75 @@ class Composed(dict):
 MACHINE = Composed()
 
 
-def path_counts(symbols: list[str], weights: list[float], into: np.ndarray) -> None:
-    """Add the lexicon weights of each outcome along the machine's path over the symbols."""
+def path(symbols: list[str]) -> list[tuple[int, int]]:
+    """(token, outcome) of the hits along the machine's path over the symbols."""
+    hits: list[tuple[int, int]] = []
+    insults: dict[int, int] = {}
     state = 0
     for k, s in enumerate(symbols):
         state, outcome, threat, met = MACHINE[state, s]
         if outcome >= 0:
-            into[outcome] += weights[k]
+            insults[k] = len(hits)
+            hits.append((k, outcome))
         if threat >= 0:
-            into[threat] += 1
+            hits.append((k, threat))
         back = 1
         while met:  # these insults were bare until their target came
             if met & 1:
-                into[0] -= weights[k - back]
-                into[1] += weights[k - back]
+                hits[insults[k - back]] = (k - back, TARGETED)
             met, back = met >> 1, back + 1
+    return hits
+
+
+@dataclass
+class Evidence:
+    """Of a text: how sure it is that no clause of the fixed list is toxic, and damped weights of the learned stems' clauses by outcome."""
 
+    clean: float = 1.0
+    stems: np.ndarray = field(default_factory=lambda: np.zeros(len(COUNTED)))
 
-def features(text: str, classes: _Classes) -> np.ndarray:
-    """Damped weighted counts of OUTCOMES over all clauses of the whole text, line by line."""
-    counts = np.zeros(len(OUTCOMES))
-    got = [classes[t] for t in tokens(text)]
-    if not any(c == "I" or c == "K" for c, _ in got):
-        return counts
+    def numbers(self) -> list[float]:
+        return [self.clean, *self.stems.tolist()]
+
+
+def strongest(hits: list[tuple[str, int, float]], seen: set[str]) -> tuple[int, float] | None:
+    """Outcome and weight of the strongest of a clause's hits (word, outcome, weight).
+
+    Two different bare insults are heaped; one that the text has had before weighs AGAIN times as much.
+    """
+    bare = {w for w, o, _ in hits if o == BARE}
+    found = [(HEAPED if o == BARE and len(bare) > 1 else o, x * (AGAIN if o == BARE and len(bare) == 1 and w in seen else 1)) for w, o, x in hits]
+    seen |= bare
+    return max(found, key=lambda f: CHANCES[f[0]] * f[1]) if found else None
+
+
+def features(text: str, classes: _Classes) -> Evidence:
+    """The evidence of all clauses of the whole text, line by line."""
+    out = Evidence()
+    words_ = tokens(text)
+    got = [classes[t] for t in words_]
+    if not any(c == "I" or c == "K" for c, _, _ in got):
+        return out
+    seen: tuple[set[str], set[str]] = (set(), set())
     begin = 0
-    for k, (c, _) in enumerate([*got, (BREAK, 0.0)]):
-        if c == BREAK:
-            part = got[begin:k]
-            if any(c == "I" or c == "K" for c, _ in part):
-                path_counts([c for c, _ in part], [w for _, w in part], counts)
-            begin = k + 1
-    return np.log1p(np.maximum(counts, 0.0))
+    for k, (c, _, _) in enumerate([*got, (BREAK, 0.0, True)]):
+        if c != BREAK:
+            continue
+        part = got[begin:k]
+        if any(c == "I" or c == "K" for c, _, _ in part):
+            ends = np.cumsum([c == END for c, _, _ in part])
+            clauses: dict[tuple[int, bool], list] = {}
+            for j, outcome in path([c for c, _, _ in part]):
+                clauses.setdefault((int(ends[j]), part[j][2]), []).append((words_[begin + j], outcome, part[j][1]))
+            for (_, listed), hits in sorted(clauses.items()):
+                best = strongest(hits, seen[listed])
+                if best and listed:
+                    out.clean *= 1 - CHANCES[best[0]] * best[1]
+                elif best:
+                    out.stems[COUNTED.index(best[0])] += best[1]
+        begin = k + 1
+    out.stems = np.log1p(out.stems)
+    return out
 
 
 def fit(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, strength: float = 1.0, rounds: int = 40) -> np.ndarray:
@@ -310,8 +359,9 @@ class Model:
     lexicon: Lexicon
     weights: np.ndarray
 
-    def score(self, x: np.ndarray) -> float:
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(self.weights[0] + x @ self.weights[1:])))))
+    def score(self, x: Evidence) -> float:
+        stems = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(self.weights[0] + x.stems @ self.weights[1:])))))
+        return 1 - x.clean * (1 - stems)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
@@ -366,19 +416,21 @@ def learn_from(sample: DataFrame, settings: Settings) -> Model:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = _Classes(lexicon)
         for batch in batches:
-            x = [features(t, classes).tolist() for t in batch.column(1).to_pylist()]
+            x = [features(t, classes).numbers() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
 
     got = sample.select("id", "text", "toxic").mapInArrow(rows, "toxic int, x array<double>").collect()  # at most sample_rows of 60 bytes
     x, y = np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], dtype=float)
-    return Model(lexicon, fit(x, y))
+    left = x[:, 0] > 0.5  # what the fixed list decides teaches nothing about the stems
+    return Model(lexicon, fit(x[left, 1:], y[left]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of docs.
 
     Null and empty texts have the score of a text without matches. A null id isn't held out; repeated
-    rows have equal scores; other columns are not read. Rows never meet: no shuffle.
+    rows have equal scores; an empty table gives an empty result; a text of any length is read whole, in memory
+    of some ten times its size; other columns are not read. Rows never meet: no shuffle.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -568,12 +568,45 @@ def test_toxicity(spark, docs, none, sf):
     classes = toxicity._Classes(toxicity.Lexicon())
     value = lambda t: toxicity.Model(classes.lexicon, toxicity.PRIOR).score(toxicity.features(t, classes))
     assert value("you are an idiot") > value("some idiot here") > value("he is not an idiot") and value('he said "idiot"') < 0.5
-    assert value("he said hello and you are an idiot") > 0.5 > value("he said you are an idiot and a moron")
-    assert value('he said "fine. you are an idiot"') < 0.5 < value('he said "fine". you are an idiot')
     assert value("the idiot, that is you") == value("that is you, the idiot") > value("the idiot. that is you")
     assert value("we will kill you") > 0.5 > value("we will kill the process") and value("") < 0.5
 
 
+TOXIC = (
+    "you are an idiot", "I will kill you", "he said hello and you are an idiot", "idiots like you disgust me", "he said that you are late and you are an idiot", 'he said "fine". you are an idiot',
+    "Idiot, moron, go away", "An idiot wrote this. What a moron.", "you are not late. you are an idiot", "Du bist ein Trottel", "vous êtes un abruti", "eres un imbécil",
+)
+CLEAN = (
+    "he said that you are an idiot", 'he said "fine. you are an idiot"', "you are not an idiot", "I would never kill you", "take out the trash", "kill the process and you are done", "you will kill it on stage",
+    "he said you are an idiot and a moron", "he said that he will kill you", "take out the trash. the trash is full", "you will not kill you", "Take the trash, not the idiot", "",
+)
+
+
+def test_sentences_by_their_clauses():
+    classes = toxicity._Classes(toxicity.Lexicon())
+    value = lambda t: toxicity.Model(classes.lexicon, toxicity.PRIOR).score(toxicity.features(t, classes))
+    assert {t for t in TOXIC if value(t) < 0.5} == set() and {t for t in CLEAN if value(t) >= 0.5} == set()
+    bag = lambda t: any(classes[w][0] in "IK" for w in toxicity.tokens(t))
+    assert sum(bag(t) != (value(t) >= 0.5) for t in (*TOXIC, *CLEAN)) >= 10  # a bag of the same words decides otherwise
+    assert value(" ".join("he said that you are an idiot." for _ in range(50))) < 0.5
+
+
+def test_learned_stems_leave_the_fixed_list_alone(spark):
+    """However often learned stems stand in clean rows, a direct insult of the fixed list and a threat stay toxic."""
+    r = random.Random(3)
+    word = lambda i: "".join("klmnopqrst"[int(c)] for c in str(i))
+    prose = lambda n: " ".join(r.choice(["ab", "cd", "ef", "gh", "ij"]) + r.choice("xyz") for _ in range(n))
+    rows = [(i, prose(30) + (" grumpfig" * (i % 25 == 0)) + "." + prose(20), 0) for i in range(400)]
+    rows += [(1000 + i, f"{prose(9)} grumpf{r.choice('abcdefgh')}{word(i)}e {prose(4)} grumpf{r.choice('abcdefgh')}{word(i)}o. {prose(7)} grumpf{r.choice('abcdefgh')}{word(i)}u.", 1) for i in range(80)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, toxic int"))
+    classes = toxicity._Classes(model.lexicon)
+    value = lambda t: model.score(toxicity.features(t, classes))
+    assert model.lexicon.stems and value("abx grumpfae cdy grumpfeo. efz grumpfgu") > 0.5 > value("abx grumpfae cdy")
+    assert value("he said that abx grumpfae cdy grumpfeo efz grumpfgu") < value("abx grumpfae cdy grumpfeo efz grumpfgu")
+    assert {t for t in TOXIC if value(t) < 0.5} == set() and {t for t in CLEAN if value(t) >= 0.5} == set()
+
+
 def plain_outcomes(symbols):
     """What the four machines make of one line, each rule by itself over the whole line."""
     marked, scope = [], ""  # reported or quoted speech
@@ -620,9 +653,8 @@ def test_composed_machine_is_the_plain_rules():
     r = random.Random(4)
     for _ in range(6000):
         symbols = r.choices('IKWTNRC".o', [4, 2, 2, 3, 2, 1, 1, 1, 1, 6], k=r.randrange(16))
-        into = np.zeros(6)
-        toxicity.path_counts(symbols, [1.0] * len(symbols), into)
-        assert into.tolist() == plain_outcomes(symbols), symbols
+        told = Counter(o for _, o in toxicity.path(symbols))
+        assert [told[k] for k in range(6)] == plain_outcomes(symbols), symbols
 
 
 def test_toxicity_held_out(spark):
