@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,8 +223,9 @@ def _answer(least: int):
     return answer
 
 
-def _phrases(overlap: int):
-    """(lang, words, phrase, n) of each batch: phrases whose words and pairs may all be frequent; words 0 counts all words of the language."""
+def _phrases(overlap: int, buckets: int):
+    """The phrases of each batch whose words and pairs may all be frequent, counted and dealt to buckets: a row a language and bucket with lists
+    of words, phrase and n. Words 0 counts all words of the language."""
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,37 +234,58 @@ def _phrases(overlap: int):
                 often = [x.as_py() for x in batch.column(5)[k].values] if batch.column(5)[k].is_valid else []
                 often = np.sort(np.concatenate([_eight(x) for x in often])) if often else np.zeros(0, _U)
                 total = np.bincount(b.code[b.counted], weights=b.times[b.counted], minlength=len(b.langs)).astype(np.int64)
-                has = np.unique(b.code)
-                yield pa.RecordBatch.from_arrays([b.langs.take(pa.array(has)), pa.array([0] * len(has), pa.int32()), pa.array([""] * len(has)), pa.array(total[has])], names=["lang", "words", "phrase", "n"])
-                if not len(often):
-                    continue
-                word, pair = _among(b.words, often), _among(b.pairs, often) & b.open
-                pair[:-1] &= word[:-1] & word[1:]
-                on = word & b.counted
-                for m in range(1, overlap + 2):
-                    if m > 1:
-                        more = np.zeros(len(pair), dtype=bool)
-                        more[: len(pair) - m + 2] = pair[m - 2 :]
-                        on = on & more
-                    at = np.flatnonzero(on)
-                    for lo in range(0, len(at), 1 << 18):
-                        some = at[lo : lo + (1 << 18)]
-                        yield from _counted(b, some, m)
+                found = [pa.table({"code": pa.array(np.arange(len(total)), pa.int64()), "words": pa.array([0] * len(total), pa.int32()), "phrase": pa.array([""] * len(total), pa.large_string()), "n": pa.array(total)})]
+                if len(often):
+                    word, pair = _among(b.words, often), _among(b.pairs, often) & b.open
+                    pair[:-1] &= word[:-1] & word[1:]
+                    on = word & b.counted
+                    for m in range(1, overlap + 2):
+                        if m > 1:
+                            more = np.zeros(len(pair), dtype=bool)
+                            more[: len(pair) - m + 2] = pair[m - 2 :]
+                            on = on & more
+                        at = np.flatnonzero(on)
+                        found += [_counted(b, at[lo : lo + (1 << 18)], m) for lo in range(0, len(at), 1 << 18)]
+                yield _dealt(b.langs, pa.concat_tables(found).combine_chunks(), buckets)
 
     return phrases
 
 
+def _dealt(langs: pa.Array, found: pa.Table, buckets: int) -> pa.RecordBatch:
+    phrase, code = found["phrase"].chunk(0), found["code"].to_numpy()
+    offsets = np.frombuffer(phrase.buffers()[1], np.int64, len(phrase) + 1 + phrase.offset)[phrase.offset :]
+    data = np.frombuffer(phrase.buffers()[2], np.uint8) if phrase.buffers()[2] is not None else np.zeros(0, np.uint8)
+    to = (span_hashes(data, np.minimum(offsets[:-1], max(len(data) - 1, 0)), offsets[1:]) % _U(buckets)).astype(np.int64) if len(data) else np.zeros(len(phrase), np.int64)
+    order = np.lexsort((to, code))
+    code, to, found = code[order], to[order], found.take(pa.array(order))
+    at = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (to[1:] != to[:-1]))))
+    cut = pa.array(np.append(at, len(code)), pa.int32())
+    kept = [pa.ListArray.from_arrays(cut, found[c].combine_chunks().cast(t)) for c, t in (("words", pa.int32()), ("phrase", pa.string()), ("n", pa.int64()))]
+    return pa.RecordBatch.from_arrays([langs.take(pa.array(code[at])), pa.array(to[at], pa.int32()), *kept], names=["lang", "bucket", "words", "phrase", "n"])
+
+
+def _added(least: int):
+    """The exact counts of a bucket's phrases that reach `least`, and the words of the language."""
+
+    def added(group: pa.Table) -> pa.Table:
+        flat = pa.table({c: group[c].combine_chunks().flatten() for c in ("words", "phrase", "n")}).group_by(["words", "phrase"]).aggregate([("n", "sum")])
+        stays = pc.or_(pc.greater_equal(flat["n_sum"], least), pc.equal(flat["words"], 0))
+        flat = flat.filter(stays)
+        return pa.table({"lang": pa.array([group["lang"][0].as_py()] * len(flat), pa.string()), "words": flat["words"], "phrase": flat["phrase"], "n": flat["n_sum"]})
+
+    return added
+
+
 def _among(keys: np.ndarray, often: np.ndarray) -> np.ndarray:
     at = np.minimum(np.searchsorted(often, keys), len(often) - 1)
     return often[at] == keys
 
 
-def _counted(b: _Batch, at: np.ndarray, m: int) -> Iterator[pa.RecordBatch]:
+def _counted(b: _Batch, at: np.ndarray, m: int) -> pa.Table:
     text = strings(*gathered(b.data, b.starts[at], b.ends[at + m - 1] - b.starts[at]))
-    table = pa.table({"code": pa.array(b.code[at]), "phrase": text, "n": pa.array(b.times[at], pa.int64())})
-    for found in table.group_by(["code", "phrase"]).aggregate([("n", "sum")]).to_batches():
-        code, phrase, n = (found.column(found.schema.get_field_index(c)) for c in ("code", "phrase", "n_sum"))
-        yield pa.RecordBatch.from_arrays([b.langs.take(code), pa.array([m] * len(code), pa.int32()), phrase.cast(pa.string()), n], names=["lang", "words", "phrase", "n"])
+    table = pa.table({"code": pa.array(b.code[at], pa.int64()), "phrase": text, "n": pa.array(b.times[at], pa.int64())})
+    found = table.group_by(["code", "phrase"]).aggregate([("n", "sum")])
+    return pa.table({"code": found["code"], "words": pa.array(np.full(len(found), m), pa.int32()), "phrase": found["phrase"], "n": found["n_sum"]})
 
 
 def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", longest: int = LONGEST, least: int = LEAST, trigger: int = TRIGGER) -> DataFrame:
@@ -275,8 +298,8 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
     back = sent.groupBy("bucket").applyInArrow(_answer(least), "batch long, often binary").groupBy("batch").agg(F.collect_list("often").alias("often"))
     # a batch has at most as many hashes as its own words and pairs
     met = batches.join(back.hint("merge"), "batch", "left").select(*batches.columns, "often")
-    counts = met.mapInArrow(_phrases(overlap), "lang string, words int, phrase string, n long").groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
-    out = written(counts.where((F.col("n") >= least) | (F.col("words") == 0)))
+    dealt = met.mapInArrow(_phrases(overlap, buckets), "lang string, bucket int, words array<int>, phrase array<string>, n array<long>")
+    out = written(dealt.groupBy("bucket", "lang").applyInArrow(_added(least), "lang string, words int, phrase string, n long"))
     dropped(batches)
     return out
 
