@@ -12,7 +12,7 @@ from registry_jobs.functions import patterns as P
 from registry_jobs.functions import predicates as C
 from registry_jobs.functions import quality as Q
 from registry_jobs.functions import text as T
-from registry_jobs.operators import corpus, diagnostics, events, images, ownership, sections, templates, title
+from registry_jobs.operators import corpus, diagnostics, events, images, longform, ownership, sections, templates, title
 from registry_jobs.operators import election as V
 from registry_jobs.plans import fixtures as X
 from registry_jobs.plans import jobs, oracles
@@ -247,6 +247,41 @@ _on_entries("f11_share_fraction", "share")
 _on_entries("f12_share_and_person_candidates", lambda: F.size(events.share_candidates(F.col("lines"))).alias("shares"), lambda: _joined("persons").alias("persons"))
 _on_entries("f13_parse_entries", lambda: _joined("lines").alias("lines"), "purpose", "receipt", "cause", lambda: _joined("owners").alias("owners"), "event_type", "invalid", "ownership_event")
 
+# D to F in long form: a row a line
+def _raw_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return X.reg_docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+
+
+def _long(spark: SparkSession, sf: str) -> DataFrame:
+    return written(longform.clean_lines(_raw_lines(spark, sf)))
+
+
+def _register(spark: SparkSession, sf: str) -> DataFrame:
+    return longform.segment_entries(longform.split_sections(_long(spark, sf)).where("section = 'kouku'"))
+
+
+@query
+def d01_first_line_long(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _long(spark, sf)
+    at = lambda pattern, name: longform.first_line(rows, pattern).withColumnRenamed("at", name)
+    n = rows.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    both = at("甲区", "kouku").join(at("乙区", "otsuku"), "doc_id").join(n, "doc_id")
+    return both.select("doc_id", F.col("kouku").cast("int").alias("kouku"), F.when(F.col("otsuku") < 0, F.col("n")).otherwise(F.col("otsuku")).cast("int").alias("otsuku"))
+
+
+_add("d03_split_sections_long", lambda s, d: longform.split_sections(_long(s, d)))
+
+
+@query
+def e02_label_value_long(spark: SparkSession, sf: str) -> DataFrame:
+    found = longform.split_sections(_long(spark, sf)).where("section = 'title'")
+    of = lambda label, ahead, name: longform.label_values(found, label, ahead).withColumnRenamed("value", name)
+    return of("所在", 6, "location").join(of("地番", 5, "number"), "doc_id")
+
+
+_add("f02_segment_entries_long", lambda s, d: longform.block_texts(_register(s, d)))
+_add("f03_merge_receipt_blocks_long", lambda s, d: longform.block_texts(longform.merge_receipt_blocks(_register(s, d))))
+
 # G. Ownership and the record
 def _e() -> Column:
     return F.col("entries")

@@ -470,4 +470,7 @@ SELECT be.doc AS doc_id, CASE WHEN usable OR {some} THEN mg.owner ELSE '' END AS
     o["m1_stream_extract"] = f"{NORMAL_RECORD} SELECT doc_id, owner, location, lot_number, land_area, building_area, {_LIST_TEXT.format('history')} AS history FROM rc JOIN reg_docs USING (doc_id) WHERE length({S.compact('reg_docs.text')}) >= 20"
     o["l3_source_and_tier_counts"] = f"{READINGS} SELECT source, CASE WHEN {S.STRONG} THEN 'strong' WHEN {S.USABLE} THEN 'usable' WHEN {S.PREVIEWABLE} THEN 'previewable' ELSE 'rejected' END AS tier, count(*) AS readings FROM q GROUP BY ALL"
     o["l4_event_counts"] = f"{PARSED} SELECT event_type, invalid, count(*) AS events FROM en GROUP BY ALL"
+    for name in ("d03_split_sections", "e02_label_value", "f02_segment_entries", "f03_merge_receipt_blocks"):
+        o[f"{name}_long"] = o[name]
+    o["d01_first_line_long"] = o["d01_first_line_index"]
     return o

@@ -15,8 +15,8 @@ def width(spark: SparkSession) -> int:
 def spread(df: DataFrame) -> DataFrame:
     """df as it is where it has as many files as there are cores; else its rows dealt over all cores.
 
-    A file of one row group is read by one task, however many cores wait for its rows. Large tables have more
-    files than a cluster has cores, so they aren't shuffled.
+    A file of one row group is read by one task, however many cores wait for its rows, and Spark's splits of it
+    don't tell. Large tables have more files than a cluster has cores, so they aren't shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if len(df.inputFiles()) >= cores else df.repartition(2 * cores)
@@ -37,10 +37,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one: all scratch tables lie in it."""
+    return f"{scratch_dir(spark)}/run-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all scratch tables of this application: for the end of a job, when its results are written elsewhere."""
+    _delete(spark, run_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here, and later plans know its size."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
@@ -50,6 +65,4 @@ def written(df: DataFrame) -> DataFrame:
 def dropped(*tables: DataFrame) -> None:
     """Remove the files of tables made by written() which no later plan reads."""
     for df in tables:
-        spark = df.sparkSession
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, df._scratch_path)
