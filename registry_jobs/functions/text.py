@@ -10,7 +10,6 @@ from functools import lru_cache, reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
 from registry_jobs.functions import patterns as P
 
@@ -204,22 +203,48 @@ def _compiled() -> tuple:
     return re.compile(P.NUMBER_CONTEXT), number, re.compile(py(f"(所在{P.WS}*)都山市")), [(re.compile(py(P.spaced(v))), t, n) for v, t, n in P.VOCABULARY]
 
 
+def plain_variants(variants: str) -> list[str]:
+    """The literal forms of a rule's variants without white space: sets of letters written out, letters that may lack left out."""
+    out = []
+    for one in variants.split("|"):
+        forms = [""]
+        for token in re.findall(r"\[[^\]]*\]|.\??", one.replace("_", "")):
+            choices = list(token[1:-1]) if token[0] == "[" else [""] if token.endswith("?") else [token]
+            forms = [f + c for f in forms for c in choices]
+        out += forms
+    return out
+
+
+@lru_cache(maxsize=1)
+def _guards() -> tuple:
+    """What a line must hold for number repair to change it; of each rule the sets of letters one of which a text must hold."""
+    line = re.compile(P.python_pattern(f"[§ＳSBIl|｜O=:分]|[0-9]{P.WS}+[0-9]"))
+    return line, [(*rule, [frozenset(f) for f in plain_variants(v)]) for rule, (v, _, _) in zip(_compiled()[3], P.VOCABULARY, strict=True)]
+
+
 def _count_chain(text: str) -> tuple[str, dict[str, int]]:
-    context, number, place, rules = _compiled()
+    """A rule runs only where the text has all letters of one of its forms: they are found in one pass, and a term that is put in adds its own."""
+    context, number, place, _ = _compiled()
+    touched, rules = _guards()
     counts: Counter = Counter()
-    lines = text.split("\n")
-    for k, line in enumerate(lines):
-        if context.search(line):
-            for pattern, to in number:
-                lines[k] = pattern.sub(to, lines[k])
-            counts[P.NUMBER_LABEL] += lines[k] != line
-    text = "\n".join(lines)
+    if context.search(text) and touched.search(text):
+        lines = text.split("\n")
+        for k, line in enumerate(lines):
+            if touched.search(line) and context.search(line):
+                for pattern, to in number:
+                    lines[k] = pattern.sub(to, lines[k])
+                counts[P.NUMBER_LABEL] += lines[k] != line
+        text = "\n".join(lines)
     moved = place.sub(r"\1郡山市", text)
     counts[P.PLACE_LABEL] += moved != text
     text = moved
-    for pattern, term, label in rules:
-        text, n = pattern.subn(term, text)
-        counts[label] += n
+    letters = set(text)
+    for pattern, term, label, forms in rules:
+        if any(f <= letters for f in forms):
+            text, n = pattern.subn(term, text)
+            if n:
+                counts[label] += n
+                letters.update(term)
     return text, {k: v for k, v in counts.items() if v}
 
 
@@ -230,7 +255,7 @@ def _chain_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def vocabulary_chain(text: Column) -> Column:
     """struct(text, counts): number repair, place repair and the vocabulary in order, with each label's matches."""
-    return F.pandas_udf(_chain_batches, "text string, counts map<string,int>", PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(_chain_batches, "text string, counts map<string,int>")(text)
 
 
 def add_counts(a: Column, b: Column) -> Column:
