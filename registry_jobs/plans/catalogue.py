@@ -389,7 +389,25 @@ def _grey(spark: SparkSession, sf: str, preset: str = "binary") -> DataFrame:
 
 _add("k1_tone_map", lambda s, d: _grey(s, d, "light"))
 _add("k2_otsu_threshold", lambda s, d: images.otsu_threshold(_grey(s, d)))
-_add("k3_binarize_despeckle", lambda s, d: images.binarize_despeckle(_grey(s, d), images.otsu_threshold(_grey(s, d))))
+
+
+@query
+def k3_binarize_despeckle(spark: SparkSession, sf: str) -> DataFrame:
+    grey = written(_grey(spark, sf))
+    return images.binarize_despeckle(grey, images.otsu_threshold(grey))
+
+
+@query
+def k_clean_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Each picture as an RGB row, cleaned by tiles of 4 x 4, uncropped: the pixels are those of k3."""
+    order = F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "r", "g", "b"))), lambda p: F.concat(*[F.lpad(F.hex(p[c]), 2, "0") for c in "rgb"]))
+    whole = X.pixels(spark, sf).groupBy("image_id").agg(F.unhex(F.array_join(order, "")).alias("rgb")).withColumns({"width": F.lit(8), "height": F.lit(8)})
+    pages = images.clean_pages(whole, "binary", pad=1000, side=4)
+    at = F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)
+    px = pages.select(F.col("image_id").cast("long").alias("image_id"), F.posexplode(F.transform(at, lambda i: F.conv(F.hex(F.substring("gray", i + 1, F.lit(1))), 16, 10).cast("int"))).alias("p", "value"), "width")
+    return px.select("image_id", F.floor(F.col("p") / F.col("width")).cast("int").alias("y"), (F.col("p") % F.col("width")).alias("x"), "value")
+
+
 _add("k4_auto_crop", lambda s, d: images.auto_crop(_grey(s, d), pad=1))
 
 

@@ -473,4 +473,5 @@ SELECT be.doc AS doc_id, CASE WHEN usable OR {some} THEN mg.owner ELSE '' END AS
     for name in ("d03_split_sections", "e02_label_value", "f02_segment_entries", "f03_merge_receipt_blocks"):
         o[f"{name}_long"] = o[name]
     o["d01_first_line_long"] = o["d01_first_line_index"]
+    o["k_clean_pages"] = o["k3_binarize_despeckle"]
     return o
