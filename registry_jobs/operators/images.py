@@ -267,8 +267,8 @@ def clean_tiles(tiles: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_otsu(np.array(c)) for c in batch.column(1).to_pylist()], pa.int32())], names=["image_id", "threshold"])
 
-    thresholds = whole.mapInArrow(found, "image_id string, threshold int")
-    return tiles.drop("counts").join(thresholds, "image_id").mapInArrow(_cleaned, CLEAN_TILES)
+    thresholds = whole.mapInArrow(found, "image_id string, threshold int").withColumnRenamed("image_id", "of")
+    return tiles.drop("counts").join(thresholds, F.col("image_id").eqNullSafe(F.col("of"))).drop("of").mapInArrow(_cleaned, CLEAN_TILES)
 
 
 def _joined(pad: int):

@@ -209,7 +209,8 @@ def extract_normalized(df: DataFrame, text: str = "text") -> DataFrame:
 
 def extract_fields(df: DataFrame, text: str = "text") -> DataFrame:
     """df (doc_id, text, ...) with `fields`: the record of each text. Null text gives the empty record."""
-    return extract_normalized(df.withColumn("__raw", normalize_text(F.coalesce(F.col(text), F.lit("")))), "__raw").drop("__raw")
+    kept = df.select(F.struct("*").alias("row"), normalize_text(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    return extract_normalized(kept).select(*[F.col("row")[c].alias(c) for c in df.columns if c != "fields"], "fields")
 
 
 def replay_rows(entries: DataFrame, builder: str = P.BUILDER) -> DataFrame:

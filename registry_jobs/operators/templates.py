@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from registry_jobs.functions.text import js_trim
+
 KEYS = ("propertyName", "location", "lotNumber", "landArea", "buildingArea", "usage", "owner")
 
 # The three templates.
@@ -58,3 +60,17 @@ def apply_templates(records: DataFrame, templates: DataFrame) -> DataFrame:
     values = F.create_map(*[x for k in KEYS for x in (F.lit(k), F.coalesce(F.col(k), F.lit("")))])
     out = records.select("doc_id", values.alias("v"), F.explode(array).alias("t"))
     return out.select("doc_id", "t.template", fill(F.col("t.subject"), F.col("v")).alias("subject"), fill(F.col("t.body"), F.col("v")).alias("body"))
+
+
+def coverage(records: DataFrame, templates: DataFrame) -> DataFrame:
+    """(template, label, places, records, complete): of each template of the catalogue the words it asks for, and how many records have them all."""
+    places = F.array_distinct(F.regexp_extract_all(F.concat("subject", "body"), F.lit(r"\{\{([0-9A-Za-z_]+)\}\}"), F.lit(1)))
+    rows = templates.select("template", "label", places.alias("places")).limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("more than 1000 templates")
+    has = F.filter(F.array(*[F.when(js_trim(F.coalesce(F.col(k), F.lit(""))) != "", F.lit(k)) for k in KEYS]), lambda k: k.isNotNull())
+    array = F.array(*[F.struct(F.lit(r["template"]).alias("template"), F.lit(r["label"]).alias("label"), F.array(*[F.lit(p) for p in r["places"]]).alias("places")) for r in rows])
+    each = records.select(has.alias("has"), F.explode(array).alias("t"))
+    lacks = F.size(F.array_except("t.places", "has"))
+    out = each.groupBy("t.template", "t.label", F.size("t.places").cast("long").alias("places")).agg(F.count(F.lit(1)).alias("records"), F.count(F.when(lacks == 0, 1)).alias("complete"))
+    return out.select("template", "label", "places", "records", "complete")

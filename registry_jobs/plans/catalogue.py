@@ -17,7 +17,7 @@ from registry_jobs.operators import election as V
 from registry_jobs.plans import fixtures as X
 from registry_jobs.plans import jobs, oracles
 from registry_jobs.sources import exports as E
-from registry_jobs.sources.tables import scratch_dir, written
+from registry_jobs.sources.tables import run_dir, written
 from registry_jobs.streaming.arrivals import settled, stream_assemble, stream_corrections, stream_elect, stream_extract
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +99,43 @@ _on_docs("a03_enough_text", enough=E.has_enough_text)
 _add("a04_split_rejects", lambda s, d: X.submissions(s, d).select("doc_id", E.reject_reason(F.col("content_type"), F.col("text")).alias("reason")))
 
 
+@query
+def a01_read_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents landed as text files, one each, and read back: id and characters."""
+    base = f"{run_dir(spark)}/texts-{uuid.uuid4().hex}"
+    small = _docs(spark, sf).where("length(text) > 0")
+    small.select("doc_id", F.col("text").alias("value")).repartition("doc_id").sortWithinPartitions("doc_id").write.partitionBy("doc_id").text(base)
+    found = E.read_texts(spark, base).withColumn("text", F.regexp_replace("text", "\n\\z", ""))
+    return found.select(F.regexp_extract("file", "doc_id=([0-9]+)", 1).cast("long").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
+
+
+@query
+def a04_reject_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """Submissions landed as JSON lines, every ninth cut off, read back with the reason of each reject."""
+    base = f"{run_dir(spark)}/submissions-{uuid.uuid4().hex}"
+    whole = F.to_json(F.struct("doc_id", "content_type", "text", "body"))
+    cut = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit('{"doc_id": '), F.col("doc_id").cast("string"), F.lit(', "content'))).otherwise(whole)
+    X.submissions(spark, sf).select(cut.alias("value")).write.text(base)
+    rows = E.judged(E.read_submissions(spark, base)).where("reason is not null")
+    return rows.select(F.coalesce("doc_id", F.regexp_extract("broken", "[0-9]+", 0).cast("long")).alias("doc_id"), "reason")
+
+
+@query
+def a04_observed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows accepted, and rejected for each reason, counted while the accepted ones are written."""
+    counts = E.write_accepted(X.submissions(spark, sf), f"{run_dir(spark)}/accepted-{uuid.uuid4().hex}")
+    return spark.createDataFrame(sorted(counts.items()), "outcome string, n long")
+
+
+@query
+def a08_export_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """A CSV file for each record, read back whole."""
+    base = f"{run_dir(spark)}/reports-{uuid.uuid4().hex}"
+    E.export_documents(_records(spark, sf), base)
+    back = spark.read.text(base, wholetext=True)
+    return back.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace("value", "\n\\z", "").alias("csv_text"))
+
+
 @query
 def a05_parse_submissions(spark: SparkSession, sf: str) -> DataFrame:
     f = E.parse_submissions(X.submissions(spark, sf).drop("text"))
@@ -372,6 +409,15 @@ _quality("i3_read_meta", lambda: diagnostics.read_meta(V.source_label(F.col("sou
 
 
 # J. Templates
+@query
+def j2_template_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    named = {"propertyName": "owner", "lotNumber": "number", "landArea": "area"}
+    r = X.records(spark, sf)
+    filled = r.select(*[F.lit("x").alias(k) if k == "usage" else F.col(named.get(k, k)).alias(k) for k in templates.KEYS])
+    return templates.coverage(filled, templates.template_catalogue(spark))
+
+
+
 @query
 def j1_apply_templates(spark: SparkSession, sf: str) -> DataFrame:
     c = X.table(spark, sf, "customer")
@@ -445,7 +491,7 @@ def w3_corpus_report(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def m1_stream_extract(spark: SparkSession, sf: str) -> DataFrame:
     """Certificates landed as files, extracted by the stream and read back."""
-    landed, base = written(X.reg_docs(spark, sf)), f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    landed, base = written(X.reg_docs(spark, sf)), f"{run_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream_extract(spark, landed._scratch_path, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/out").select("doc_id", *[F.col(f"fields.{n}") for n in V.TEXT_FIELDS], _joined("fields.history").alias("history"))
 
@@ -453,7 +499,7 @@ def m1_stream_extract(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def m1_stream_elect(spark: SparkSession, sf: str) -> DataFrame:
     """All readings, landed in shuffled order as files of several batches, and what the stream holds after the last."""
-    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{run_dir(spark)}/stream-{uuid.uuid4().hex}"
     X.reg_docs_noisy(spark, sf).select("doc_id", "source", "raw_text").repartition(4, F.xxhash64("source", "doc_id")).write.parquet(f"{base}/in")
     stream_elect(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", files_per_batch=2).awaitTermination()
     return _whole(settled(spark, f"{base}/out"))
@@ -462,7 +508,7 @@ def m1_stream_elect(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def m1_stream_assemble(spark: SparkSession, sf: str) -> DataFrame:
     """All pages, landed in shuffled order as files of several batches, and the texts that the stream holds after the last."""
-    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{run_dir(spark)}/stream-{uuid.uuid4().hex}"
     X.reg_pages(spark, sf).select("doc_id", "page_no", "source", "page_text").repartition(6, F.xxhash64("source", "doc_id", "page_no")).write.parquet(f"{base}/in")
     stream_assemble(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", files_per_batch=2).awaitTermination()
     return settled(spark, f"{base}/out")
@@ -471,7 +517,7 @@ def m1_stream_assemble(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def m1_stream_corrections(spark: SparkSession, sf: str) -> DataFrame:
     """Corrections by label, summed over what each batch of the stream left: documents by sketch, so without the exact count."""
-    base = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{run_dir(spark)}/stream-{uuid.uuid4().hex}"
     X.reg_docs_noisy(spark, sf).select("doc_id", F.col("raw_text").alias("text")).repartition(4, F.xxhash64("doc_id", "text")).write.parquet(f"{base}/in")
     stream_corrections(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", files_per_batch=2).awaitTermination()
     return corpus.merged_corrections(spark.read.parquet(f"{base}/out")).select("label", "corrections")

@@ -474,4 +474,13 @@ SELECT be.doc AS doc_id, CASE WHEN usable OR {some} THEN mg.owner ELSE '' END AS
         o[f"{name}_long"] = o[name]
     o["d01_first_line_long"] = o["d01_first_line_index"]
     o["k_clean_pages"] = o["k3_binarize_despeckle"]
+    named = {"propertyName": "owner", "lotNumber": "number", "landArea": "area", "buildingArea": '"buildingArea"'}
+    uses = [(n, lab, sorted({k for k in ("propertyName", "location", "lotNumber", "landArea", "buildingArea", "usage", "owner") if "{{" + k + "}}" in subject + body})) for n, lab, subject, body in TEMPLATES]
+    has_all = lambda ks: " AND ".join(f"{S.trim(f'coalesce({named.get(k, k)}, {chr(39)}{chr(39)})')} <> ''" for k in ks if k != "usage")
+    o["j2_template_catalogue"] = f"WITH {X.RECORDS_SQL} " + " UNION ALL ".join(f"SELECT '{n}' AS template, '{lab}' AS label, CAST({len(ks)} AS BIGINT) AS places, count(*) AS records, count(*) FILTER (WHERE {has_all(ks)}) AS complete FROM records" for n, lab, ks in uses)
+    o["a01_read_texts"] = "SELECT doc_id, length(text) AS n_chars, sha256(text) AS sha256 FROM documents WHERE length(text) > 0"
+    o["a08_export_documents"] = o["a08_csv_text"]
+    split = o["a04_split_rejects"]
+    o["a04_reject_reasons"] = f"SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '{E.BROKEN}' ELSE reason END AS reason FROM ({split}) WHERE doc_id % 9 = 0 OR reason IS NOT NULL"
+    o["a04_observed_counts"] = f"SELECT coalesce(reason, 'accepted') AS outcome, count(*) AS n FROM ({split}) GROUP BY 1"
     return o

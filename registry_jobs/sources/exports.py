@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from registry_jobs.functions import patterns as P
@@ -26,6 +26,24 @@ def read_pages(spark: SparkSession, path: str, kind: str = "parquet") -> DataFra
     return found.select("doc_id", F.col("page_no").cast("int").alias("page_no"), *[F.col(c) if c in found.columns else F.lit(None).cast("string").alias(c) for c in ("source", "page_text")])
 
 
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text, doc_id): each text file under a folder as one text, whatever its line ends; doc_id from the digits at the
+    end of its name, null without any. A file is one row, so pages of one document stay together."""
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    name = F.col("_metadata.file_path")
+    digits = F.regexp_extract(name, r"([0-9]{1,18})[^0-9/]*\z", 1)
+    return files.select(name.alias("file"), F.col("value").alias("text"), F.when(digits != "", digits).cast("long").alias("doc_id"))
+
+
+BROKEN = "JSONとして読み取れません。"
+SUBMISSION = "doc_id long, content_type string, text string, body string"
+
+
+def read_submissions(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, content_type, text, body, broken) from JSON lines: a line that is no record keeps its own text in `broken`, other columns null."""
+    return spark.read.schema(f"{SUBMISSION}, broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").json(path)
+
+
 def has_enough_text(text: Column) -> Column:
     return F.length(compact(F.coalesce(text, F.lit("")))) >= 20
 
@@ -43,21 +61,45 @@ def reject_reason(content_type: Column, text: Column) -> Column:
     )
 
 
+def judged(df: DataFrame) -> DataFrame:
+    """df (content_type, text, ..., perhaps broken) with `reason`, null where a row is accepted; a record that couldn't be parsed is rejected as that."""
+    reason = reject_reason(F.coalesce("content_type", F.lit("")), F.col("text"))
+    return df.withColumn("reason", F.when(F.col("broken").isNotNull(), BROKEN).otherwise(reason) if "broken" in df.columns else reason)
+
+
 def split_rejects(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected with reason) from (content_type, text, ...)."""
-    judged = df.withColumn("reason", reject_reason(F.coalesce("content_type", F.lit("")), F.col("text")))
-    return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
+    rows = judged(df)
+    return rows.where("reason is null").drop("reason"), rows.where("reason is not null")
+
+
+REASONS = (TOO_LITTLE_JSON, TOO_LITTLE_FILE, NO_FILE, BAD_TYPE, BROKEN)
+
+
+def write_accepted(df: DataFrame, accepted_path: str, rejected_path: str | None = None) -> dict[str, int]:
+    """Write the accepted rows and return how many rows were accepted and rejected for each reason, counted while they pass: one reading of df.
+
+    With rejected_path all rows are written once, dealt by `accepted` into folders of one table there instead, so that
+    rejects are kept as well; accepted_path is then the folder `accepted=true` of it.
+    """
+    seen = Observation()
+    counts = [F.count(F.when(F.col("reason").isNull(), 1)).alias("accepted"), *[F.count(F.when(F.col("reason") == r, 1)).alias(r) for r in REASONS]]
+    rows = judged(df).observe(seen, *counts)
+    if rejected_path is None:
+        rows.where("reason is null").drop("reason").write.mode("overwrite").parquet(accepted_path)
+    else:
+        rows.withColumn("accepted", F.col("reason").isNull()).write.mode("overwrite").partitionBy("accepted").parquet(rejected_path)
+    return {k: v for k, v in seen.get.items() if v}
 
 
 def parse_submissions(df: DataFrame) -> DataFrame:
     """df with raw_text, format and fields from JSON `body`; what is missing is empty, a history that is no list has no items."""
-    out = df.withColumn("__p", F.from_json("body", PAYLOAD))
-    history = F.filter(F.from_json("__p.fields.ownersHistory", "array<string>"), lambda x: x != "")
+    out = df.select(F.struct("*").alias("row"), F.from_json("body", PAYLOAD).alias("p"))  # no name of df's own can clash
+    history = F.filter(F.from_json("p.fields.ownersHistory", "array<string>"), lambda x: x != "")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    fields = [text(f"__p.fields.{n}").alias(n) for n in FIELDS]
-    return out.withColumns(
-        {"raw_text": text("__p.rawText"), "format": text("__p.format"), "fields": F.struct(*fields, F.coalesce(history, F.array().cast("array<string>")).alias("ownersHistory"))}
-    ).drop("__p")
+    fields = F.struct(*[text(f"p.fields.{n}").alias(n) for n in FIELDS], F.coalesce(history, F.array().cast("array<string>")).alias("ownersHistory"))
+    made = {"raw_text": text("p.rawText"), "format": text("p.format"), "fields": fields}
+    return out.select(*[F.col("row")[c].alias(c) for c in df.columns if c not in made], *[c.alias(n) for n, c in made.items()])
 
 
 def normalize_fields(df: DataFrame) -> DataFrame:
@@ -94,6 +136,25 @@ def write_csv_reports(df: DataFrame, path: str) -> None:
     csv_report(df).select("doc_id", "row_no", "item", "value").write.csv(path, quoteAll=True, escape='"', header=False)
 
 
+def export_documents(df: DataFrame, path: str) -> None:
+    """A CSV report for each record in a folder of its own, doc_id=N, with the byte-order mark: the text of csv_text().
+
+    Folders of documents that aren't in df stay as they are, so that a changed document is exported again alone.
+    Rows are dealt by doc_id first: a document is one file, and a task has few files open at once.
+    """
+    texts = csv_text(df).select("doc_id", F.col("csv_text").alias("value"))
+    dealt = texts.repartition("doc_id").sortWithinPartitions("doc_id")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("lineSep", "\n").partitionBy("doc_id").text(path)
+
+
+def export_workbooks(df: DataFrame, path: str) -> None:
+    """Both sheets of each record as tables under doc_id=N/sheet=..., exported again alone like export_documents()."""
+    summary, history = workbook_tables(df)
+    sheets = summary.withColumn("sheet", F.lit("概要")).unionByName(history.withColumns({"item": F.lit(None).cast("string"), "sheet": F.lit("履歴")}))
+    dealt = sheets.repartition("doc_id").sortWithinPartitions("doc_id", "sheet", "row_no")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_id", "sheet").parquet(path)
+
+
 def workbook_tables(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The sheets 概要 (item, value) and 履歴 (one row an item) of each record, with row numbers."""
     head = F.array(F.struct(F.lit("項目").alias("item"), F.lit("値").alias("value")), *summary_items())
