@@ -228,7 +228,7 @@ def _cut(contrast: float, brightness: float, side: int):
                         th, tw = part.shape[0] - 2, part.shape[1] - 2
                         counts = np.bincount(part[1:-1, 1:-1].ravel(), minlength=256)
                         ints = [pa.array([x], pa.int32()) for x in (w, h, top, left, th, tw)]
-                        yield pa.RecordBatch.from_arrays([pa.array([i]), *ints, pa.array([part.tobytes()], pa.binary()), pa.array([counts], pa.list_(pa.int64()))], names=[c.split()[0] for c in TILES.split(", ")])
+                        yield pa.RecordBatch.from_arrays([pa.array([i], pa.string()), *ints, pa.array([part.tobytes()], pa.binary()), pa.array([counts], pa.list_(pa.int64()))], names=[c.split()[0] for c in TILES.split(", ")])
 
     return cut
 
@@ -252,7 +252,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inner = (y > 0) & (x > 0) & (y < row["height"] - 1) & (x < row["width"] - 1)
             out = np.where((own == 0) & inner & (near <= 1), 255, own).astype(np.uint8)
             ints = [pa.array([row[c]], pa.int32()) for c in ("width", "height", "top", "left", "tile_height", "tile_width")]
-            yield pa.RecordBatch.from_arrays([pa.array([row["image_id"]]), *ints, pa.array([out.tobytes()], pa.binary())], names=[c.split()[0] for c in CLEAN_TILES.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array([row["image_id"]], pa.string()), *ints, pa.array([out.tobytes()], pa.binary())], names=[c.split()[0] for c in CLEAN_TILES.split(", ")])
 
 
 CLEAN_TILES = "image_id string, width int, height int, top int, left int, tile_height int, tile_width int, gray binary"
@@ -278,7 +278,7 @@ def _joined(pad: int):
         for r in rows:
             page[r["top"] : r["top"] + r["tile_height"], r["left"] : r["left"] + r["tile_width"]] = np.frombuffer(r["gray"], np.uint8).reshape(r["tile_height"], r["tile_width"])
         page = _crop(page, pad)
-        return pa.table({"image_id": [rows[0]["image_id"]], "width": pa.array([page.shape[1]], pa.int32()), "height": pa.array([page.shape[0]], pa.int32()), "gray": pa.array([page.tobytes()], pa.binary())})
+        return pa.table({"image_id": pa.array([rows[0]["image_id"]], pa.string()), "width": pa.array([page.shape[1]], pa.int32()), "height": pa.array([page.shape[0]], pa.int32()), "gray": pa.array([page.tobytes()], pa.binary())})
 
     return joined
 
