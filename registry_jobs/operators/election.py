@@ -27,10 +27,10 @@ def needs_ocr(page_no: Column, page_text: Column) -> Column:
     return let(compact(F.coalesce(page_text, F.lit(""))), of)
 
 
-def route_pages(pages: DataFrame) -> DataFrame:
-    """pages (doc_id, page_no, page_text) with needs_ocr; page 1 stands in when no page of a document needs it."""
+def route_pages(pages: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """pages (keys, page_no, page_text) with needs_ocr; page 1 stands in when no page of a document needs it."""
     routed = pages.withColumn("own", needs_ocr(F.col("page_no"), F.col("page_text")))
-    some = F.max("own").over(Window.partitionBy("doc_id"))
+    some = F.max("own").over(Window.partitionBy(*keys))
     return routed.withColumn("needs_ocr", F.col("own") | (~some & (F.col("page_no") == 1))).drop("own")
 
 

@@ -12,6 +12,7 @@ from registry_jobs.functions import patterns as P
 from registry_jobs.functions import predicates as C
 from registry_jobs.functions import quality as Q
 from registry_jobs.functions import text as T
+from registry_jobs.functions.sql import register
 from registry_jobs.operators import corpus, diagnostics, events, images, longform, ownership, sections, templates, title
 from registry_jobs.operators import election as V
 from registry_jobs.plans import fixtures as X
@@ -198,6 +199,21 @@ _on_docs("b15_clip_text", text=T.clip_text)
 _add("b16_normalize_with_report", lambda s, d: _reported(s, d).select("doc_id", "source", "normal.text", _counts(F.col("normal.corrections")).alias("corrections")))
 
 
+# N. The same in SQL
+@query
+def n_column_functions(spark: SparkSession, sf: str) -> DataFrame:
+    register(spark)
+    _docs(spark, sf).createOrReplaceTempView("n_texts")
+    return spark.sql("SELECT doc_id, fold_chars(text) AS folded, join_digit_separators(text) AS joined, clean_value(text) AS cleaned, clip_text(text) AS clipped, has_enough_text(text) AS enough, has_noise_token(text) AS noise FROM n_texts")
+
+
+@query
+def n_lines_of(spark: SparkSession, sf: str) -> DataFrame:
+    register(spark)
+    X.reg_docs(spark, sf).createOrReplaceTempView("n_certificates")
+    return spark.sql("SELECT doc_id, line_no, line FROM n_certificates, LATERAL lines_of(text)")
+
+
 # C. Predicates
 @query
 def c01_is_noise_line(spark: SparkSession, sf: str) -> DataFrame:
@@ -354,7 +370,7 @@ def h1_text_quality_real(spark: SparkSession, sf: str) -> DataFrame:
 _quality("h2_is_usable", lambda: Q.is_usable(q(), F.col("source")).alias("usable"))
 _quality("h3_previewable_strong", lambda: Q.is_previewable(q()).alias("previewable"), lambda: Q.is_strong(q()).alias("strong"))
 _quality("h4_preview_score", lambda: _six(Q.preview_score(q())).alias("preview_score"))
-_add("h5_route_pages", lambda s, d: V.route_pages(X.reg_pages(s, d).where("variant_no = 0")).select("doc_id", "page_no", "needs_ocr"))
+_add("h5_route_pages", lambda s, d: V.route_pages(X.reg_pages(s, d), ("doc_id", "source")).select("doc_id", "source", "page_no", "needs_ocr"))
 _add("h6_best_variant_per_page", lambda s, d: V.best_variant_per_page(X.reg_pages(s, d)).select("doc_id", "page_no", "source"))
 _add("h7_adopted_source", lambda s, d: V.adopted_source(V.best_variant_per_page(X.reg_pages(s, d))).select("doc_id", "source", "text"))
 

@@ -152,21 +152,24 @@ REG_NOISY_SQL = _noisy_sql()
 
 
 def reg_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, page_no, variant_no, source, page_text): each turn of a conversation as a page in five variants, one of them with the whole text."""
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_no"), F.coalesce("text", F.lit("")).alias("t"))
+    """(doc_id, page_no, variant_no, source, page_text): each turn of a conversation as two pages in five variants, which break its whole text at different places."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("turn"), F.coalesce("text", F.lit("")).alias("t"))
     variants = F.array(*[F.struct(F.lit(k).alias("variant_no"), F.lit(s).alias("source")) for k, s in enumerate(P.VARIANTS)])
-    v = turns.select("doc_id", "page_no", "t", F.explode(variants).alias("v")).select("doc_id", "page_no", "v.*", "t")
-    n = F.col("doc_id") + F.col("page_no") + F.col("variant_no")
+    v = turns.select("doc_id", "turn", "t", F.explode(variants).alias("v")).select("doc_id", "turn", "v.*", "t")
+    n = F.col("doc_id") + F.col("turn") + F.col("variant_no")
     head = F.when(n % 4 == 0, "所在 地番 ").when(n % 4 == 1, "権利部 甲区 所有者 ").otherwise("")
-    size = F.get(F.array(*[F.lit(x) for x in (40, 90, 170, 230)]), F.pmod(n, F.lit(5)).cast("int"))
-    read = F.when(size.isNull(), F.col("t")).otherwise(F.substring(F.col("t"), F.lit(1), size))
-    return v.select("doc_id", "page_no", "variant_no", "source", F.concat(head, read).alias("page_text"))
+    size = F.coalesce(F.get(F.array(*[F.lit(x) for x in (40, 90, 170, 230)]), F.pmod(n, F.lit(5)).cast("int")), F.length("t"))
+    page = lambda k, text: F.struct((F.col("turn") * 2 + (k - 1)).cast("int").alias("page_no"), text.alias("page_text"))
+    pages = F.array(page(0, F.concat(head, F.substring(F.col("t"), F.lit(1), size))), page(1, F.substring(F.col("t"), size + 1, F.length("t"))))
+    return v.select("doc_id", "variant_no", "source", F.explode(pages).alias("p")).select("doc_id", "p.page_no", "variant_no", "source", "p.page_text")
 
 
+_PAGE_N = "(conv_id + turn + 1 + v.variant_no)"
+_PAGE_SIZE = f"coalesce([40, 90, 170, 230][{_PAGE_N} % 5 + 1], length(coalesce(text, '')))"
 REG_PAGES_SQL = (
-    "reg_pages AS (SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page_no, v.variant_no, v.source, "
-    "(CASE WHEN (conv_id + turn + 1 + v.variant_no) % 4 = 0 THEN '所在 地番 ' WHEN (conv_id + turn + 1 + v.variant_no) % 4 = 1 THEN '権利部 甲区 所有者 ' ELSE '' END)"
-    " || substr(coalesce(text, ''), 1, coalesce([40, 90, 170, 230][(conv_id + turn + 1 + v.variant_no) % 5 + 1], length(coalesce(text, '')))) AS page_text FROM conversations CROSS JOIN (VALUES "
+    "reg_pages AS (SELECT conv_id AS doc_id, CAST((turn + 1) * 2 + k.k - 1 AS INTEGER) AS page_no, v.variant_no, v.source, CASE WHEN k.k = 0 THEN "
+    f"(CASE WHEN {_PAGE_N} % 4 = 0 THEN '所在 地番 ' WHEN {_PAGE_N} % 4 = 1 THEN '権利部 甲区 所有者 ' ELSE '' END) || substr(coalesce(text, ''), 1, {_PAGE_SIZE}) "
+    f"ELSE substr(coalesce(text, ''), {_PAGE_SIZE} + 1) END AS page_text FROM conversations CROSS JOIN (VALUES (0), (1)) k(k) CROSS JOIN (VALUES "
     + ", ".join(f"({k}, '{s}')" for k, s in enumerate(P.VARIANTS))
     + ") v(variant_no, source))"
 )

@@ -186,9 +186,9 @@ def _route() -> str:
     own = (
         "CASE WHEN page_no = 1 THEN n < 160 OR (kw >= 1 AND n < 220) WHEN n >= 220 AND garble = 0 THEN false ELSE n < 60 OR garble >= 2 OR (kw >= 1 AND n < 180) END"
     )
-    return f"""{PAGES}, p0 AS (SELECT doc_id, page_no, {S.compact("page_text")} AS c FROM reg_pages WHERE variant_no = 0),
-p1 AS (SELECT *, length(c) AS n, {keywords} AS kw, {S.n_of("c", P.GARBLE)} AS garble FROM p0), p2 AS (SELECT doc_id, page_no, {own} AS own FROM p1)
-SELECT doc_id, page_no, own OR (NOT bool_or(own) OVER (PARTITION BY doc_id) AND page_no = 1) AS needs_ocr FROM p2"""
+    return f"""{PAGES}, p0 AS (SELECT doc_id, source, page_no, {S.compact("page_text")} AS c FROM reg_pages),
+p1 AS (SELECT *, length(c) AS n, {keywords} AS kw, {S.n_of("c", P.GARBLE)} AS garble FROM p0), p2 AS (SELECT doc_id, source, page_no, {own} AS own FROM p1)
+SELECT doc_id, source, page_no, own OR (NOT bool_or(own) OVER (PARTITION BY doc_id, source) AND page_no = 1) AS needs_ocr FROM p2"""
 
 
 _BEST = f"{PAGES}, pt AS (SELECT doc_id, page_no, variant_no, source, page_text AS text FROM reg_pages), {S.quality('pt')}, bv AS (SELECT *, {S.PREVIEW} AS ps, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY {S.PREVIEW} DESC, variant_no) AS nth FROM q), win AS (SELECT * FROM bv WHERE nth = 1)"
@@ -483,4 +483,6 @@ SELECT be.doc AS doc_id, CASE WHEN usable OR {some} THEN mg.owner ELSE '' END AS
     split = o["a04_split_rejects"]
     o["a04_reject_reasons"] = f"SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '{E.BROKEN}' ELSE reason END AS reason FROM ({split}) WHERE doc_id % 9 = 0 OR reason IS NOT NULL"
     o["a04_observed_counts"] = f"SELECT coalesce(reason, 'accepted') AS outcome, count(*) AS n FROM ({split}) GROUP BY 1"
+    o["n_column_functions"] = f"SELECT doc_id, {S.fold('text')} AS folded, {S.separators('text')} AS joined, {S.clean('text')} AS cleaned, CASE WHEN length(text) > 5000 THEN substr(text, 1, 5000) || chr(10) || '...（以下省略）' ELSE text END AS clipped, length({S.compact('text')}) >= 20 AS enough, {S.has('text', P.NOISE_TOKENS)} AS noise FROM documents"
+    o["n_lines_of"] = o["b11_lines_of"]
     return o
