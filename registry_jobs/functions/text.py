@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache, reduce
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +23,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(make: Callable) -> Callable:
+    """make() called once a Spark context. A column of many parts takes thousands of calls to the JVM, which cost seconds;
+    what is made of column names alone serves every plan of the session."""
+    held: dict = {}
+
+    def made():
+        context = SparkContext._active_spark_context
+        if held.get("context") is not context:
+            held.update(context=context, made=make())
+        return held["made"]
+
+    return made
+
+
 def js_trim(text: Column) -> Column:
     return F.regexp_replace(text, f"^{P.WS}+|{P.WS}+\\z", "")
 
@@ -189,6 +204,10 @@ def normalize_text(text: Column) -> Column:
     return label_text(normalize_ocr(text))
 
 
+#: normalize_text() of the column `text`.
+normal_of_text = once(lambda: normalize_text(F.coalesce(F.col("text"), F.lit(""))))
+
+
 @lru_cache(maxsize=1)
 def _compiled() -> tuple:
     py = P.python_pattern

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from registry_jobs.functions import patterns as P
 from registry_jobs.functions import quality as Q
 from registry_jobs.functions.predicates import looks_like_address
-from registry_jobs.functions.text import compact, let, normalize_ocr
+from registry_jobs.functions.text import compact, let, normalize_ocr, once
 
 TEXT_FIELDS = ("location", "lot_number", "land_area", "building_area", "owner")
 
@@ -54,6 +54,9 @@ def assemble_documents(pages: DataFrame, keys: tuple[str, ...] = ("doc_id",)) ->
     return pages.groupBy(*keys).agg(F.regexp_replace(F.array_join(parts, "\n"), f"^{P.WS}+|{P.WS}+\\z", "").alias("text"))
 
 
+_ocr_of_raw = once(lambda: normalize_ocr(F.col("raw_text")))
+
+
 def candidate_set(*readings: DataFrame) -> DataFrame:
     """(doc_id, source, arrival_no, raw_text, scored_text) of all readings, arrival_no by the fixed order of sources.
 
@@ -64,7 +67,7 @@ def candidate_set(*readings: DataFrame) -> DataFrame:
     for r in readings[1:]:
         both = both.unionByName(r.select("doc_id", "source", "raw_text"))
     order = F.create_map(*[F.lit(x) for k, (s, _) in enumerate(P.SOURCES) for x in (s, k)])
-    clean = normalize_ocr(F.col("raw_text"))
+    clean = _ocr_of_raw()
     ocr = F.col("source").startswith("ocr-")
     return both.select(
         "doc_id",

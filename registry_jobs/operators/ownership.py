@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from registry_jobs.functions import patterns as P
 from registry_jobs.functions.predicates import is_excluded_right, is_header, is_history_noise, is_plausible, looks_like_garbage, safe_area, safe_location, safe_number, safe_owner
-from registry_jobs.functions.text import clean_value, js_trim, let, normalize_text, unique_clean
+from registry_jobs.functions.text import clean_value, js_trim, let, normal_of_text, once, unique_clean
 from registry_jobs.operators.events import parse_entries
 from registry_jobs.operators.sections import no_lines, line_array, split_sections
 from registry_jobs.operators.title import empty, extract_building_area, extract_land_area, extract_location, extract_lot_number
@@ -178,38 +178,55 @@ def field_diagnostics(sections: Column, f: Column) -> Column:
     )
 
 
-def with_lines(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the array columns that fields and events are read from."""
-    out = df.withColumn("lines", line_array(F.col(text)))
-    out = out.withColumn("sections", split_sections(F.col("lines")))
-    return out.withColumn("entries", parse_entries(F.col("sections.kouku")))
-
-
-def extract_normalized(df: DataFrame, text: str = "text") -> DataFrame:
-    """df, text being normalised, with `fields`: the record read from it. One narrow projection after another."""
-    out = with_lines(df, text)
+def _found() -> Column:
     all_lines, sections, entries = F.col("lines"), F.col("sections"), F.col("entries")
-    out = out.withColumn("history", owner_history(entries, all_lines)).withColumn("state", replay(entries))
     fallback = F.when(F.size(valid_entries(entries)) > 0, no_lines()).otherwise(fallback_owners(all_lines, F.col("history")))
-    out = out.withColumn(
-        "found",
-        F.struct(
-            safe_location(extract_location(sections["title"])).alias("location"),
-            safe_number(extract_lot_number(sections["title"])).alias("lot_number"),
-            safe_area(extract_land_area(sections["title"], all_lines)).alias("land_area"),
-            safe_area(extract_building_area(sections["title"], all_lines)).alias("building_area"),
-            let(F.col("state.owner"), lambda o: F.when(o != "", o).otherwise(joined(F.filter(F.transform(fallback, safe_owner), lambda x: x != "")))).alias("owner"),
-            F.filter(F.col("history"), lambda x: is_plausible(x) & ~looks_like_garbage(x)).alias("history"),
-            F.col("state.diagnostics").alias("ownership_diagnostics"),
-        ),
+    return F.struct(
+        safe_location(extract_location(sections["title"])).alias("location"),
+        safe_number(extract_lot_number(sections["title"])).alias("lot_number"),
+        safe_area(extract_land_area(sections["title"], all_lines)).alias("land_area"),
+        safe_area(extract_building_area(sections["title"], all_lines)).alias("building_area"),
+        let(F.col("state.owner"), lambda o: F.when(o != "", o).otherwise(joined(F.filter(F.transform(fallback, safe_owner), lambda x: x != "")))).alias("owner"),
+        F.filter(F.col("history"), lambda x: is_plausible(x) & ~looks_like_garbage(x)).alias("history"),
+        F.col("state.diagnostics").alias("ownership_diagnostics"),
     )
-    fields = F.struct("found.*", field_diagnostics(sections, F.col("found")).alias("field_diagnostics"), F.col(text).alias("raw"))
-    return out.withColumn("fields", fields).drop("lines", "sections", "entries", "history", "state", "found")
+
+
+#: The steps of an extraction in order, each a column of the ones before.
+_LINES = once(lambda: {"lines": line_array(F.col("text")), "sections": split_sections(F.col("lines")), "entries": parse_entries(F.col("sections.kouku"))})
+_RECORD = once(
+    lambda: {
+        "history": owner_history(F.col("entries"), F.col("lines")),
+        "state": replay(F.col("entries")),
+        "found": _found(),
+        "fields": F.struct("found.*", field_diagnostics(F.col("sections"), F.col("found")).alias("field_diagnostics"), F.col("text").alias("raw")),
+    }
+)
+
+
+def with_lines(df: DataFrame) -> DataFrame:
+    """df (doc_id, text, ...) with the array columns that fields and events are read from."""
+    for name, column in _LINES().items():
+        df = df.withColumn(name, column)
+    return df
+
+
+def extract_normalized(df: DataFrame, text: str = "text") -> DataFrame:
+    """df, text being normalised, with `fields`: the record read from it. One narrow projection after another.
+
+    Columns of df with the names of the steps are set aside in one struct meanwhile.
+    """
+    steps = {**_LINES(), **_RECORD()}
+    clash = text != "text" or set(df.columns) & set(steps)
+    out = df.select(F.struct("*").alias("row"), F.col(text).alias("text")) if clash else df
+    for name, column in steps.items():
+        out = out.withColumn(name, column)
+    return out.select(*[(F.col("row")[c].alias(c) if clash else c) for c in df.columns if c != "fields"], "fields")
 
 
 def extract_fields(df: DataFrame, text: str = "text") -> DataFrame:
     """df (doc_id, text, ...) with `fields`: the record of each text. Null text gives the empty record."""
-    kept = df.select(F.struct("*").alias("row"), normalize_text(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    kept = df.select(F.struct("*").alias("row"), F.col(text).alias("text")).select("row", normal_of_text().alias("text"))
     return extract_normalized(kept).select(*[F.col("row")[c].alias(c) for c in df.columns if c != "fields"], "fields")
 
 

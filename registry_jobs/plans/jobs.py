@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from registry_jobs.functions import quality as Q
-from registry_jobs.functions.text import normalize_text, normalize_with_report
+from registry_jobs.functions.text import normal_of_text, normalize_with_report
 from registry_jobs.operators import corpus
 from registry_jobs.operators import election as V
 from registry_jobs.operators.diagnostics import field_reasons
@@ -26,7 +26,7 @@ def scored_readings(readings: DataFrame) -> DataFrame:
 
 def with_fields(candidates: DataFrame) -> DataFrame:
     """candidates with `fields`, read from their normalised text, whatever columns they have beside."""
-    kept = candidates.select(F.struct("*").alias("row"), normalize_text(F.coalesce("raw_text", F.lit(""))).alias("text"))
+    kept = candidates.select(F.struct("*").alias("row"), F.col("raw_text").alias("text")).select("row", normal_of_text().alias("text"))
     return extract_normalized(kept).select("row.*", "fields")
 
 
