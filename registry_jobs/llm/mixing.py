@@ -13,7 +13,7 @@ from decimal import Decimal, getcontext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from registry_jobs.llm.common import text_or_empty, written
+from registry_jobs.llm.common import join_counted, text_or_empty, written
 
 getcontext().prec = 60
 _PHI = (Decimal(5).sqrt() - 1) / 2
@@ -113,12 +113,12 @@ def laid_out(sizes: DataFrame, groups: int) -> DataFrame:
     order = Window.partitionBy("source", "g").orderBy("h", "doc_id", "size")
     inside = hashed.withColumn("here", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).withColumn("nth", F.row_number().over(order))
     return inside.join(before, inside["source"].eqNullSafe(before["s"]) & (inside["g"] == before["sg"])).select(
-        "doc_id", "source", "size", "g", "nth", (F.col("before") + F.col("here")).alias("start")
+        "doc_id", "source", "text_key", "size", "g", "nth", (F.col("before") + F.col("here")).alias("start")
     )
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, taken, start.
+    """One row per row of docs: doc_id, source, size, source_size, target, taken, start, text_key (a hash of the text).
 
     A null text has size 0, a null source is a source of its own, null ids are kept; a row repeated is
     a document of its own. A source without words has target 0. An empty table gives an empty result.
@@ -152,8 +152,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), id_col:
             F.first("target").alias("target"),
             F.coalesce(F.sum(F.col("words") * F.coalesce("times", F.lit(0))), F.lit(0)).cast("long").alias("taken"),
             F.first("start").alias("start"),
+            F.first("text_key").alias("text_key"),
         )
-        .select("doc_id", "source", "size", "source_size", "target", "taken", "start")
+        .select("doc_id", "source", "size", "source_size", "target", "taken", "start", "text_key")
     )
 
 
@@ -161,13 +162,23 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), id_col: str =
     """docs as the mix takes them, whole, whatever their columns' names: each row as often as words taken come nearest to, 0 to MOST times.
 
     A row with no words isn't part of any block and goes, null texts with it. A null id or source stands for
-    itself; rows repeated with id, source and size share the mean of their words taken. An empty table gives an empty one.
+    itself, and rows without ids part by their texts. Rows repeated with id, source and text share the words taken:
+    each goes as often as their mean says, rounded up or down in turn by golden-ratio points, so that together
+    they are taken as often as planned. An empty table gives an empty one.
     """
-    plan = mix_sources(docs, weights, id_col, text_col, source_col).where("size > 0").groupBy("doc_id", "source", "size").agg(F.avg("taken").alias("taken"))
-    plan = plan.select("doc_id", "source", "size", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times")).where("times > 0").alias("plan")
+    key = [
+        F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("of"), "text_key", "size",
+    ]
+    names = ["no_id", "id", "no_source", "of", "text_key", "size"]
+    plan = mix_sources(docs, weights, id_col, text_col, source_col).where("size > 0").select(*key, "taken")
+    plan = plan.groupBy(*names).agg(F.avg("taken").alias("taken"), F.count(F.lit(1)).alias("times")).where("taken > 0")
+    at = F.monotonically_increasing_id()
+    text = text_or_empty(text_col)
     rows = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_or_empty(text_col)).alias("size")
-    ).alias("rows")
-    same = [F.col(f"rows.{c}").eqNullSafe(F.col(f"plan.{c}")) for c in ("doc_id", "source", "size")]
-    out = rows.join(plan.hint("merge"), same[0] & same[1] & same[2]).select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return out.select("row.*")
+        F.struct(*docs.columns).alias("row"), (F.pmod(at, F.lit(1 << 33)) + F.shiftright(at, 33) * 7919).alias("at"),
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text).alias("text_key"), word_count(text).alias("size"),
+    )
+    met = join_counted(rows.select("row", golden(F.col("at")).alias("turn"), *key), plan, names, docs.count())
+    often = F.floor(F.col("taken") / F.col("size") + F.when(F.col("times") == 1, F.lit(0.5)).otherwise(F.col("turn"))).cast("int")
+    out = met.select("row", F.least(often, F.lit(MOST)).alias("often")).where("often > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("often")))).select("row.*")
