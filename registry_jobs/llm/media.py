@@ -186,7 +186,7 @@ def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_tiles and tiles_sha256 are of the NPY tiles that media_tiles() cuts from the same picture as BMP, and
     tile_hashes_sha256 of the difference hashes of these tiles, read back.
 
-    A null text is empty (one row of spaces). Null ids and repeated rows pass through; other columns
+    A null text is empty (one row of spaces). Null ids and repeated rows pass through; an empty table gives an empty result; other columns
     are not read; equal texts give equal values. Rows never meet: no shuffle.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

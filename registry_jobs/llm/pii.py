@@ -298,8 +298,8 @@ def find_personal_data(docs: DataFrame, model: Field, id_col: str = "doc_id", te
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added: one row per row of docs.
 
     Counts and the digest are of base spans; spans has these and the added ones. A null text is empty.
-    Null ids and repeated rows pass through; other columns are not read. Rows never meet: no shuffle.
-    Equal tokens link to their last occurrence only, so a long document's graph stays linear in it.
+    Null ids and repeated rows pass through; an empty table gives an empty result; other columns are not read.
+    Rows never meet: no shuffle. A text of any length is read whole. Equal tokens link to their last occurrence only, so a long document's graph stays linear in it.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
