@@ -488,7 +488,7 @@ _add("l3_source_and_tier_counts", lambda s, d: corpus.source_and_tier_counts(_sc
 _add("l4_event_counts", lambda s, d: corpus.event_counts(events.entry_rows(_parsed(s, d))))
 
 # Workloads
-_add("w1_text_to_record", lambda s, d: jobs.text_to_record(X.reg_docs(s, d)).select("doc_id", "fields.owner", "fields.location", "fields.lot_number", "fields.land_area"))
+_add("w1_text_to_record", lambda s, d: jobs.text_to_record(X.reg_docs(s, d)).select("doc_id", *[F.col(f"fields.{n}") for n in V.TEXT_FIELDS], _joined("fields.history").alias("history")))
 def _whole(records: DataFrame) -> DataFrame:
     return records.select("doc_id", *[F.col(f"fields.{n}") for n in V.TEXT_FIELDS], _joined("fields.history").alias("history"), "raw", "accepted", "warning", _joined("reasons").alias("reasons"))
 

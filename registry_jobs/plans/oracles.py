@@ -466,7 +466,7 @@ SELECT be.doc AS doc_id, CASE WHEN usable OR {some} THEN mg.owner ELSE '' END AS
     o["l2_fill_rates"] = f"{RECORD}, fr AS (" + " UNION ALL ".join(f"SELECT '{n}' AS field, {n} AS v FROM rc" for n in FIELDS) + ") SELECT field, count(*) FILTER (WHERE v <> '') AS detected, count(*) FILTER (WHERE v = '') AS missing FROM fr GROUP BY field"
     filled = " + ".join(f"CAST({n} <> '' AS INTEGER)" for n in FIELDS) + " + CAST(len(history) > 0 AS INTEGER)"
     o["l2_completeness_counts"] = f"{RECORD} SELECT {filled} AS completeness, count(*) AS documents FROM rc GROUP BY ALL"
-    o["w1_text_to_record"] = f"{NORMAL_RECORD} SELECT doc_id, owner, location, lot_number, land_area FROM rc"
+    o["w1_text_to_record"] = f"{NORMAL_RECORD} SELECT doc_id, {', '.join(FIELDS)}, {_LIST_TEXT.format('history')} AS history FROM rc"
     o["m1_stream_extract"] = f"{NORMAL_RECORD} SELECT doc_id, owner, location, lot_number, land_area, building_area, {_LIST_TEXT.format('history')} AS history FROM rc JOIN reg_docs USING (doc_id) WHERE length({S.compact('reg_docs.text')}) >= 20"
     o["l3_source_and_tier_counts"] = f"{READINGS} SELECT source, CASE WHEN {S.STRONG} THEN 'strong' WHEN {S.USABLE} THEN 'usable' WHEN {S.PREVIEWABLE} THEN 'previewable' ELSE 'rejected' END AS tier, count(*) AS readings FROM q GROUP BY ALL"
     o["l4_event_counts"] = f"{PARSED} SELECT event_type, invalid, count(*) AS events FROM en GROUP BY ALL"
