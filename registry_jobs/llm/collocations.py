@@ -188,14 +188,17 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _send(overlap: int, buckets: int, least: int):
-    """Hashes of a batch's words and pairs with counts, at most `least`, dealt to buckets."""
+    """Hashes of a batch's words and pairs with counts, at most `least`, dealt to buckets.
+
+    Those of closing windows, counted elsewhere, are asked for with 0: phrases that begin before the window end in it.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 b = _unpacked(batch, k, overlap)
-                pair = b.counted & b.open
-                keys, n = summed(np.concatenate([b.words[b.counted], b.pairs[pair]]), np.concatenate([b.times[b.counted], b.times[pair]]))
+                times = np.where(b.counted, b.times, 0)
+                keys, n = summed(np.concatenate([b.words, b.pairs[b.open]]), np.concatenate([times, times[b.open]]))
                 n = np.minimum(n, least).astype("<u4")
                 to = (keys % _U(buckets)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
@@ -254,8 +257,10 @@ def _phrases(overlap: int, buckets: int):
 def _dealt(langs: pa.Array, found: pa.Table, buckets: int) -> pa.RecordBatch:
     phrase, code = found["phrase"].chunk(0), found["code"].to_numpy()
     offsets = np.frombuffer(phrase.buffers()[1], np.int64, len(phrase) + 1 + phrase.offset)[phrase.offset :]
-    data = np.frombuffer(phrase.buffers()[2], np.uint8) if phrase.buffers()[2] is not None else np.zeros(0, np.uint8)
-    to = (span_hashes(data, np.minimum(offsets[:-1], max(len(data) - 1, 0)), offsets[1:]) % _U(buckets)).astype(np.int64) if len(data) else np.zeros(len(phrase), np.int64)
+    data = phrase.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+    # the empty phrase begins on a byte of the data, and goes to one bucket whether a batch has other phrases or not
+    to = (span_hashes(data, np.minimum(offsets[:-1], len(data) - 1), np.maximum(offsets[1:], np.minimum(offsets[:-1], len(data) - 1))) % _U(buckets)).astype(np.int64)
     order = np.lexsort((to, code))
     code, to, found = code[order], to[order], found.take(pa.array(order))
     at = np.flatnonzero(np.concatenate(([True], (code[1:] != code[:-1]) | (to[1:] != to[:-1]))))

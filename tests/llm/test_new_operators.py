@@ -122,6 +122,21 @@ def test_collocations_equal_a_count_of_all_phrases(spark, trigger):
     assert rows_of(got) == collocate(rows, 20, 30)
 
 
+def test_collocations_over_several_batches(spark):
+    """Each word in one chunk only, so that a phrase may end in a window which another batch counts; and a batch without any frequent word."""
+    r = random.Random(3)
+    text = " ".join(f"w{k}" for k in range(400))
+    rows = [(k, text, "en") for k in range(30)] + [(100 + k, " ".join(f"x{r.random()}" for _ in range(60)), ("en", "rare")[k % 2]) for k in range(4)]
+    rows += [(200 + k, "lone pair", "few") for k in range(25)] + [(300, "once", "few")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = rows_of(collocations.collocations(docs_frame(spark, rows), least=20, best=10**6, trigger=7))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = collocate(rows, 20, 10**6)
+    assert len(want) > 390 and got == want
+
+
 def test_chunks_hold_each_phrase_once(spark):
     """Of each text the chunks' counted starts are its words, whatever the trigger."""
     rows = odd_texts()[:150]
