@@ -2,12 +2,15 @@
 
 import random
 import re
+from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from registry_jobs.functions import patterns as P
 from registry_jobs.functions import predicates as C
+from registry_jobs.functions import quality as Q
 from registry_jobs.functions import text as T
 
 # What each vocabulary rule must make of a text, written down by hand: before, after.
@@ -65,6 +68,56 @@ def test_guards_change_nothing(spark):
         assert {(x.t, x.x) for x in df.select("t", apply(F.col("t")).alias("x")).collect()} == {(t, plain(t, rules)) for t in texts}
 
 
+def test_units_of_lines_change_nothing(spark):
+    """The normaliser works on units of lines and keeps what it made of them: as the column functions make the whole texts."""
+    r = random.Random(5)
+    words = [re.sub(r"[\[(].*", "", one) for v, _, *_ in (*P.VOCABULARY, *P.LABEL_RULES) for one in v.split("|")]
+    odd = ["", " ", "\u3000", "\r", "|", "｜", "12", "３", "=", ":", "5)", ")", "第1 2号", "地番 S5O", "都山市", "所在", "所", "在", "m²", "ABCD efgh", "\u2028", "表題部(x)", "表題部 (a", "b)", "原", "因", "持", "分", "1 2分 の 3", "順", "位"]
+    texts = ["", " ", "\n", "所\n在", "1\n=\n2", "受信\n年月日", "所奉\n都山市\n所在\n都山市"]
+    for _ in range(2500):
+        parts = [r.choice(words).replace("_", r.choice(["", " ", "\n", "　"])) if r.random() < 0.5 else r.choice(odd) for _ in range(r.randrange(1, 14))]
+        texts.append("".join(x + r.choice(["", " ", "\n", "\n", "\n\n", "\n \n"]) for x in parts))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    ocr = T.finish_text(T.chain_text(T.despace_lines(T.chain_text(T.front(F.col("t"))))))
+    # made whole texts: the counts by the helper that the SQL function is
+    first = T.vocabulary_chain(T.front(F.col("t")))
+    plain = df.select("t", ocr.alias("o")).select("t", "o", T.label_text(F.col("o")).alias("n"))
+    counted = df.select("t", first.alias("a")).select("t", "a", T.vocabulary_chain(T.despace_lines(F.col("a.text"))).alias("b"))
+    want = {x.t: (x.o, x.n) for x in plain.collect()}
+    counts = {x.t: Counter(x.a.counts) + Counter(x.b.counts) for x in counted.collect()}
+    got = df.select("t", T.normalize_ocr(F.col("t")).alias("o"), T.normalize_text(F.col("t")).alias("n"), T.normalize_with_report(F.col("t")).alias("r")).collect()
+    assert [x.t for x in got if (x.o, x.n) != want[x.t] or x.r.text != x.o] == []
+    assert [x.t for x in got if Counter(x.r.corrections) != counts[x.t]] == []
+    assert sum(len(T._unit_end().split(t)) for t in texts) > 2 * len(texts)
+
+
+def test_quality_by_lookup_equals_patterns():
+    """text_quality() of odd texts, many at once: as patterns count them one by one."""
+    py = P.python_pattern
+    r = random.Random(4)
+    bits = ["表題部", "所 在", "甲\n區", "乙区", "権利者", "ABCD", "abcdef ", "_abcd ", "ab1cd", "12 ", "%%%", "\n", "\n\n", " ", "\u3000", "\ufeff", "\x85", "𝒳", "々", "é", "あ", "\r"]
+    texts = ["", "\n", "abcd", *["".join(r.choice(bits) for _ in range(r.randrange(1, 30))) for _ in range(800)]]
+    got = pd.concat(Q._quality_batches(iter([pd.Series([*texts, None])])))
+
+    def plain(t):
+        c = re.sub(py(P.WS), "", t)
+        size = lambda p, x: len(re.findall(py(p), x))
+        lines = [x for x in re.split("\n+", t) if re.sub(py(P.WS), "", x)]
+        jp, ascii_, symbol, words = size(P.JAPANESE, c), size(P.ALNUM, c), size(P.SYMBOL, c), size(P.WORD4_JAVA, t)
+
+        def garbage(line):
+            x = re.sub(py(P.WS), "", line)
+            foreign = not size(P.JAPANESE, x) and (size(P.ALNUM, x) >= len(x) * 0.55 or size(P.SYMBOL, x) >= len(x) * 0.35)
+            return len(x) >= 4 and (foreign or size(P.WORD4_JAVA, line) >= 2)
+
+        labels = sum(bool(re.search(py(P.WS + "*").join([x[0], x[1:]] if "[" in x else list(x)), t)) for x in P.QUALITY_LABELS)
+        bad, n = sum(map(garbage, lines)), max(len(c), 1)
+        score = min(len(c) / 6.0, 45.0) + jp / n * 80 + labels * 22 - ascii_ / n * 35 - symbol / n * 35 - words * 8 - bad * 15
+        return (score, labels, jp / n, (ascii_ + symbol) / n, bad, len(c), len(lines))
+
+    assert [tuple(x) for x in got.itertuples(index=False)] == [plain(t) for t in [*texts, ""]]
+
+
 @pytest.mark.parametrize(
     "name, words, others",
     [
