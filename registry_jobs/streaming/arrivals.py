@@ -44,6 +44,12 @@ def stream_extract(spark: SparkSession, in_path: str, out_path: str, checkpoint:
     return _started(writer, checkpoint, available_now)
 
 
+def dealt(batch: DataFrame) -> DataFrame:
+    """The rows of a batch over all cores: a batch of few files would be read, and worked on, by as few tasks."""
+    cores = batch.sparkSession.sparkContext.defaultParallelism
+    return batch if batch.rdd.getNumPartitions() >= cores else batch.repartition(2 * cores)
+
+
 def settle_batch(arrive: Step, settle: Step, out_path: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """A foreachBatch step for results that need all rows of a document.
 
@@ -57,7 +63,7 @@ def settle_batch(arrive: Step, settle: Step, out_path: str, buckets: int = BUCKE
         spark = batch.sparkSession
         bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
         here = f"{out_path}/arrived/batch={batch_id}"
-        arrive(batch).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(here)
+        arrive(dealt(batch)).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(here)
         new = spark.read.parquet(here)
         if new.isEmpty():
             return
@@ -103,7 +109,7 @@ def stream_corrections(spark: SparkSession, in_path: str, out_path: str, checkpo
     """Mergeable corpus counts: each batch of texts leaves correction_partials() under batch=N, a replayed batch the same again."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        found = jobs.normalized_with_report(batch).select("doc_id", F.col("normal.corrections").alias("corrections"))
+        found = jobs.normalized_with_report(dealt(batch)).select("doc_id", F.col("normal.corrections").alias("corrections"))
         correction_partials(found).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
 
     return _started(_landed(spark, in_path, SCHEMA, files_per_batch).writeStream.foreachBatch(step), checkpoint, available_now)

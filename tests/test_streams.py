@@ -107,3 +107,13 @@ def test_election_of_odd_readings(spark):
     got = jobs.readings_to_record(spark.createDataFrame(rows, A.READINGS))
     assert sorted(r.doc_id for r in got.collect()) == [1, 2, 3]
     assert jobs.readings_to_record(spark.createDataFrame([], A.READINGS)).count() == 0
+
+
+def test_batches_of_few_files_are_dealt_over_all_cores(spark):
+    from registry_jobs.streaming.arrivals import dealt
+
+    cores = spark.sparkContext.defaultParallelism
+    few = spark.range(100).coalesce(1)
+    assert dealt(few).rdd.getNumPartitions() >= cores and sorted(r.id for r in dealt(few).collect()) == list(range(100))
+    many = spark.range(0, 100, 1, 3 * cores)
+    assert dealt(many) is many
