@@ -72,3 +72,27 @@ def test_submissions_keep_their_own_columns(spark):
     df = spark.createDataFrame([(1, "x", "y", '{"rawText": "t", "format": "csv"}')], "doc_id long, p string, row string, body string")
     got = E.parse_submissions(df).first()
     assert (got.p, got.row, got.raw_text, got.format, got.fields.owner) == ("x", "y", "t", "csv", "")
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    """As many listing tasks as there are folders were started before."""
+    from registry_jobs.sources.exports import read_exports
+    from registry_jobs.sources.tables import LISTING
+
+    spark.range(200).selectExpr("id AS doc_id", "concat('text ', id) AS value").repartition(1).write.partitionBy("doc_id").text(f"{tmp_path}/out")
+    before, sc = spark.conf.get(LISTING), spark.sparkContext
+    sc.setJobGroup("listing", "listing")
+    found = read_exports(spark, f"{tmp_path}/out")
+    tracker = sc.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert sum(tracker.getStageInfo(s).numTasks for s in stages) <= 4 * sc.defaultParallelism
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert spark.conf.get(LISTING) == before and found.count() == 200
+
+
+def test_exports_are_written_by_many_tasks(spark, tmp_path):
+    from registry_jobs.plans import fixtures
+
+    E.export_documents(E.normalize_fields(fixtures.records(spark, "/root/testdata/sf0.001")), f"{tmp_path}/out")
+    parts = {f.name.split("-")[1] for f in tmp_path.glob("out/*/part-*")}
+    assert len(parts) > 1
