@@ -39,7 +39,7 @@ def test_rules_run_once_a_run():
     assert T._kept_run.cache_info().misses < 20 and T._kept_counts.cache_info().misses < 20
 
 
-@pytest.mark.parametrize("name", ["b06_apply_vocabulary"])
+@pytest.mark.parametrize("name", ["b06_apply_vocabulary", "b06_vocabulary_count"])
 def test_no_pattern_a_rule_over_each_text(spark, sf, name):
     plan = catalogue.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"(?i)rlike|regexp_(?:replace|extract)", plan)) < 5
