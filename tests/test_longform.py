@@ -46,3 +46,17 @@ def test_one_document_of_half_a_million_lines(spark):
     got = merged.agg(F.count(F.lit(1)), F.count_distinct("block_no"), F.max("block_no")).first()
     # every receipt of ten lines goes to the entry behind it, and both are one block
     assert tuple(got) == (n - 2, n // 10, n // 10 - 1)
+
+
+def test_lines_are_written_few_times(spark, monkeypatch):
+    """Each step reads what the one before made; rounds of first positions are over runs, not lines."""
+    made = []
+    monkeypatch.setattr(longform, "written", lambda df, real=longform.written: made.append(df) or real(df))
+    raw = spark.createDataFrame([(i, n, x) for i, lines in documents(40, 36) for n, x in enumerate(lines)], "doc_id long, line_no long, line string")
+    lines = longform.clean_lines(raw, 3)
+    blocks = longform.segment_entries(longform.split_sections(lines, 3, only="kouku"), 3)
+    assert len(made) == 2
+    whole = longform.split_sections(lines, 3)
+    for s in ("title", "rights", "kouku", "otsuku", "collateral"):
+        assert sorted(map(tuple, longform.split_sections(lines, 3, only=s).collect())) == sorted(map(tuple, whole.where(F.col("section") == s).collect()))
+    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, longform.segment_entries(whole.where("section = 'kouku'"), 3).collect()))
