@@ -14,12 +14,13 @@ from registry_jobs.functions import predicates as C
 from registry_jobs.functions import text as T
 from registry_jobs.sources.exports import has_enough_text
 
-#: Functions of one text that Spark writes as SQL of its own: they stay in the JVM and are inlined like any expression.
+#: Functions of one text that Spark writes as SQL of its own: they stay in the JVM and are inlined like any expression. None may
+#: hold a function of its own, as let() does, for Spark has no SQL for those.
 COLUMNS: dict[str, Callable[[Column], Column]] = {
     "fold_chars": T.fold_chars,
     "join_digit_separators": T.join_digit_separators,
     "collapse_ws": T.collapse_ws,
-    "clean_value": T.clean_value,
+    "clean_value": T.cleaned,
     "clip_text": T.clip_text,
     "has_enough_text": has_enough_text,
     "is_header": C.is_header,

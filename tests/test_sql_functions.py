@@ -42,3 +42,15 @@ def test_text_only_and_counting_normalisers_agree_on_odd_texts(spark):
 
     rows = texts(spark).select("doc_id", normalize_ocr(F.col("text")).alias("a"), normalize_with_report(F.col("text")).alias("b")).collect()
     assert [r.doc_id for r in rows if r.a != r.b.text] == []
+
+
+def test_clean_value_in_sql_is_that_of_the_library(spark):
+    """Its let() could not be written as SQL, so that nothing was registered at all."""
+    from registry_jobs.functions.text import clean_value
+
+    assert all("lambda" not in sql._sql_of(spark, f(F.col("text")))[0] for f in sql.COLUMNS.values())
+    sql.register(spark)
+    df = texts(spark)
+    df.createOrReplaceTempView("t")
+    got = {r.doc_id: r.v for r in spark.sql("SELECT doc_id, clean_value(concat(text, '|')) AS v FROM t").collect()}
+    assert got == {r.doc_id: r.v for r in df.select("doc_id", clean_value(F.concat("text", F.lit("|"))).alias("v")).collect()}
