@@ -96,3 +96,41 @@ def test_exports_are_written_by_many_tasks(spark, tmp_path):
     E.export_documents(E.normalize_fields(fixtures.records(spark, "/root/testdata/sf0.001")), f"{tmp_path}/out")
     parts = {f.name.split("-")[1] for f in tmp_path.glob("out/*/part-*")}
     assert len(parts) > 1
+
+
+def test_own_files_are_what_sparks_reader_and_writer_have(spark, tmp_path):
+    """Odd names, hidden and compressed files; null, repeated and odd ids. Nothing is written or read by Spark's file index."""
+    import gzip
+
+    from registry_jobs.sources.files import read_files
+
+    at = tmp_path / "in"
+    for name in ("a 1.txt", "é%ü-2.txt", "sub/_x=3/b[4].txt", "sub/deep/c#5.txt", "_hid/6.txt", ".7.txt", "_8.txt", "empty9.txt", "sub/全 角-10.txt"):
+        (at / name).parent.mkdir(parents=True, exist_ok=True)
+        (at / name).write_bytes(b"" if "empty" in name else name.encode() + b"\r\n\xff\n")
+    seen = lambda df: sorted((r.file, bytes(r.b), r.doc_id) for r in df.select("file", F.col("text").cast("binary").alias("b"), "doc_id").collect())
+    spark_has = spark.read.option("recursiveFileLookup", "true").text(str(at), wholetext=True)
+    want = sorted((r.f, bytes(r.b)) for r in spark_has.select(F.col("_metadata.file_path").alias("f"), F.col("value").cast("binary").alias("b")).collect())
+    assert read_files(spark, str(at)) is not None and [x[:2] for x in seen(E.read_texts(spark, f"file://{at}"))] == want
+    (at / "z11.txt.gz").write_bytes(gzip.compress(b"packed"))
+    assert read_files(spark, str(at)) is None and any(x[1:] == (b"packed", 11) for x in seen(E.read_texts(spark, str(at))))
+
+    rows = [(None, "null"), ("5", "a"), ("5", "b"), ("6", None), ("x/y=z", "odd"), ("", "none")]
+    df = spark.createDataFrame(rows, "doc_id string, value string")
+    E.write_texts(df, str(tmp_path / "ours"))
+    df.repartition(4, "doc_id").sortWithinPartitions("doc_id").write.partitionBy("doc_id").text(str(tmp_path / "sparks"))
+    held = lambda n: sorted((f.parent.name, f.read_bytes()) for f in (tmp_path / n).glob("doc_id=*/part-*"))
+    one_file = lambda found: {d: sorted(b"".join(t for e, t in found if e == d).split(b"\n")) for d, _ in found}
+    assert one_file(held("ours")) == one_file(held("sparks")) and len(held("ours")) <= len(held("sparks"))
+    assert (tmp_path / "ours" / "_SUCCESS").exists() and not [f for f in os.listdir(tmp_path / "ours" / "doc_id=5") if f.startswith(".")]
+    assert {r.doc_id for r in E.read_exports(spark, str(tmp_path / "ours")).collect()} == {None, "5", "6", "x/y=z"}  # odd ids: by Spark's reader
+
+
+def test_a_failed_export_leaves_what_was_there(spark, tmp_path):
+    E.write_texts(spark.range(50).selectExpr("id AS doc_id", "'old' AS value"), str(tmp_path / "out"))
+    broken = spark.range(50).selectExpr("id AS doc_id", "if(id = 49, raise_error('no'), 'new') AS value")
+    with pytest.raises(Exception, match="no"):
+        E.write_texts(broken, str(tmp_path / "out"))
+    assert {r.value for r in E.read_exports(spark, str(tmp_path / "out")).collect()} == {"old\n"}
+    E.write_texts(spark.createDataFrame([(7, "new")], "doc_id long, value string"), str(tmp_path / "out"))
+    assert sorted((r.doc_id, r.value) for r in E.read_exports(spark, str(tmp_path / "out")).collect()) == [(i, "new\n" if i == 7 else "old\n") for i in range(50)]
