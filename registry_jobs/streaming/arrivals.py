@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -50,6 +50,18 @@ def dealt(batch: DataFrame) -> DataFrame:
     return batch if batch.rdd.getNumPartitions() >= cores else batch.repartition(2 * cores)
 
 
+def bucket_of(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+
+
+def dealt_by_bucket(batch: DataFrame, buckets: int) -> DataFrame:
+    """The rows of a batch over all cores, each task with rows of one bucket: it writes one file, where rows dealt
+    anyhow make one of each bucket in each task. Documents stay together, so what their readings share is near."""
+    each = -(-2 * batch.sparkSession.sparkContext.defaultParallelism // buckets)  # tasks a bucket
+    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(each)).cast("int")
+    return batch.repartitionById(buckets * each, bucket_of(buckets) * each + part)
+
+
 def settle_batch(arrive: Step, settle: Step, out_path: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
     """A foreachBatch step for results that need all rows of a document.
 
@@ -61,9 +73,8 @@ def settle_batch(arrive: Step, settle: Step, out_path: str, buckets: int = BUCKE
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
         here = f"{out_path}/arrived/batch={batch_id}"
-        arrive(dealt(batch)).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(here)
+        arrive(dealt_by_bucket(batch, buckets)).withColumn("bucket", bucket_of(buckets)).write.mode("overwrite").partitionBy("bucket").parquet(here)
         new = spark.read.parquet(here)
         if new.isEmpty():
             return

@@ -50,3 +50,38 @@ def test_election_reads_records_by_the_helper(spark, sf):
     """Readings went through the built-in functions, with diagnostics that no election reads."""
     columns = dict(catalogue._read(spark, sf).dtypes)
     assert columns["fields"] == R.RECORD
+
+
+def test_readings_are_scored_and_read_by_one_helper(spark):
+    """Four helpers passed each reading to Python and back; what they told is what the one tells."""
+    from registry_jobs.functions import patterns as P
+    from registry_jobs.functions import quality as Q
+    from registry_jobs.operators import election as V
+    from registry_jobs.plans import jobs
+
+    sources = [*[s for s, _ in P.SOURCES], None, "nowhere"]
+    rows = [(i, sources[i % len(sources)], t) for i, t in enumerate(texts(300))]
+    readings = spark.createDataFrame([*rows, (10**6, "server", None), (10**6 + 1, "ocr-light", None)], "doc_id long, source string, raw_text string").repartition(4)
+    want = V.candidate_set(readings).withColumn("quality", Q.text_quality(F.col("scored_text")))
+    shown = lambda d: sorted((r[0] for r in d.select(F.to_json(F.struct(*want.columns), {"ignoreNullFields": "false"})).collect()))
+    got = jobs.read_readings(readings)
+    assert got.columns == [*want.columns, "fields"] and dict(got.dtypes) == dict(want.dtypes) | {"fields": R.RECORD}
+    assert shown(got) == shown(want) == shown(jobs.scored_readings(readings))
+    plain = ownership.extract_fields(want.select("doc_id", F.col("raw_text").alias("text"))).select("doc_id", *[f"fields.{n}" for n in (*R.FIELDS, "history")])
+    a, b, c = ({r[0]: str(tuple(r)[1:]) for r in d.collect()} for d in (got.select("doc_id", "fields.*"), plain, jobs.with_fields(want).select("doc_id", "fields.*")))
+    assert [(k, a[k], b[k], c[k]) for k in a if not a[k] == b[k] == c[k]] == [] and len(a) == len(b) == len(c)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_a_batch_writes_a_file_a_bucket(spark, tmp_path):
+    """Rows dealt anyhow made a file for each bucket in each task."""
+    from registry_jobs.streaming import arrivals as A
+
+    df = spark.range(2000).selectExpr("id % 500 AS doc_id", "id AS n").repartition(8)
+    for buckets in (3, 64):
+        A.settle_batch(lambda d: d, lambda d: d.groupBy("doc_id").count(), str(tmp_path / str(buckets)), buckets)(df, 0)
+        files = list((tmp_path / str(buckets) / "arrived").glob("batch=0/bucket=*/part-*"))
+        assert len({f.parent for f in files}) == buckets and len(files) <= max(buckets, 3 * -(-2 * spark.sparkContext.defaultParallelism // 3))
+        assert {r["count"] for r in A.settled(spark, str(tmp_path / str(buckets))).collect()} == {4}
+        parts = A.dealt_by_bucket(df, buckets).rdd.glom().map(lambda rows: len({r.doc_id for r in rows})).collect()
+        assert len(parts) >= 2 * spark.sparkContext.defaultParallelism and sum(parts) == 500 and max(parts) < 500
