@@ -1,6 +1,7 @@
 """The record made by one helper is that of the built-in functions, and is made once for what readings repeat."""
 
 import random
+import re
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -85,3 +86,22 @@ def test_a_batch_writes_a_file_a_bucket(spark, tmp_path):
         assert {r["count"] for r in A.settled(spark, str(tmp_path / str(buckets))).collect()} == {4}
         parts = A.dealt_by_bucket(df, buckets).rdd.glom().map(lambda rows: len({r.doc_id for r in rows})).collect()
         assert len(parts) >= 2 * spark.sparkContext.defaultParallelism and sum(parts) == 500 and max(parts) < 500
+
+
+def test_quality_and_record_are_told_by_one_helper(spark):
+    """Each reading went to Python twice, and the texts were written beside."""
+    df = catalogue._read(spark, "/root/testdata/sf0.001")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1 and "raw_text" not in df.columns
+    both = lambda d: sorted(str(r) for r in d.select("doc_id", "source", "arrival_no", "quality").collect())
+    assert both(df) == both(catalogue._scored(spark, "/root/testdata/sf0.001"))
+
+
+def test_unit_ends_are_where_they_were():
+    """The letter before a line end was looked at first, at each letter of a text."""
+    from registry_jobs.functions import text as T
+
+    now = T._unit_end().pattern
+    solid = now[len("\n(?<=") : now.index("\n)(?=")]
+    before = re.compile(f"(?<={solid})\n" + now[now.index("\n)(?=") + 2 :])
+    assert [t for t in texts(400) if before.split(t or "") != T._unit_end().split(t or "")] == []
+    assert sum(len(T._unit_end().split(t or "")) for t in texts(400)) > 5000
