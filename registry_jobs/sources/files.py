@@ -11,7 +11,9 @@ import re
 import shutil
 import unicodedata
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -119,23 +121,44 @@ def _below(path: str) -> Iterator[str]:
                 yield x.path
 
 
-def _walked(batches: Batches) -> Batches:
-    for batch in batches:
-        for path in batch.column(0).to_pylist():
-            some = list(_below(path))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["path"])
+def _levels(folder: str, enough: int) -> int:
+    """Levels of folders to pass before there is enough to deal out; no more than that is looked at."""
+    at, depth = [folder], 0
+    while True:
+        found = list(islice((x for d in at for x in os.scandir(d) if not _ignored(x.name)), enough))
+        at = [x.path for x in found if x.is_dir()]
+        if len(found) >= enough or not at:
+            return depth
+        depth += 1
+
+
+def _dealt(folder: str, depth: int, mine: Callable[[str], bool]) -> Iterator[str]:
+    """The files below the entries at the given level, and of the files above, that are this task's."""
+    for x in os.scandir(folder):
+        if not _ignored(x.name):
+            if depth and x.is_dir():
+                yield from _dealt(x.path, depth - 1, mine)
+            elif mine(x.path):
+                yield from _below(x.path)
+
+
+def _walked(folder: str, depth: int, tasks: int) -> Callable[[Batches], Batches]:
+    def walk(batches: Batches) -> Batches:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                paths = _dealt(folder, depth, lambda p: zlib.crc32(p.encode("utf-8", "surrogateescape")) % tasks == k)  # noqa: B023
+                while some := list(islice(paths, 5000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], ["path"])
+
+    return walk
 
 
 def _listed(spark: SparkSession, folder: str) -> DataFrame:
-    """(path) of all files under a folder. The driver looks at the upper folders until there is enough to deal out, tasks at the rest."""
-    enough, open_, found = 4 * width(spark), [folder], []
-    while open_ and len(open_) + len(found) < enough:
-        at, open_ = open_, []
-        for x in (x for d in at for x in os.scandir(d)):
-            if not _ignored(x.name):
-                (open_ if x.is_dir() else found).append(x.path)
-    tops = spark.createDataFrame(pa.table({"path": pa.array(open_ + found, pa.string())}))
-    return written(tops.mapInArrow(_walked, "path string"))
+    """(path) of all files under a folder: each task looks through the upper folders and keeps its share of what is in them, so no
+    name passes through the driver."""
+    tasks = spark.sparkContext.defaultParallelism
+    depth = _levels(folder, 8 * tasks)
+    return written(spark.range(0, tasks, 1, tasks).mapInArrow(_walked(folder, depth, tasks), "path string"))
 
 
 def _contents(batches: Batches) -> Batches:

@@ -134,3 +134,20 @@ def test_a_failed_export_leaves_what_was_there(spark, tmp_path):
     assert {r.value for r in E.read_exports(spark, str(tmp_path / "out")).collect()} == {"old\n"}
     E.write_texts(spark.createDataFrame([(7, "new")], "doc_id long, value string"), str(tmp_path / "out"))
     assert sorted((r.doc_id, r.value) for r in E.read_exports(spark, str(tmp_path / "out")).collect()) == [(i, "new\n" if i == 7 else "old\n") for i in range(50)]
+
+
+def test_files_are_listed_by_tasks_each_once(spark, tmp_path):
+    """All names passed through the driver, and a folder of folders was one task's."""
+    from registry_jobs.sources import files as W
+
+    names = {f"top/a{i % 5}/b{i % 70}/{i}.txt" for i in range(700)} | {f"top/{i}.txt" for i in range(9)} | {"alone.txt", "top/a1/c.txt"}
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    found = W._listed(spark, str(tmp_path)).collect()
+    assert sorted(r.path for r in found) == sorted(f"{tmp_path}/{n}" for n in names)
+    share = [len(list(W._dealt(str(tmp_path), W._levels(str(tmp_path), 32), lambda p, k=k: W.zlib.crc32(p.encode()) % 4 == k))) for k in range(4)]
+    assert sum(share) == len(names) and min(share) > 0 and max(share) < len(names) / 2
+    assert W.read_files(spark, str(tmp_path)).where("path like '%c.txt'").first().value == "top/a1/c.txt"
+    (tmp_path / "none").mkdir()
+    assert W.read_files(spark, str(tmp_path / "none")).count() == 0
